@@ -241,12 +241,13 @@ def shapiro_wilk(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _bin_index(column: str, fences: Column | None) -> Column:
+def _bin_index(column: str, fences: Column | None, count: int) -> Column:
     """Quantile bin of a numeric column (0-based), or the text of a categorical one."""
     if fences is None:
         return as_text(column)
     x = clean_double(column)
-    return F.when(x.isNotNull(), F.size(F.filter(fences, lambda f: f < x)).cast("string"))
+    above = sum((F.when(fences[i] < x, 1).otherwise(0) for i in range(count)), F.lit(0))
+    return F.when(x.isNotNull(), above.cast("string"))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
@@ -258,7 +259,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     ]
     fences = quantile_scalars(df, numeric, [i / bins for i in range(1, bins)])
     binned = df.select(
-        _bin_index(target, fences.get(target)).alias("_t"), *[_bin_index(f, fences.get(f)).alias(f) for f in features]
+        _bin_index(target, fences.get(target), bins - 1).alias("_t"),
+        *[_bin_index(f, fences.get(f), bins - 1).alias(f) for f in features],
     ).where("_t is not null")
     cells = (
         binned.unpivot(["_t"], list(features), "feature", "_f")

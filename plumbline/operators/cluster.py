@@ -96,9 +96,11 @@ def nearest_centre(df: DataFrame, columns: Sequence[str], centres: DataFrame) ->
     known = centres.agg(F.collect_list(F.struct("cluster", "centre"))).scalar()
     point = [clean_double(c) for c in columns]
     best = F.array_min(
-        F.transform(known, lambda c: F.struct(_squared_distance(point, c["centre"]).alias("d"), c["cluster"].alias("c")))
+        F.transform(
+            "_known", lambda c: F.struct(_squared_distance(point, c["centre"]).alias("d"), c["cluster"].alias("c"))
+        )
     )
-    complete = df.na.drop(subset=list(columns)).withColumn("_best", best)
+    complete = df.na.drop(subset=list(columns)).withColumn("_known", known).withColumn("_best", best)
     return complete.select(*df.columns, F.col("_best.c").alias("cluster"), F.col("_best.d").alias("distance2"))
 
 

@@ -261,20 +261,15 @@ _MI_FEATURES = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
 _FENCES = ", ".join(f"quantile_cont({{c}}, {i / 10})" for i in range(1, 10))
 
 
-def _bin_sql(c: str) -> str:
-    if c in ("l_returnflag", "l_linestatus"):
-        return c
-    return f"(SELECT len(list_filter([{_FENCES.format(c='z.' + c)}], f -> f < x.{c})) FROM lineitem z)::VARCHAR"
+def _bins_above(c: str) -> str:
+    return "(" + " + ".join(f"(f_{c}[{i}] < {c})::INT" for i in range(1, 10)) + ")"
 
 
 @query(
     "WITH f AS (SELECT "
-    + ", ".join(
-        f"[{_FENCES.format(c=c)}] AS f_{c}" for c in ("l_quantity", "l_discount", "l_extendedprice")
-    )
-    + """ FROM lineitem), b AS (SELECT len(list_filter(f_l_extendedprice, q -> q < l_extendedprice)) AS t,
-      len(list_filter(f_l_quantity, q -> q < l_quantity))::VARCHAR AS l_quantity,
-      len(list_filter(f_l_discount, q -> q < l_discount))::VARCHAR AS l_discount, l_returnflag, l_linestatus FROM lineitem, f),
+    + ", ".join(f"[{_FENCES.format(c=c)}] AS f_{c}" for c in ("l_quantity", "l_discount", "l_extendedprice"))
+    + f""" FROM lineitem), b AS (SELECT {_bins_above("l_extendedprice")} AS t, {_bins_above("l_quantity")}::VARCHAR AS l_quantity,
+      {_bins_above("l_discount")}::VARCHAR AS l_discount, l_returnflag, l_linestatus FROM lineitem, f),
     u AS (UNPIVOT b ON l_quantity, l_discount, l_returnflag, l_linestatus INTO NAME feature VALUE v),
     c AS (SELECT feature, v, t, count(*) AS n FROM u GROUP BY ALL),
     m AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS a, sum(n) OVER (PARTITION BY feature, v) AS nf,
@@ -295,8 +290,8 @@ def contingency_dense(spark, d):
 
 
 @query(
-    """SELECT o_orderpriority AS row_value, o_orderstatus AS col_value, count(*) AS n,
-    round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY o_orderpriority), 4) AS share FROM orders GROUP BY ALL"""
+    """SELECT row_value, col_value, n, round(n * 100.0 / sum(n) OVER (PARTITION BY row_value), 4) AS share FROM (
+      SELECT o_orderpriority AS row_value, o_orderstatus AS col_value, count(*) AS n FROM orders GROUP BY ALL)"""
 )
 def contingency_row_shares(spark, d):
     return associate.row_shares(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus")
@@ -400,8 +395,8 @@ def channel_share(spark, d):
 
 
 @query(
-    f"""WITH {SALES_SQL} SELECT market, product, count(*) AS n,
-    round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY market), 4) AS share_pct FROM sales GROUP BY ALL"""
+    f"""WITH {SALES_SQL} SELECT market, product, n, round(n * 100.0 / sum(n) OVER (PARTITION BY market), 4) AS share_pct
+    FROM (SELECT market, product, count(*) AS n FROM sales GROUP BY ALL)"""
 )
 def product_share_by_market(spark, d):
     return business.share_within_market(sales(spark, d, "market", "product"), "market", "product")
