@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.ordered import POSITION, SERIES_SIZE, running_totals, with_position
-from plumbline.functions.quantiles import clean_double, quantile_scalars
+from plumbline.functions.quantiles import clean_double, quantile_aggregates
+from plumbline.functions.scratch import materialize
 from plumbline.functions.statistics import (
     normal_ppf,
     normal_upper_tail,
@@ -241,12 +242,12 @@ def shapiro_wilk(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _bin_index(column: str, fences: Column | None, count: int) -> Column:
+def _bin_index(column: str, fences: Sequence[float] | None) -> Column:
     """Quantile bin of a numeric column (0-based), or the text of a categorical one."""
     if fences is None:
         return as_text(column)
     x = clean_double(column)
-    above = sum((F.when(fences[i] < x, 1).otherwise(0) for i in range(count)), F.lit(0))
+    above = sum((F.when(F.lit(fence) < x, 1).otherwise(0) for fence in fences), F.lit(0))
     return F.when(x.isNotNull(), above.cast("string"))
 
 
@@ -257,12 +258,15 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
         for f in df.schema.fields
         if f.name in {*features, target} and isinstance(f.dataType, (T.NumericType, T.BooleanType))
     ]
-    fences = quantile_scalars(df, numeric, [i / bins for i in range(1, bins)])
+    # A handful of fences per numeric column comes back to the driver and enters the scan as literals.
+    aggregates = quantile_aggregates(df, numeric, [i / bins for i in range(1, bins)])
+    row = df.agg(*aggregates.values()).first() if aggregates else ()
+    fences = dict(zip(aggregates, row))
     binned = df.select(
-        _bin_index(target, fences.get(target), bins - 1).alias("_t"),
-        *[_bin_index(f, fences.get(f), bins - 1).alias(f) for f in features],
+        _bin_index(target, fences.get(target)).alias("_t"),
+        *[_bin_index(f, fences.get(f)).alias(f) for f in features],
     ).where("_t is not null")
-    cells = (
+    cells = materialize(
         binned.unpivot(["_t"], list(features), "feature", "_f")
         .where("_f is not null")
         .groupBy("feature", "_f", "_t")

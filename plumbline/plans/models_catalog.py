@@ -73,7 +73,7 @@ def _part_regression(spark, d, scale=False):
 def feature_matrix(spark, d):
     prepared = _part_regression(spark, d)
     v = vector_to_array("features")
-    wide = prepared.rows.select("p_partkey", *[v[i].alias(f"f{i}") for i in range(len(prepared.names))], "label")
+    wide = prepared.rows.select(F.col("p_partkey").cast("long").alias("p_partkey"), *[v[i].alias(f"f{i}") for i in range(len(prepared.names))], "label")
     return rounded(wide)
 
 
@@ -144,7 +144,7 @@ def boosted_regression_presets(spark, d):
 @query()
 def predictions_and_residuals(spark, d):
     compared = _regression(spark, d, ["linear"])[1]
-    return rounded(compared.predictions.select("p_partkey", "model", "label", "prediction", "residual"), 4)
+    return rounded(compared.predictions.select(F.col("p_partkey").cast("long").alias("p_partkey"), "model", "label", "prediction", "residual"), 4)
 
 
 @query(
