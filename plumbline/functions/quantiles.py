@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from plumbline.functions.ordered import POSITION, SERIES_SIZE, null_safe_join, with_position
+from plumbline.functions.ordered import POSITION, SERIES_SIZE, with_position
 
 # Columns with fewer distinct values than this use the one-pass aggregate, whose memory is one
 # map entry per distinct value. Above it the value range is narrowed by repeated counting.
@@ -119,15 +119,32 @@ def quantile_aggregates(
     }
 
 
+def number(value: float | None) -> Column:
+    """A statistic as a literal; an unknown one is NULL."""
+    return F.lit(value).cast("double")
+
+
 def quantile_scalars(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], max_map_entries: int = MAX_MAP_ENTRIES
 ) -> dict[str, Column]:
-    """As :func:`quantile_aggregates`, but usable in any projection or filter (scalar subquery)."""
+    """As :func:`quantile_aggregates`, but computed now, as literal arrays for any projection or filter.
+
+    One number per column and probability comes back to the driver; literals keep later plans small,
+    where a subquery would be repeated for every reference.
+    """
     aggregates = quantile_aggregates(df, columns, probs, max_map_entries)
     if not aggregates:
         return {}
-    row = df.agg(F.struct(*[e.alias(f"q{i}") for i, e in enumerate(aggregates.values())])).scalar()
-    return {c: row[f"q{i}"] for i, c in enumerate(aggregates)}
+    row = df.agg(*aggregates.values()).first()
+    return {
+        c: F.array(*[number(v) for v in (row[i] or [None] * len(probs))]) for i, c in enumerate(aggregates)
+    }
+
+
+def column_statistics(df: DataFrame, columns: Sequence[str], *functions) -> list[list[float | None]]:
+    """One list of numbers per aggregate function, in column order, from one scan."""
+    row = df.agg(*[f(clean_double(c)) for f in functions for c in columns]).first()
+    return [list(row[i * len(columns) : (i + 1) * len(columns)]) for i in range(len(functions))]
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -150,8 +167,9 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
 __all__ = [
     "MAX_MAP_ENTRIES",
     "clean_double",
+    "column_statistics",
     "grouped_quantiles",
-    "null_safe_join",
+    "number",
     "quantile_aggregates",
     "quantile_scalars",
 ]

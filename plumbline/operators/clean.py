@@ -8,7 +8,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.ordered import POSITION, fill_forward_backward, null_safe_join, with_position
-from plumbline.functions.quantiles import clean_double, quantile_scalars
+from plumbline.functions.quantiles import clean_double, column_statistics, number, quantile_scalars
 from plumbline.functions.statistics import safe_divide
 from plumbline.operators.quality import missing_counts_row
 from plumbline.operators.schema import as_text, distinct_counts, long_values, value_counts
@@ -42,8 +42,8 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill numeric columns with their mean (as double)."""
     if not columns:
         return df
-    means = df.agg(F.struct(*[F.avg(clean_double(c)).alias(f"m{i}") for i, c in enumerate(columns)])).scalar()
-    return df.withColumns({c: F.coalesce(clean_double(c), means[f"m{i}"]) for i, c in enumerate(columns)})
+    (means,) = column_statistics(df, columns, F.avg)
+    return df.withColumns({c: F.coalesce(clean_double(c), number(m)) for c, m in zip(columns, means)})
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -56,8 +56,8 @@ def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill text columns with their most frequent value; an all-null column stays null."""
     if not columns:
         return df
-    modes = column_modes(df, columns).agg(F.map_from_entries(F.collect_list(F.struct("column", "value")))).scalar()
-    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), modes[c]) for c in columns})
+    modes = {r["column"]: r["value"] for r in column_modes(df, columns).collect()}  # one row per column
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(modes.get(c))) for c in columns})
 
 
 def impute_dates(
@@ -159,18 +159,13 @@ def one_hot_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
     """Add ``(x - mean) / population std``; a constant column becomes 0."""
-    stats = df.agg(
-        F.struct(
-            *[F.avg(clean_double(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-            *[F.stddev_pop(clean_double(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-        )
-    ).scalar()
+    means, spreads = column_statistics(df, columns, F.avg, F.stddev_pop)
 
-    def scaled(i: int, c: str) -> Column:
-        centred = clean_double(c) - stats[f"m{i}"]
-        return F.when(stats[f"s{i}"] == 0, centred * 0).otherwise(safe_divide(centred, stats[f"s{i}"]))
+    def scaled(c: str, mean: float | None, spread: float | None) -> Column:
+        centred = clean_double(c) - number(mean)
+        return centred * 0 if spread == 0 else centred / number(spread)
 
-    return df.withColumns({f"{c}{suffix}": scaled(i, c) for i, c in enumerate(columns)})
+    return df.withColumns({f"{c}{suffix}": scaled(c, m, s) for c, m, s in zip(columns, means, spreads)})
 
 
 def cleaning_summary(before: DataFrame, after: DataFrame, categorical: Sequence[str] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -15,6 +16,7 @@ from plumbline.functions.scratch import materialize
 from plumbline.operators.clean import impute_mean, standardize
 
 SEED = 42
+MAX_ITERATIONS = 30
 # Centres travel to every task inside the query, so their number is bounded.
 MAX_CENTRES = 10_000
 
@@ -31,16 +33,17 @@ def kmeans_sweep(vectors: DataFrame, per_cluster: int = 5, largest: int = 10) ->
 
     The silhouette is the squared-Euclidean one, which needs two passes instead of all pairs.
     """
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads them
     n = vectors.count()
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     rows = []
     for k in range(2, min(largest, n // per_cluster) + 1):
-        model = KMeans(k=k, seed=SEED, maxIter=50).fit(vectors)
+        model = KMeans(k=k, seed=SEED, maxIter=MAX_ITERATIONS).fit(vectors)
         labelled = model.transform(vectors)
-        found = model.summary.k if model.hasSummary else k
         occupied = sum(1 for size in model.summary.clusterSizes if size > 0)
-        silhouette = evaluator.evaluate(labelled) if found > 1 and occupied > 1 else 0.0
+        silhouette = evaluator.evaluate(labelled) if occupied > 1 else 0.0
         rows.append((k, float(model.summary.trainingCost), float(silhouette)))
+    vectors.unpersist()
     return vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
@@ -63,7 +66,7 @@ def k_by_ratio(sweep: DataFrame, limit: float = 0.3) -> DataFrame:
 
 def kmeans_clusters(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Labelled rows, and ``(cluster, size, centre, inertia)`` of the final model."""
-    model = KMeans(k=k, seed=SEED, maxIter=50).fit(vectors)
+    model = KMeans(k=k, seed=SEED, maxIter=MAX_ITERATIONS).fit(vectors)
     labelled = model.transform(vectors).withColumnRenamed("prediction", "cluster")
     centres = vectors.sparkSession.createDataFrame(
         [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>"

@@ -91,10 +91,14 @@ def _with_neighbours(few: DataFrame, pairs: DataFrame, many: DataFrame, salts: D
     return left.join(right, ["b", "salt"])
 
 
+def _grid_index(width: float) -> Column:
+    """Index of the grid cell of the given width that holds the point ``x``."""
+    return F.transform("x", lambda v: F.floor(v / F.lit(width)).cast("long"))
+
+
 def _boxes(core: DataFrame, dims: int, width: float) -> DataFrame:
     """Bounding boxes of the core points inside sub-cells of the given width."""
-    sub = F.transform("x", lambda v: F.floor(v / F.lit(width)).cast("long"))
-    return core.groupBy("cell", sub.alias("sub")).agg(
+    return core.groupBy("cell", _grid_index(width).alias("sub")).agg(
         F.array(*[F.min(F.col("x")[j]) for j in range(dims)]).alias("lo"),
         F.array(*[F.max(F.col("x")[j]) for j in range(dims)]).alias("hi"),
         F.count(F.lit(1)).alias("m"),
@@ -133,8 +137,7 @@ def _linked_cells(core: DataFrame, pairs: DataFrame, dims: int, eps: float, side
         )
         sure = rated.where(F.col("far") <= limit * (1 - 1e-9)).select("a", "b").distinct()
         rest = rated.join(sure, ["a", "b"], "left_anti")
-        sub = F.transform("x", lambda v, w=width: F.floor(v / F.lit(w)).cast("long"))
-        placed = core.select("cell", sub.alias("sub"), "x")
+        placed = core.select("cell", _grid_index(width).alias("sub"), "x")
         checked = (
             rest.where(F.col("work") <= _DIRECT_PAIRS)
             .join(placed.select(F.col("cell").alias("a"), F.col("sub").alias("sub_a"), F.col("x").alias("xa")), ["a", "sub_a"])
@@ -201,8 +204,8 @@ def dbscan(
     side = eps / math.sqrt(dims) * (1 - 1e-9)
     x = F.array(*[clean_double(c) + 0.0 for c in columns])
     rows = df.na.drop(subset=list(columns)).select(F.col(id_column).alias("id"), x.alias("x"))
-    grid = F.transform("x", lambda v: F.floor(v / F.lit(side)).cast("long"))
-    sites = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("site")).withColumn("grid", grid)
+    sites = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("site"))
+    sites = sites.withColumn("grid", _grid_index(side))
     summary = sites.groupBy("grid").agg(
         F.min("site").alias("cell"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")
     )

@@ -6,7 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from plumbline.functions.quantiles import clean_double, quantile_aggregates, quantile_scalars
+from plumbline.functions.quantiles import (
+    clean_double,
+    column_statistics,
+    number,
+    quantile_aggregates,
+    quantile_scalars,
+)
 from plumbline.functions.statistics import micros, safe_divide, sample_kurtosis, sample_skewness, whole_days
 from plumbline.operators.clean import column_modes
 from plumbline.operators.schema import distinct_counts, one_row_to_long, value_counts
@@ -261,13 +267,8 @@ def flag_iqr_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFr
 
 def z_outliers(df: DataFrame, columns: Sequence[str], limit: float = 3.0) -> DataFrame:
     """``(column, outliers, outlier_pct)``: values more than ``limit`` population std from the mean."""
-    stats = df.agg(
-        F.struct(
-            *[F.avg(clean_double(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-            *[F.stddev_pop(clean_double(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-        )
-    ).scalar()
-    far = lambda i, c: F.abs(safe_divide(clean_double(c) - stats[f"m{i}"], stats[f"s{i}"])) > limit
+    means, spreads = column_statistics(df, columns, F.avg, F.stddev_pop)
+    far = lambda i, c: F.abs(safe_divide(clean_double(c) - number(means[i]), number(spreads[i]))) > limit
     row = df.agg(
         *[F.count(clean_double(c)).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.count_if(far(i, c)).alias(f"o{i}") for i, c in enumerate(columns)],
