@@ -21,6 +21,10 @@ from plumbline.operators.timeseries import MIN_POINTS, autocorrelation
 MAX_POINTS = 900_000
 
 
+def _no_rows(schema: T.StructType) -> pd.DataFrame:
+    return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
+
+
 # ---------------------------------------------------------------- errors and dates
 
 
@@ -154,7 +158,7 @@ def arima_forecast(
             raise ValueError("aggregate the series before forecasting")
         cut = int(len(y) * train)
         if len(y) < MIN_POINTS["forecast"] or cut < 4:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return _no_rows(schema)
         phi, theta, sigma2, error = arima_parameters(y[:cut])
         ahead = len(y) - cut or steps
         move = phi * (y[cut - 1] - y[cut - 2]) + theta * error
@@ -221,7 +225,7 @@ def holt_winters_forecast(
         if len(y) > MAX_POINTS:
             raise ValueError("aggregate the series before forecasting")
         if len(y) < 2 * season:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return _no_rows(schema)
         weights, mse, level, trend, seasonal = holt_winters_fit(y, season)
         h = np.arange(1, steps + 1)
         out = pd.DataFrame({n: [rows[n].iloc[0]] * steps for n in names})

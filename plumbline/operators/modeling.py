@@ -161,7 +161,7 @@ def regression_models(train: DataFrame) -> dict[str, Estimator]:
 def classification_models(train: DataFrame, classes: int) -> dict[str, Estimator]:
     """The classifiers; boosting and the linear SVM are binary and are wrapped one-vs-rest otherwise."""
     n = max(train.count(), 1)
-    wrap = (lambda m: m) if classes <= 2 else (lambda m: OneVsRest(classifier=m))
+    wrap = (lambda m: m) if classes <= 2 else (lambda m: OneVsRest(classifier=m, parallelism=4))
     return {
         "logistic": LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=200),
         "random_forest": RandomForestClassifier(numTrees=100, maxDepth=8, seed=SEED),
@@ -283,7 +283,7 @@ def two_method_importance(prepared: Prepared, problem: str) -> DataFrame:
         booster = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=SEED)
         pair = {
             "random_forest": RandomForestClassifier(numTrees=100, maxDepth=8, seed=SEED),
-            "boosting": booster if len(prepared.classes or []) <= 2 else OneVsRest(classifier=booster),
+            "boosting": booster if len(prepared.classes or []) <= 2 else OneVsRest(classifier=booster, parallelism=4),
         }
     return importance_table(rows.sparkSession, {m: e.fit(rows) for m, e in pair.items()}, prepared.names)
 
