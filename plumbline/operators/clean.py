@@ -231,15 +231,21 @@ def clean(
     missing_threshold: float = 0.3,
     encoding: str | None = "label",
 ) -> DataFrame:
-    """Duplicates, sparse columns, imputation and encoding in the fixed order of the cleaning step."""
+    """Duplicates, sparse columns, imputation and encoding in the fixed order of the cleaning step.
+
+    Only columns that miss values are imputed, so complete dates cost no global ordering.
+    """
     rows = drop_duplicate_rows(df)
-    gone = set(sparse_columns(rows, missing_threshold))
+    counts = missing_counts_row(rows).first()
+    missing = {c: counts[f"m{i}"] for i, c in enumerate(rows.columns)}
+    gone = {c for c, m in missing.items() if counts["rows"] and m / counts["rows"] > missing_threshold}
     rows = rows.drop(*gone)
     keep = lambda names: [c for c in names if c not in gone]
-    rows = impute_dates(rows, keep(datetime), [c for c in order_by if c not in gone])
-    rows = impute_mode(impute_median(rows, keep(numeric)), keep(categorical))
+    holes = lambda names: [c for c in keep(names) if missing[c]]
+    rows = impute_dates(rows, holes(datetime), keep(order_by))
+    rows = impute_mode(impute_median(rows, holes(numeric)), holes(categorical))
     if encoding:
-        rows = encode(rows, keep(categorical), encoding, [c for c in order_by if c not in gone])
+        rows = encode(rows, keep(categorical), encoding, keep(order_by))
     return rows
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -117,57 +118,32 @@ def datetime_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ends.join(F.broadcast(unique), "column")
 
 
-def _spread(df: DataFrame, column: str) -> Column:
-    """Scalar subquery with count, mean, std, extremes of one column."""
-    x = clean_double(column)
-    return df.agg(
-        F.struct(
-            F.count(x).alias("n"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
-            F.min(x).alias("low"),
-            F.max(x).alias("high"),
-        )
-    ).scalar()
-
-
 def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
-    """``(bin, lower, upper, n)`` over equal-width bins, empty bins included.
+    """``(bin, lower, upper, n)`` over equal-width bins, empty bins included; no rows for an empty column.
 
-    Without ``bins`` the width is the smaller of the Sturges and Freedman-Diaconis widths.
+    Without ``bins`` the width is the smaller of the Sturges and Freedman-Diaconis widths. The few
+    numbers that fix the bins are computed first, the counts are one aggregation.
     """
-    s = _spread(df, column)
-    width_range = s["high"] - s["low"]
-    if bins is None:
-        q = quantile_scalars(df, [column], [0.25, 0.75])[column]
-        n = s["n"].cast("double")
-        sturges = width_range / (F.log2(n) + 1)
-        scott_free = 2 * (q[1] - q[0]) / F.pow(n, F.lit(1 / 3))
-        width = F.when(scott_free > 0, F.least(sturges, scott_free)).otherwise(sturges)
-        number = F.when(width > 0, F.ceil(width_range / width)).otherwise(1).cast("int")
-    else:
-        number = F.lit(int(bins))
-    facts = df.sparkSession.range(1).select(
-        s["low"].alias("low"), s["high"].alias("high"), number.alias("bins")
-    ).where("low is not null")
-    facts_scalar = facts.agg(F.first(F.struct("low", "high", "bins"))).scalar()
     x = clean_double(column)
-    size = (facts_scalar["high"] - facts_scalar["low"]) / facts_scalar["bins"]
-    position = F.when(size == 0, 0).otherwise(F.floor(safe_divide(x - facts_scalar["low"], size)))
+    n, low, high = df.agg(F.count(x), F.min(x), F.max(x)).first()
+    number_of_bins = bins or 1
+    if bins is None and n and high > low:
+        q1, q3 = df.agg(quantile_aggregates(df, [column], [0.25, 0.75])[column]).first()[0]
+        widths = [(high - low) / (math.log2(n) + 1), 2 * (q3 - q1) / n ** (1 / 3)]
+        number_of_bins = math.ceil((high - low) / min(w for w in widths if w > 0))
+    size = (high - low) / number_of_bins if n else 0.0
+    place = F.floor((x - F.lit(low)) / F.lit(size)) if size else F.lit(0)
     counts = (
         df.where(x.isNotNull())
-        .groupBy(F.least(position, facts_scalar["bins"] - 1).cast("int").alias("bin"))
+        .groupBy(F.least(place, F.lit(number_of_bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    edges = facts.select(
-        F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"),
-        "low",
-        ((F.col("high") - F.col("low")) / F.col("bins")).alias("size"),
-    )
+    edges = df.sparkSession.range(number_of_bins if n else 0).select(F.col("id").cast("int").alias("bin"))
+    start = number(low)
     return edges.join(counts, "bin", "left").select(
         "bin",
-        (F.col("low") + F.col("bin") * F.col("size")).alias("lower"),
-        (F.col("low") + (F.col("bin") + 1) * F.col("size")).alias("upper"),
+        (start + F.col("bin") * F.lit(size)).alias("lower"),
+        (start + (F.col("bin") + 1) * F.lit(size)).alias("upper"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
@@ -175,23 +151,23 @@ def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
 def density_curve(df: DataFrame, column: str, points: int = 200, fine_bins: int = 512) -> DataFrame:
     """Gaussian kernel density ``(grid, x, density)`` from a fine histogram.
 
-    After one counting pass the cost is ``points * fine_bins``, whatever the number of rows.
+    After the counting pass the cost is ``points * fine_bins``, whatever the number of rows.
     """
-    s = _spread(df, column)
+    x = clean_double(column)
+    n, std, low, high = df.agg(F.count(x), F.stddev_samp(x), F.min(x), F.max(x)).first()
     cells = histogram(df, column, fine_bins).where("n > 0").select(
         ((F.col("lower") + F.col("upper")) / 2).alias("centre"), "n"
     )
-    bandwidth = s["std"] * F.pow(s["n"].cast("double"), F.lit(-0.2))
+    bandwidth = (std or 0.0) * max(n, 1) ** -0.2
     grid = cells.select("centre", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid")).withColumn(
-        "x", s["low"] + (s["high"] - s["low"]) * F.col("grid") / (points - 1)
+        "x", number(low) + (number(high) - number(low)) * F.col("grid") / (points - 1)
     )
-    u = safe_divide(F.col("x") - F.col("centre"), bandwidth)
-    scale = s["n"] * bandwidth * F.sqrt(F.lit(2.0) * F.pi())
+    u = safe_divide(F.col("x") - F.col("centre"), F.lit(bandwidth))
     return (
         grid.withColumn("k", F.col("n") * F.exp(-u * u / 2))
         .groupBy("grid")
         .agg(F.first("x").alias("x"), F.sum("k").alias("k"))
-        .select("grid", "x", safe_divide(F.col("k"), scale).alias("density"))
+        .select("grid", "x", safe_divide(F.col("k"), F.lit(n * bandwidth * math.sqrt(2 * math.pi))).alias("density"))
     )
 
 

@@ -121,11 +121,9 @@ def prepare(
         inputs = names
     classes = None
     if classification:
-        wide = wide.where(F.col(target).isNotNull())
-        indexer = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(
-            wide.withColumn(target, F.col(target).cast("string"))
-        )
-        wide = indexer.transform(wide.withColumn(target, F.col(target).cast("string")))
+        wide = wide.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("string"))
+        indexer = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(wide)
+        wide = indexer.transform(wide).withColumn("label", F.col("_label"))
         classes = list(indexer.labels)
     else:
         wide = impute_mean(wide, [target]).withColumn("label", F.col(target).cast("double"))

@@ -143,8 +143,10 @@ def run_all(
         )
     )
     write_parquet(cleaned, f"{output}/cleaned")
-    kept = schema.RoleMap(*[tuple(c for c in part if c in cleaned.columns) for part in
-                            (roles.numeric, roles.categorical, roles.datetime, roles.other)])
+    present = lambda names: tuple(c for c in names if c in cleaned.columns)
+    kept = schema.RoleMap(
+        present(roles.numeric), present(roles.categorical), present(roles.datetime), present(roles.other)
+    )
     results = {
         "load": report.run_metadata(raw, path),
         "cleaning": clean.cleaning_summary(typed, cleaned, kept.categorical),
