@@ -61,11 +61,14 @@ def ordered_blocks(
 
 
 def _block_windows(keys: Sequence[str]):
-    """Windows over the (block, key) summary: at most one row per block and key."""
+    """Windows over the (block, key) summary: at most one row per block and key.
+
+    Looking ahead is looking back in descending order: a frame that shrinks from the front would be
+    recomputed for every row.
+    """
     part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    ordered = part.orderBy(BLOCK)
-    before = ordered.rowsBetween(W.unboundedPreceding, -1)
-    after = ordered.rowsBetween(1, W.unboundedFollowing)
+    before = part.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    after = part.orderBy(F.desc(BLOCK)).rowsBetween(W.unboundedPreceding, -1)
     return part, before, after
 
 
@@ -128,9 +131,9 @@ def fill_forward_backward(
     """Replace NULLs by the previous known value in order, leading NULLs by the next known one."""
     rows = ordered_blocks(df, order_by, keys, blocks)
     _, before, after = _block_windows(keys)
-    inside = W.partitionBy(BLOCK, *keys).orderBy(INDEX)
-    backward = inside.rowsBetween(W.unboundedPreceding, 0)
-    forward = inside.rowsBetween(0, W.unboundedFollowing)
+    inside = W.partitionBy(BLOCK, *keys)
+    backward = inside.orderBy(INDEX).rowsBetween(W.unboundedPreceding, 0)
+    forward = inside.orderBy(F.desc(INDEX)).rowsBetween(W.unboundedPreceding, 0)
     ends = rows.groupBy(BLOCK, *keys).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(INDEX))).alias(f"_last_{c}") for c in columns],
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(INDEX))).alias(f"_first_{c}") for c in columns],
@@ -139,7 +142,7 @@ def fill_forward_backward(
         BLOCK,
         *keys,
         *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_prev_{c}") for c in columns],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in columns],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in columns],
     )
     joined = null_safe_join(rows, carried, [BLOCK, *keys])
     filled = {
@@ -147,7 +150,7 @@ def fill_forward_backward(
             F.col(c),
             F.last(c, ignorenulls=True).over(backward),
             F.col(f"_prev_{c}"),
-            F.first(c, ignorenulls=True).over(forward),
+            F.last(c, ignorenulls=True).over(forward),
             F.col(f"_next_{c}"),
         )
         for c in columns

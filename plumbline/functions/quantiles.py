@@ -33,9 +33,14 @@ def _narrow(df: DataFrame, targets: dict[int, tuple[str, int, float, float]]) ->
     active = {tid: spec for tid, spec in targets.items() if tid not in solved}
     while active:
         columns = sorted({spec[0] for spec in active.values()})
+        # Ranks that share a bracket are counted once.
+        shared = {bracket: i for i, bracket in enumerate({(c, low, high) for c, _, low, high in active.values()})}
         brackets = spark.createDataFrame(
-            [(tid, c, rank, low, high) for tid, (c, rank, low, high) in active.items()],
-            "tid int, name string, rank long, low double, high double",
+            [(i, *bracket) for bracket, i in shared.items()], "bid int, name string, low double, high double"
+        )
+        ranks = spark.createDataFrame(
+            [(tid, shared[c, low, high], rank) for tid, (c, rank, low, high) in active.items()],
+            "tid int, bid int, rank long",
         )
         values = df.select([clean_double(c).alias(c) for c in columns]).unpivot([], columns, "name", "x")
         share = (F.col("x") - F.col("low")) / (F.col("high") - F.col("low"))
@@ -49,12 +54,13 @@ def _narrow(df: DataFrame, targets: dict[int, tuple[str, int, float, float]]) ->
         counted = (
             values.join(F.broadcast(brackets), "name")
             .where(F.col("x").between(F.col("low"), F.col("high")))
-            .groupBy("tid", "rank", bin_of.alias("bin"))
+            .groupBy("bid", bin_of.alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         )
-        upto = W.partitionBy("tid").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+        upto = W.partitionBy("bid").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
         hits = (
             counted.withColumn("cum", F.sum("n").over(upto))
+            .join(F.broadcast(ranks), "bid")
             .where((F.col("rank") < F.col("cum")) & (F.col("rank") >= F.col("cum") - F.col("n")))
             .select("tid", (F.col("rank") - F.col("cum") + F.col("n")).alias("rank"), "lo", "hi")
         )

@@ -360,7 +360,8 @@ def regularize(
     indexed = full.withColumn("_i", F.row_number().over(rank) - 1)
     known = F.when(F.col("_v").isNotNull(), F.struct("_i", "_v"))
     before = F.last(known, ignorenulls=True).over(rank.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(rank.rowsBetween(0, W.unboundedFollowing))
+    # Looking ahead as looking back in descending order keeps the frame growing instead of recomputed.
+    after = F.last(known, ignorenulls=True).over(part.orderBy(F.desc(ts)).rowsBetween(W.unboundedPreceding, 0))
     placed = indexed.select("*", before.alias("_b"), after.alias("_a"))
     weight = safe_divide(F.col("_i") - F.col("_b._i"), F.col("_a._i") - F.col("_b._i"))
     line = F.col("_b._v") + (F.col("_a._v") - F.col("_b._v")) * weight
