@@ -12,11 +12,17 @@ from plumbline.operators.schema import one_row_to_long
 
 
 def group_share(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
-    """``(value, n, share_pct)``: rows per value and their share of all rows of the table."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
-    return counted.agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "share_pct", F.round(safe_divide(F.col("n") * 100, total), digits)
+    """``(value, n, share_pct)``: rows per value and their share of all rows of the table.
+
+    The total is the sum of the same counts, NULL group included, so the input is read once: the
+    exchange of the counts is reused. The filter stays on an aggregate for that reason.
+    """
+    counted = df.groupBy(F.col(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col(column).isNotNull()).alias("_known")
+    )
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.where("_known").select(
+        "value", "n", F.round(safe_divide(F.col("n") * 100, total), digits).alias("share_pct")
     )
 
 

@@ -88,11 +88,11 @@ def frequency_table(df: DataFrame, column: str) -> DataFrame:
 
 def share_table(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
     """``(value, n, pct)`` with percentages of the known values."""
-    known = df.agg(F.count(column)).scalar()
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
-    return counted.agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "pct", F.round(safe_divide(F.col("n") * 100, known), digits)
+    counted = (
+        df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     )
+    known = counted.agg(F.sum("n")).scalar()
+    return counted.withColumn("pct", F.round(safe_divide(F.col("n") * 100, known), digits))
 
 
 def datetime_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from plumbline.functions.ordered import POSITION, SERIES_SIZE, null_safe_join, o
 from plumbline.functions.quantiles import clean_double, grouped_quantiles
 from plumbline.functions.statistics import MICROS_PER_DAY, micros, safe_divide, whole_days
 from plumbline.operators.associate import contingency
+from plumbline.operators.business import group_share
 
 # Smallest number of points for each analysis.
 MIN_POINTS = {"trend": 3, "moving_average": 10, "decomposition": 12, "autocorrelation": 11, "forecast": 10}
@@ -48,9 +49,8 @@ def date_range(df: DataFrame, date: str) -> DataFrame:
 
 def weekday_distribution(df: DataFrame, date: str) -> DataFrame:
     """``(day, n, pct)`` with the share of all rows."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    by_day = df.where(F.col(date).isNotNull()).groupBy(F.date_format(date, "EEEE").alias("day"))
-    return by_day.agg(F.count(F.lit(1)).alias("n")).withColumn("pct", F.round(safe_divide(F.col("n") * 100, total), 4))
+    shares = group_share(df.select(F.date_format(date, "EEEE").alias("day")), "day", 4)
+    return shares.withColumnsRenamed({"value": "day", "share_pct": "pct"})
 
 
 def calendar_grid(df: DataFrame, date: str, split_years: bool = False) -> DataFrame:
