@@ -121,7 +121,7 @@ def spearman(df: DataFrame, left: str, right: str, digits: int = 4) -> DataFrame
     Equal value pairs are counted first, so frequent values do not travel row by row, and the ranks
     come from running totals over the distinct values.
     """
-    pairs = (
+    pairs = materialize(  # read four times below
         df.select(clean_double(left).alias("_x"), clean_double(right).alias("_y"))
         .where("_x is not null and _y is not null")
         .groupBy("_x", "_y")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.ordered import null_safe_join, running_totals
+from plumbline.functions.scratch import materialize
 from plumbline.functions.statistics import safe_divide
 
 
@@ -92,7 +93,7 @@ def roc_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     Rows are counted per score before they are ordered; ``area`` is the trapezoid up to the point.
     """
     hit = (F.col(label) == F.lit(positive)).cast("long")
-    counted = (
+    counted = materialize(  # so that the scored rows are read once
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(score).cast("double").alias("threshold"))
         .agg(F.sum(hit).alias("_pos"), F.sum(1 - hit).alias("_neg"))
