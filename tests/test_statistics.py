@@ -57,7 +57,8 @@ def test_correlations_match_pandas(sample):
     for (a, b), r in got.items():
         assert r == pytest.approx(want.loc[a, b], abs=1e-8)
     row = associate.spearman(sdf, "x", "y", 9).first()
-    assert row["spearman"] == pytest.approx(pdf["x"].corr(pdf["y"].rank(), method="spearman"), abs=1e-8)
+    both = pdf[["x", "y"]].dropna().rank()
+    assert row["spearman"] == pytest.approx(both["x"].corr(both["y"]), abs=1e-8)
 
 
 def test_shapiro_wilk_against_direct_formula(sample):
