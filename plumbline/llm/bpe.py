@@ -17,8 +17,8 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 MAX_TOKENIZER_BYTES = 64 << 20
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 CACHED_WORD_CHARS = 64
 SHORT = 40
 NO_MERGE = 1 << 62
@@ -191,16 +191,17 @@ class Transducer:
             return WORDS.findall(text)
         return LATIN_WORDS.findall(text)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids of a text; control strings of the file are cut out first, as they stand."""
         if self.special is None or not self.special.search(text):
-            return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
-        ids: list[int] = []
+            return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), np.int32)
+        parts: list[bytes] = []
         for place, part in enumerate(self.special.split(text)):
             if place % 2:
-                ids.append(self.added[part])
+                parts.append(_packed([self.added[part]]))
             else:
-                ids.extend(chain.from_iterable(map(self.words.__getitem__, self.split(part))))
-        return ids
+                parts.extend(map(self.words.__getitem__, self.split(part)))
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids: pieces go through an incremental byte-to-text machine."""
@@ -222,15 +223,19 @@ class Transducer:
         yield machine.decode(b"", final=True)
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class _Memory(dict):
-    """Ids of words already met; long words and, once full, new words are not stored."""
+    """Ids of words already met, as bytes; long words are not stored and a full memory starts anew."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.transducer.encode_word(word.encode()))
+    def __missing__(self, word: str) -> bytes:
+        ids = _packed(self.transducer.encode_word(word.encode()))
         if len(word) <= CACHED_WORD_CHARS:
             if len(self) >= CACHED_WORDS:
                 self.clear()
@@ -266,7 +271,7 @@ def encoded(text: Column, tokenizer: Broadcast) -> Column:
         for batch in batches:
             ends, flat = [0], []
             for value in batch:
-                ids = np.array(transducer.encode(value.as_py() or ""), dtype=np.int32)
+                ids = transducer.encode(value.as_py() or "")
                 flat.append(ids)
                 ends.append(ends[-1] + len(ids))
             joined = np.concatenate(flat) if flat else np.empty(0, np.int32)
