@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, quality_rules
+from plumbline.llm import bpe, quality_rules, simhash
 from plumbline.session import apply_runtime_conf
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -57,9 +57,15 @@ def op7_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe_encoding": op7_bpe_encoding,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
