@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, quality_rules, simhash
+from plumbline.llm import bpe, decontaminate, quality_rules, simhash
 from plumbline.session import apply_runtime_conf
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,20 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        digest(F.array_join("items", ",")).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+        "longest",
+    )
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, folder, "documents")), "web-v1")
     base = quality_rules.policy_mask(quality_rules.BASE)
@@ -63,6 +77,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe_encoding": op7_bpe_encoding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
