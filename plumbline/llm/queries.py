@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, decontaminate, quality_rules, simhash
+from plumbline.llm import bpe, decontaminate, pii, quality_rules, simhash
 from plumbline.session import apply_runtime_conf
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+# The key of the test queries; whoever runs the operator brings a secret of their own.
+PSEUDONYM_KEY = b"plumbline test key"
 # Texts reach Python in batches of about this many bytes, however long single texts are.
 ARROW_BATCH_BYTES = str(16 << 20)
 
@@ -71,6 +73,12 @@ def op7_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    changed = pii.pseudonymized(F.col("text"), PSEUDONYM_KEY)
+    docs = table(spark, folder, "documents").select("doc_id", changed.alias("new"))
+    return docs.select("doc_id", "new.*")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe_encoding": op7_bpe_encoding,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
