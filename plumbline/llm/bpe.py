@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 MAX_TOKENIZER_BYTES = 64 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 CACHED_WORD_CHARS = 64
 SHORT = 40
 NO_MERGE = 1 << 62
@@ -263,19 +263,19 @@ def read_tokenizer(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
+def _id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
+
+
 def encoded(text: Column, tokenizer: Broadcast) -> Column:
     """Token ids of a text column; NULL counts as the empty text, which has none."""
+
     @arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         transducer = loaded(tokenizer)
         for batch in batches:
-            ends, flat = [0], []
-            for value in batch:
-                ids = transducer.encode(value.as_py() or "")
-                flat.append(ids)
-                ends.append(ends[-1] + len(ids))
-            joined = np.concatenate(flat) if flat else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(joined))
+            yield _id_lists([transducer.encode(t.as_py() or "") for t in batch])
 
     return encode(text)
 
@@ -287,16 +287,20 @@ def decoded(ids: Column, tokenizer: Broadcast) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         transducer = loaded(tokenizer)
         for batch in batches:
-            flat, ends = batch.flatten().to_pylist(), [0, *_ends(batch)]
-            yield pa.array([transducer.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+            yield pa.array([transducer.decode(ids.as_py() or ()) for ids in batch], pa.string())
 
     return decode(ids)
 
 
-def _ends(lists: pa.Array) -> list[int]:
-    """Where each list ends among the flattened values."""
-    total, ends = 0, []
-    for n in lists.value_lengths().to_pylist():
-        total += n or 0
-        ends.append(total)
-    return ends
+def recoded(text: Column, tokenizer: Broadcast) -> Column:
+    """Struct of the token ids of a text and the text they decode to, in one pass through Python."""
+
+    @arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    def recode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        transducer = loaded(tokenizer)
+        for batch in batches:
+            rows = [transducer.encode(t.as_py() or "") for t in batch]
+            texts = pa.array([transducer.decode(ids.tolist()) for ids in rows], pa.string())
+            yield pa.StructArray.from_arrays([_id_lists(rows), texts], names=["ids", "decoded"])
+
+    return recode(text)

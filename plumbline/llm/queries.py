@@ -64,15 +64,18 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = bpe.read_tokenizer(spark, tokenizer_path(WORD_TOKENIZER))
-    docs = table(spark, folder, "documents").select("doc_id", bpe.encoded(F.col("text"), tokenizer).alias("ids"))
+    coded = bpe.recoded(F.col("text"), tokenizer)
+    docs = table(spark, folder, "documents").select("doc_id", coded.alias("coded"))
+    ids = F.col("coded.ids")
     return docs.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
-        digest(bpe.decoded(F.col("ids"), tokenizer)).alias("decoded_sha256"),
+        F.size(ids).cast("long").alias("n_tokens"),
+        digest(F.array_join(ids.cast("array<string>"), " ")).alias("ids_sha256"),
+        digest(F.col("coded.decoded")).alias("decoded_sha256"),
     )
 
 
+
 def op9_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     changed = pii.pseudonymized(F.col("text"), PSEUDONYM_KEY)
     docs = table(spark, folder, "documents").select("doc_id", changed.alias("new"))
