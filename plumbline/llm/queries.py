@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, decontaminate, pii, quality_rules, simhash
+from plumbline.llm import bpe, decontaminate, pii, quality_rules, secret_scan, simhash
 from plumbline.session import apply_runtime_conf
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,20 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    spans, base = F.col("spans"), len(secret_scan.BASE_RULES)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(rule.kind) for rule in secret_scan.BASE_RULES]
+    base_spans = secret_scan.written(F.filter(spans, lambda s: s["rank"] < base))
+    return found.select(
+        "doc_id", *counts, digest(base_spans).alias("base_sha256"), secret_scan.written(spans).alias("spans")
+    )
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -88,6 +102,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe_encoding": op7_bpe_encoding,
