@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, decontaminate, pii, quality_rules, secret_scan, simhash
+from plumbline.llm import bpe, decontaminate, hmm, pii, quality_rules, secret_scan, simhash
+from plumbline.llm.common import hash_share
 from plumbline.session import apply_runtime_conf
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +61,10 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score(table(spark, folder, "documents"), hash_share("doc_id", 7) == 2)
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, folder, "documents")), "web-v1")
     base = quality_rules.policy_mask(quality_rules.BASE)
@@ -104,6 +109,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
+    "op5_hmm_scores": op5_hmm_scores,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe_encoding": op7_bpe_encoding,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
