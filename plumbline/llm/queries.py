@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, decontaminate, hmm, pii, quality_rules, secret_scan, simhash
+from plumbline.llm import bpe, crf_quality, decontaminate, hmm, pii, quality_rules, secret_scan, simhash
 from plumbline.llm.common import hash_share
 from plumbline.session import apply_runtime_conf
 
@@ -33,6 +33,11 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return crf_quality.classify(docs, labels, hash_share("doc_id", 5) == 0)
+
+
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan(table(spark, folder, "documents"))
     spans, base = F.col("spans"), len(secret_scan.BASE_RULES)
@@ -107,6 +112,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_quality": op1_crf_quality,
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
     "op5_hmm_scores": op5_hmm_scores,
