@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, crf_quality, decontaminate, hmm, pii, quality_rules, secret_scan, simhash
+from plumbline.llm import bpe, crf_quality, decontaminate, hmm, main_text, pii, quality_rules, secret_scan, simhash
 from plumbline.llm.common import hash_share
 from plumbline.session import apply_runtime_conf
 
@@ -100,6 +100,10 @@ def op7_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract_pages(table(spark, folder, "pages"))
+
+
 def op9_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     changed = pii.pseudonymized(F.col("text"), PSEUDONYM_KEY)
     docs = table(spark, folder, "documents").select("doc_id", changed.alias("new"))
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hmm_scores": op5_hmm_scores,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe_encoding": op7_bpe_encoding,
+    "op8_main_text": op8_main_text,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
