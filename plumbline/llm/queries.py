@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, crf_quality, decontaminate, hmm, main_text, pii, quality_rules, secret_scan, simhash
+from plumbline.llm import bpe, chat, crf_quality, decontaminate, hmm, main_text, pii, quality_rules, secret_scan, simhash
 from plumbline.llm.common import hash_share
 from plumbline.session import apply_runtime_conf
 
@@ -66,6 +66,19 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    tokenizer = bpe.read_tokenizer(spark, tokenizer_path(WORD_TOKENIZER))
+    return chat.read_back(chat.windows(rows.unionByName(probe), tokenizer))
+
+
 def op5_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.score(table(spark, folder, "documents"), hash_share("doc_id", 7) == 2)
 
@@ -119,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_quality": op1_crf_quality,
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_chat_windows": op4_chat_windows,
     "op5_hmm_scores": op5_hmm_scores,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe_encoding": op7_bpe_encoding,
