@@ -73,7 +73,8 @@ def write_window(turns: list[tuple[str, str, bool]]) -> tuple[str, list[tuple[in
     """Formatted text of (role, text, repeated) turns, and the spans of the loss mask in code points."""
     parts, mask, size = [], [], 0
     for role, text, repeated in turns:
-        head, body = f"{TURN}{escape(role)}\n", escape(text)
+        name = escape(role).replace("\n", "\\\n")  # the first bare line end closes the role
+        head, body = f"{TURN}{name}\n", escape(text)
         if role == "assistant" and not repeated and body:
             mask.append((size + len(head), size + len(head) + len(body)))
         parts += [head, body, f"{STOP}\n"]

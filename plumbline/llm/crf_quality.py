@@ -175,7 +175,7 @@ def minimized(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int,
         if new_value > value:
             break
         step, change = -rate * direction, new_slope - slope
-        done = value - new_value < 1e-6 * abs(value)
+        done = value - new_value <= 1e-6 * abs(value)
         x, value, slope = x + step, new_value, new_slope
         if step @ change > 1e-12:
             pairs = [*pairs[-7:], (step, change)]
