@@ -7,11 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from plumbline.functions.ordered import POSITION, SERIES_SIZE, with_position
+from plumbline.functions.ordered import null_safe_join, running_totals
 
-# Columns with fewer distinct values than this use the one-pass aggregate, whose memory is one
-# map entry per distinct value. Above it the value range is narrowed by repeated counting.
-MAX_MAP_ENTRIES = 500_000
 _BINS = 4096
 
 
@@ -91,13 +88,12 @@ def _interpolated(df: DataFrame, stats: dict[str, tuple[int, float, float]], pro
     }
 
 
-def quantile_aggregates(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], max_map_entries: int = MAX_MAP_ENTRIES
-) -> dict[str, Column]:
-    """For each column an array expression usable inside ``df.agg``.
+def quantile_aggregates(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, Column]:
+    """For each column an array literal, usable in any projection, filter or ``df.agg``.
 
-    One profiling pass measures the distinct counts. Small columns get the exact ``percentile``
-    aggregate (fused with whatever else the caller aggregates), large ones get literal results.
+    One pass takes counts and bounds; the value range is then narrowed by counting, whatever the
+    number of rows or distinct values: no task ever holds the values of a column. Runs its jobs while
+    it is called. A column without values gives an array of NULLs.
     """
     if not columns:
         return {}
@@ -105,24 +101,15 @@ def quantile_aggregates(
         *[
             F.struct(
                 F.count(clean_double(c)).alias("n"),
-                F.approx_count_distinct(clean_double(c)).alias("distinct"),
                 F.min(clean_double(c)).alias("low"),
                 F.max(clean_double(c)).alias("high"),
             ).alias(f"s{i}")
             for i, c in enumerate(columns)
         ]
     ).first()
-    large = {
-        c: (probe[i]["n"], probe[i]["low"], probe[i]["high"])
-        for i, c in enumerate(columns)
-        if probe[i]["distinct"] > max_map_entries
-    }
-    solved = _interpolated(df, large, probs) if large else {}
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return {
-        c: F.array(*[F.lit(v) for v in solved[c]]) if c in solved else F.percentile(clean_double(c), wanted)
-        for c in columns
-    }
+    known = {c: (probe[i]["n"], probe[i]["low"], probe[i]["high"]) for i, c in enumerate(columns) if probe[i]["n"]}
+    solved = _interpolated(df, known, probs) if known else {}
+    return {c: F.array(*[number(v) for v in solved.get(c, [None] * len(probs))]) for c in columns}
 
 
 def number(value: float | None) -> Column:
@@ -130,23 +117,6 @@ def number(value: float | None) -> Column:
     return F.lit(value).cast("double")
 
 
-def quantile_scalars(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], max_map_entries: int = MAX_MAP_ENTRIES
-) -> dict[str, Column]:
-    """As :func:`quantile_aggregates`, but computed now, as literal arrays for any projection or filter.
-
-    One number per column and probability comes back to the driver; literals keep later plans small,
-    where a subquery would be repeated for every reference.
-    """
-    aggregates = quantile_aggregates(df, columns, probs, max_map_entries)
-    if not aggregates:
-        return {}
-    row = df.agg(*aggregates.values()).first()
-    return {
-        c: F.array(*[number(v) for v in (row[i] or [None] * len(probs))]) for i, c in enumerate(aggregates)
-    }
-
-
 def column_statistics(df: DataFrame, columns: Sequence[str], *functions) -> list[list[float | None]]:
     """One list of numbers per aggregate function, in column order, from one scan."""
     row = df.agg(*[f(clean_double(c)) for f in functions for c in columns]).first()
@@ -154,28 +124,39 @@ def column_statistics(df: DataFrame, columns: Sequence[str], *functions) -> list
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles per key from the global order, so a hot key is spread over many blocks.
+    """Exact quantiles per key: equal values are counted, then running totals give their ranks.
 
-    Returns ``keys`` and one array column ``quantiles`` in the order of ``probs``.
+    What is put in order is one row per key and distinct value, so neither a hot key nor a hot value
+    fills a block. Returns ``keys`` and one array column ``quantiles`` in the order of ``probs``.
     """
-    rows = df.select(*keys, clean_double(value).alias("_v")).where("_v is not null")
-    placed = with_position(rows, ["_v"], keys)
-    rank = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
-    h = (F.col(SERIES_SIZE) - 1) * F.col("_t.p")
-    distance = F.abs(F.col(POSITION) - h)
-    near = placed.withColumn("_t", rank).withColumn("_d", distance).where(F.col("_d") < 1)
+    counted = (
+        df.select(*keys, clean_double(value).alias("_v"))
+        .where("_v is not null")
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    placed = running_totals(counted, {"_upto": "_n"}, ["_v"], keys)
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    ranked = null_safe_join(placed, totals, list(keys)) if keys else placed.join(totals)
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    h = (F.col("_all") - 1) * F.col("_t.p")
+    low, share = F.floor(h), h - F.floor(h)
+
+    def holds(rank: Column) -> Column:
+        return (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
+
     # A rank between two rows is their weighted mean; the weights are one minus the distances.
-    points = near.groupBy(*keys, F.col("_t.i").alias("_i")).agg(F.sum(F.col("_v") * (1 - F.col("_d"))).alias("_q"))
+    weight = F.when(holds(low), 1 - share).otherwise(0.0) + F.when(holds(low + 1) & (share > 0), share).otherwise(0.0)
+    near = ranked.withColumn("_t", F.explode(wanted)).withColumn("_w", weight).where("_w > 0")
+    points = near.groupBy(*keys, F.col("_t.i").alias("_i")).agg(F.sum(F.col("_v") * F.col("_w")).alias("_q"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"])
     return points.groupBy(*keys).agg(ordered.alias("quantiles"))
 
 
 __all__ = [
-    "MAX_MAP_ENTRIES",
     "clean_double",
     "column_statistics",
     "grouped_quantiles",
     "number",
     "quantile_aggregates",
-    "quantile_scalars",
 ]

@@ -321,19 +321,17 @@ def pairwise_contingency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for a, b in combinations(columns, 2)
         ]
     )
-    # Equal combinations are merged before the pairs are unfolded.
-    merged = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        merged.select("_n", F.inline(pairs))
+        df.select(F.inline(pairs))
         .where("value1 is not null and value2 is not null")
         .groupBy("column1", "value1", "column2", "value2")
-        .agg(F.sum("_n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def joint_frequency(df: DataFrame, columns: Sequence[str], margins: bool = False) -> DataFrame:
-    """Row count of each combination of up to three text columns; ``margins`` adds every subtotal."""
-    used = list(columns[:3])
+    """Row count of each combination of the text columns; ``margins`` adds every subtotal."""
+    used = list(columns)
     texts = df.select(*[F.coalesce(as_text(c), F.lit("nan")).alias(c) for c in used])
     if not margins:
         return texts.groupBy(*used).agg(F.count(F.lit(1)).alias("n"))

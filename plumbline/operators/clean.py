@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.ordered import POSITION, fill_forward_backward, null_safe_join, with_position
-from plumbline.functions.quantiles import clean_double, column_statistics, number, quantile_scalars
+from plumbline.functions.quantiles import clean_double, column_statistics, number, quantile_aggregates
+from plumbline.functions.scratch import materialize
 from plumbline.functions.statistics import safe_divide
 from plumbline.operators.quality import missing_counts_row
 from plumbline.operators.schema import as_text, distinct_counts, long_values, value_counts
 
-# A code table up to this many rows is sent to every task; a longer one is joined by shuffle,
-# where adaptive execution splits the partitions of frequent values.
-MAX_BROADCAST_CODES = 500_000
-
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
@@ -34,7 +31,7 @@ def drop_sparse_columns(df: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill numeric columns with their exact median (as double)."""
-    medians = quantile_scalars(df, columns, [0.5])
+    medians = quantile_aggregates(df, columns, [0.5])
     return df.withColumns({c: F.coalesce(clean_double(c), medians[c][0]) for c in columns})
 
 
@@ -105,39 +102,35 @@ def encode(
         raise ValueError(f"unknown encoding method {method!r}")
     if codes is None:
         codes = label_codes(df, columns, null_label) if method == "label" else first_seen_codes(df, columns, order_by)
-    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    codes = materialize(codes)  # read once per column; its size then decides how it is joined
     result = df
     for c in columns:
         table = codes.where(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("code").alias(f"{c}_encoded")
         )
-        if sizes.get(c, 0) <= MAX_BROADCAST_CODES:
-            table = F.broadcast(table)
         key = as_text(c) if null_label is None else F.coalesce(as_text(c), F.lit(null_label))
         result = result.withColumn("_key", key).join(table, F.col("_key") == F.col("_value"), "left")
         result = result.drop("_key", "_value")
     return result
 
 
-def encoding_method(rows: int, categorical_columns: int) -> str:
-    """The size rule for choosing an encoder: first-seen above three columns and 1000 rows."""
-    return "first_seen" if categorical_columns > 3 and rows > 1000 else "label"
-
-
-def category_lists(df: DataFrame, columns: Sequence[str], max_categories: int) -> dict[str, list[str]]:
-    """Sorted values of every column that has at most ``max_categories`` of them."""
-    small = [
-        r["column"]
-        for r in distinct_counts(df, columns).where(F.col("distinct_values") <= max_categories).collect()
-    ]
+def category_lists(df: DataFrame, columns: Sequence[str], max_categories: int | None) -> dict[str, list[str]]:
+    """Sorted values of every column, or of those with at most ``max_categories``."""
+    small = list(columns)
+    if max_categories is not None:
+        few = distinct_counts(df, columns).where(F.col("distinct_values") <= max_categories)
+        small = [r["column"] for r in few.collect()]
     found: dict[str, list[str]] = {c: [] for c in columns if c in small}
     for row in long_values(df, small).distinct().collect() if small else []:
         found[row["column"]].append(row["value"])
     return {c: sorted(values) for c, values in found.items()}
 
 
-def one_hot_columns(df: DataFrame, columns: Sequence[str], max_categories: int = 20) -> DataFrame:
-    """Add 0/1 columns ``<column>_<value>`` for the columns with few categories."""
+def one_hot_columns(df: DataFrame, columns: Sequence[str], max_categories: int | None = None) -> DataFrame:
+    """Add 0/1 columns ``<column>_<value>``: a schema of its own width, so the driver lists the values.
+
+    ``max_categories`` leaves wider columns out; for those :func:`one_hot_vectors` has sparse vectors.
+    """
     lists = category_lists(df, columns, max_categories)
     dummies: dict[str, Column] = {
         f"{c}_{v}": F.when(as_text(c) == v, 1).otherwise(0) for c, values in lists.items() for v in values
@@ -146,11 +139,19 @@ def one_hot_columns(df: DataFrame, columns: Sequence[str], max_categories: int =
 
 
 def one_hot_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add sparse vectors ``<column>_onehot`` for columns with any number of categories."""
-    result = df
+    """Add sparse vectors ``<column>_onehot`` for columns with any number of categories.
+
+    The codes come from the distributed code table; only the number of categories reaches the driver.
+    A missing value has the last place.
+    """
+    codes = label_codes(df, columns)
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    encoded = encode(df, columns, "label", codes=codes)
     for c in columns:
-        indexer = StringIndexer(inputCol=c, outputCol=f"{c}_index", stringOrderType="alphabetAsc", handleInvalid="keep")
-        result = indexer.fit(result).transform(result)
+        place = F.coalesce(F.col(f"{c}_encoded"), F.lit(sizes.get(c, 0))).cast("double")
+        width = {"ml_attr": {"type": "nominal", "num_vals": sizes.get(c, 0) + 1, "name": f"{c}_index"}}
+        encoded = encoded.withColumn(f"{c}_index", place).withMetadata(f"{c}_index", width)
+    result = encoded.drop(*[f"{c}_encoded" for c in columns])
     encoder = OneHotEncoder(
         inputCols=[f"{c}_index" for c in columns], outputCols=[f"{c}_onehot" for c in columns], dropLast=False
     )

@@ -12,7 +12,6 @@ from plumbline.functions.quantiles import (
     column_statistics,
     number,
     quantile_aggregates,
-    quantile_scalars,
 )
 from plumbline.functions.statistics import micros, safe_divide, sample_kurtosis, sample_skewness, whole_days
 from plumbline.operators.clean import column_modes
@@ -178,7 +177,7 @@ def _fences(q: Column, factor: float) -> tuple[Column, Column]:
 
 def box_plot(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (extreme values inside the fences) and number of points outside."""
-    quartiles = quantile_scalars(df, columns, [0.25, 0.5, 0.75])
+    quartiles = quantile_aggregates(df, columns, [0.25, 0.5, 0.75])
     parts = []
     for i, c in enumerate(columns):
         x = clean_double(c)
@@ -209,7 +208,7 @@ def box_plot(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> Data
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
     """``(column, lower_bound, upper_bound, outliers, outlier_pct)`` by the interquartile range."""
-    quartiles = quantile_scalars(df, columns, [0.25, 0.5, 0.75])
+    quartiles = quantile_aggregates(df, columns, [0.25, 0.5, 0.75])
     row = df.agg(
         *[F.count(clean_double(c)).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.count_if(is_iqr_outlier(c, quartiles[c], factor)).alias(f"o{i}") for i, c in enumerate(columns)],
@@ -237,7 +236,7 @@ def is_iqr_outlier(column: str, quartiles: Column, factor: float = 1.5) -> Colum
 
 def flag_iqr_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """Add the boolean ``is_outlier`` to every row."""
-    q = quantile_scalars(df, [column], [0.25, 0.5, 0.75])[column]
+    q = quantile_aggregates(df, [column], [0.25, 0.5, 0.75])[column]
     return df.withColumn("is_outlier", F.coalesce(is_iqr_outlier(column, q, factor), F.lit(False)))
 
 
@@ -265,28 +264,28 @@ def z_outliers(df: DataFrame, columns: Sequence[str], limit: float = 3.0) -> Dat
 def headline_insights(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], datetime: Sequence[str]
 ) -> DataFrame:
-    """``(insight, subject, value)``: size, leading categories, averages, date span."""
+    """``(insight, subject, value)``: size, averages, leading categories and date span of all columns given."""
     text = lambda c: c.cast("string")
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.avg(clean_double(c)).alias(f"m{i}") for i, c in enumerate(numeric[:2])],
-        *[F.min(c).alias("lo") for c in datetime[:1]],
-        *[F.max(c).alias("hi") for c in datetime[:1]],
+        *[F.avg(clean_double(c)).alias(f"m{i}") for i, c in enumerate(numeric)],
+        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(datetime)],
+        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(datetime)],
     )
     item = lambda kind, subject, value: F.struct(
         F.lit(kind).alias("insight"), F.lit(subject).cast("string").alias("subject"), value.alias("value")
     )
     items = [item("records", None, text(F.col("rows"))), item("variables", None, F.lit(str(len(df.columns))))]
-    items += [item("average", c, F.format_string("%.2f", F.col(f"m{i}"))) for i, c in enumerate(numeric[:2])]
+    items += [item("average", c, F.format_string("%.2f", F.col(f"m{i}"))) for i, c in enumerate(numeric)]
     if not numeric:
         items.append(item("no_numeric_columns", None, F.lit("true")))
-    if datetime:
-        span = whole_days(micros(F.col("hi")) - micros(F.col("lo")))
-        items.append(item("span_days", datetime[0], text(span)))
-        items.append(item("first_date", datetime[0], F.date_format("lo", "yyyy-MM-dd")))
-        items.append(item("last_date", datetime[0], F.date_format("hi", "yyyy-MM-dd")))
+    for i, c in enumerate(datetime):
+        span = whole_days(micros(F.col(f"hi{i}")) - micros(F.col(f"lo{i}")))
+        items.append(item("span_days", c, text(span)))
+        items.append(item("first_date", c, F.date_format(f"lo{i}", "yyyy-MM-dd")))
+        items.append(item("last_date", c, F.date_format(f"hi{i}", "yyyy-MM-dd")))
     result = one_row_to_long(row, items)
-    leading = list(categorical[:3])
+    leading = list(categorical)
     if leading:
         known = df.agg(F.struct(*[F.count(f"`{c}`").alias(c) for c in leading])).scalar()
         total = F.coalesce(*[F.when(F.col("column") == c, known[c]) for c in leading])

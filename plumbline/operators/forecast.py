@@ -1,7 +1,7 @@
 """Forecasts on aggregated series, their errors and the future dates they belong to.
 
 The recursive models run per series inside ``applyInPandas``. They take series that are aggregated to
-a calendar grain, whose length is bounded by the calendar, and refuse longer groups.
+a calendar grain, whose length is bounded by the calendar; many series spread over the tasks.
 """
 
 from __future__ import annotations
@@ -17,9 +17,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from plumbline.functions.statistics import safe_divide
 from plumbline.operators.timeseries import MIN_POINTS, autocorrelation
 
-# A century of hourly points; a longer group has not been aggregated.
-MAX_POINTS = 900_000
-
 
 def _no_rows(schema: T.StructType) -> pd.DataFrame:
     return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
@@ -43,8 +40,9 @@ def forecast_errors(df: DataFrame, actual: str, predicted: str, keys: Sequence[s
 def future_dates(df: DataFrame, date: str, frequency: str | Column, steps: int = 6, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, step, ts)``: the next dates after the last one at a frequency code.
 
-    Week codes move by 7 or 14 days and month, quarter and year codes to the period ends, as
-    calendar frequencies do.
+    Hours and days count from the last date. Weeks go to Sundays and month, quarter and year codes to
+    the period ends, as calendar frequencies do: a last date inside a week first moves to its Sunday,
+    keeping its time of day.
     """
     code = F.lit(frequency) if isinstance(frequency, str) else frequency
     last = df.groupBy(*keys).agg(F.max(date).cast("timestamp").alias("_last"))
@@ -59,11 +57,16 @@ def future_dates(df: DataFrame, date: str, frequency: str | Column, steps: int =
         ahead = F.when(day == this_end, s).otherwise(s - 1)
         return F.date_sub(F.add_months(F.trunc(day, unit), months * (ahead + 1)), 1)
 
-    hours = {"H": 1, "6H": 6, "D": 24, "W": 168, "2W": 336}
+    hours = {"H": 1, "6H": 6, "D": 24}
     ts = None
     for name, length in hours.items():
         moved = F.timestamp_micros(F.unix_micros("_last") + s * F.lit(length * 3_600_000_000))
         ts = F.when(F.col("_f") == name, moved) if ts is None else ts.when(F.col("_f") == name, moved)
+    to_sunday = (6 - F.weekday(day)).cast("long")
+    for name, weeks in (("W", 1), ("2W", 2)):
+        days = to_sunday + 7 * weeks * (s - F.when(to_sunday == 0, 0).otherwise(1))
+        moved = F.timestamp_micros(F.unix_micros("_last") + days * F.lit(86_400_000_000))
+        ts = ts.when(F.col("_f") == name, moved)
     for name, months, unit in (("M", 1, "month"), ("Q", 3, "quarter"), ("A", 12, "year")):
         ts = ts.when(F.col("_f") == name, period_end(months, unit).cast("timestamp"))
     return rows.select(*keys, "step", ts.alias("ts"))
@@ -154,8 +157,6 @@ def arima_forecast(
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
         y = rows["value"].to_numpy()
-        if len(y) > MAX_POINTS:
-            raise ValueError("aggregate the series before forecasting")
         cut = int(len(y) * train)
         if len(y) < MIN_POINTS["forecast"] or cut < 4:
             return _no_rows(schema)
@@ -222,8 +223,6 @@ def holt_winters_forecast(
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         y = rows.sort_values("ts")["value"].to_numpy()
-        if len(y) > MAX_POINTS:
-            raise ValueError("aggregate the series before forecasting")
         if len(y) < 2 * season:
             return _no_rows(schema)
         weights, mse, level, trend, seasonal = holt_winters_fit(y, season)

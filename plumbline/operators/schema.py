@@ -36,31 +36,25 @@ def one_row_to_long(row: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-def column_roles(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
-    """``(column, dtype, role)``; a text column is a date when it has values and all of them parse.
+# Text that may be a date: a year with its month at least. Bare numbers are codes, whatever parses.
+_DATE_TEXT = r"^\s*\d{4}-\d{1,2}(-|\s*$)"
 
-    All rows are checked in one aggregate; ``sample_rows`` restricts the check of each text column
-    to that many of its non-null values, which is cheaper but may depend on the file layout.
+
+def text_as_timestamp(column: Column) -> Column:
+    """The timestamp that a text stands for; NULL unless it looks like a date and parses as one."""
+    return F.when(column.rlike(_DATE_TEXT), F.try_to_timestamp(column))
+
+
+def column_roles(df: DataFrame) -> DataFrame:
+    """``(column, dtype, role)``; a text column is a date when it has values and all of them are dates.
+
+    All rows are checked in one aggregate.
     """
     text = [f.name for f in df.schema.fields if _static_role(f.dataType) is None]
-    if sample_rows and text:
-        checks = [
-            df.select(F.col(f"`{c}`").alias("v"))
-            .where("v is not null")
-            .limit(sample_rows)
-            .agg(F.struct(F.count("v").alias("n"), F.count(F.try_to_timestamp("v")).alias("ok")))
-            .scalar()
-            for c in text
-        ]
-        row = df.limit(0).agg(F.count(F.lit(1)).alias("_z")).select(
-            *[check.alias(f"t{i}") for i, check in enumerate(checks)]
-        )
-    else:
-        pairs = [
-            F.struct(F.count(f"`{c}`").alias("n"), F.count(F.try_to_timestamp(F.col(f"`{c}`"))).alias("ok"))
-            for c in text
-        ]
-        row = df.agg(F.count(F.lit(1)).alias("_rows"), *[p.alias(f"t{i}") for i, p in enumerate(pairs)])
+    pairs = [
+        F.struct(F.count(f"`{c}`").alias("n"), F.count(text_as_timestamp(F.col(f"`{c}`"))).alias("ok")) for c in text
+    ]
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[p.alias(f"t{i}") for i, p in enumerate(pairs)])
     structs = []
     for field in df.schema.fields:
         role = _static_role(field.dataType)
@@ -80,11 +74,11 @@ def column_roles(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     return one_row_to_long(row, structs)
 
 
-def classify(df: DataFrame, parse_text: bool = True, sample_rows: int | None = None) -> RoleMap:
+def classify(df: DataFrame, parse_text: bool = True) -> RoleMap:
     """Roles as names on the driver (one small row per column)."""
     known = {f.name: _static_role(f.dataType) for f in df.schema.fields}
     if parse_text and any(role is None for role in known.values()):
-        known = {r["column"]: r["role"] for r in column_roles(df, sample_rows).collect()}
+        known = {r["column"]: r["role"] for r in column_roles(df).collect()}
     roles = {name: role or "categorical" for name, role in known.items()}
     pick = lambda wanted: tuple(c for c in df.columns if roles[c] == wanted)
     return RoleMap(pick("numeric"), pick("categorical"), pick("datetime"), pick("other"))
@@ -96,7 +90,7 @@ def apply_roles(df: DataFrame, roles: RoleMap) -> DataFrame:
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if field.name in roles.datetime and isinstance(field.dataType, T.StringType):
-            changes[field.name] = F.try_to_timestamp(column)
+            changes[field.name] = text_as_timestamp(column)
         elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
             changes[field.name] = F.when(~F.isnan(column), column)
     return df.withColumns(changes) if changes else df

@@ -328,7 +328,8 @@ def _future_sql(code: str, step: str) -> str:
         [
             _future_sql("H", "t + i * INTERVAL 1 HOUR"),
             _future_sql("D", "t + i * INTERVAL 1 DAY"),
-            _future_sql("W", "t + i * INTERVAL 7 DAY"),
+            _future_sql("W", "t + ((7 - isodow(t)) + 7 * (i - CASE WHEN isodow(t) = 7 THEN 0 ELSE 1 END)) * INTERVAL 1 DAY"),
+            _future_sql("2W", "t + ((7 - isodow(t)) + 14 * (i - CASE WHEN isodow(t) = 7 THEN 0 ELSE 1 END)) * INTERVAL 1 DAY"),
             _future_sql("M", "last_day(t + (i - CASE WHEN t::DATE = last_day(t) THEN 0 ELSE 1 END) * INTERVAL 1 MONTH)::TIMESTAMP"),
         ]
     )
@@ -336,7 +337,7 @@ def _future_sql(code: str, step: str) -> str:
 def future_dates(spark, d):
     events = table(spark, d, "events")
     result = None
-    for code in ("H", "D", "W", "M"):
+    for code in ("H", "D", "W", "2W", "M"):
         part = forecast.future_dates(events, "ts", code).select(
             F.lit(code).alias("code"), F.col("step").cast("long").alias("step"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts")
         )

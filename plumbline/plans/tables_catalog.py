@@ -461,21 +461,19 @@ def first_seen_encode(spark, d):
 
 
 @query(
-    """WITH n AS (SELECT count(*) AS n FROM part),
-    v AS (SELECT 'p_type' AS c, p_type AS v, p_partkey AS k FROM part UNION ALL SELECT 'p_brand', p_brand, p_partkey FROM part
+    """WITH v AS (SELECT 'p_type' AS c, p_type AS v, p_partkey AS k FROM part UNION ALL SELECT 'p_brand', p_brand, p_partkey FROM part
       UNION ALL SELECT 'p_name', p_name, p_partkey FROM part),
     g AS (SELECT c, v, min(k) AS k FROM v GROUP BY ALL)
-    SELECT c AS "column", v AS value, row_number() OVER (PARTITION BY c ORDER BY v) - 1 AS code, 'label' AS method FROM g"""
+    SELECT c AS "column", v AS value, row_number() OVER (PARTITION BY c ORDER BY v) - 1 AS code, 'label' AS method FROM g
+    UNION ALL SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY k, v) - 1, 'first_seen' FROM g"""
 )
 def chosen_encoder(spark, d):
-    """The encoder follows from the number of text columns and rows; three text columns mean label codes."""
+    """The codes of both encoders; the caller names the one to use."""
     p = table(spark, d, "part")
     columns = ["p_type", "p_brand", "p_name"]
-    method = clean.encoding_method(p.count(), len(columns))
-    codes = (
-        clean.label_codes(p, columns) if method == "label" else clean.first_seen_codes(p, columns, ["p_partkey"])
-    )
-    return codes.select("column", "value", "code", F.lit(method).alias("method"))
+    label, seen = clean.label_codes(p, columns), clean.first_seen_codes(p, columns, ["p_partkey"])
+    both = label.withColumn("method", F.lit("label")).unionByName(seen.withColumn("method", F.lit("first_seen")))
+    return both.select("column", "value", "code", "method")
 
 
 _PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -487,7 +485,7 @@ _PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     + " FROM part"
 )
 def one_hot_dummies(spark, d):
-    wide = clean.one_hot_columns(table(spark, d, "part").select("p_partkey", "p_type", "p_name"), ["p_type", "p_name"])
+    wide = clean.one_hot_columns(table(spark, d, "part").select("p_partkey", "p_type", "p_name"), ["p_type", "p_name"], 20)
     return rounded(wide.drop("p_type", "p_name"))
 
 

@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from plumbline.sources.workbooks import read_workbooks
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with header; give a schema for big data, since type inference reads the files twice."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, quoted_lines: bool = True
+) -> DataFrame:
+    """CSV with header; give a schema for big data, since type inference reads the files twice.
+
+    A quoted field may hold line ends, so a file is read by one task; large exports come as many files.
+    ``quoted_lines=False`` promises that there are none, and lets single large files be split.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", quoted_lines)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", True).csv(path)

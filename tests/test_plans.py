@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
-from plumbline.plans import analysis
+from plumbline.plans import analysis, catalog
 from tools.check_queries import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -58,7 +58,8 @@ def test_modes_nest(spark, shop):
 def test_registry_is_consistent():
     queries, oracles = driver.queries(), driver.oracle_sql()
     assert set(oracles) <= set(queries) and len(oracles) > 90
-    assert not [n for n in queries if re.match(r"op\d|.*pipeline", n)]
+    assert not [n for n in catalog.QUERIES if re.match(r"op\d|.*pipeline", n)]
+    assert set(catalog.QUERIES) <= set(queries)
 
 
 @pytest.fixture(scope="module")

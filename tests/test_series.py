@@ -112,7 +112,7 @@ def test_regularize_gaps(frame):
     assert ts.regularize(df).toPandas().sort_values("idx")["value"].tolist() == [0, 2, 4, 6, 8]
 
 
-@pytest.mark.parametrize("code, alias", [("H", "h"), ("6H", "6h"), ("D", "D"), ("M", "ME"), ("Q", "QE"), ("A", "YE")])
+@pytest.mark.parametrize("code, alias", [("H", "h"), ("6H", "6h"), ("D", "D"), ("W", "W"), ("2W", "2W"), ("M", "ME"), ("Q", "QE"), ("A", "YE")])
 @pytest.mark.parametrize("last", [datetime(2023, 12, 31), datetime(2024, 1, 30, 5)])
 def test_future_dates(frame, code, alias, last):
     got = forecast.future_dates(frame({"t": [last]}, "t timestamp_ntz"), "t", code, 6).orderBy("step").collect()

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import clean, describe, quality, schema
+from plumbline.operators import associate, clean, describe, quality, schema
 from plumbline.plans.tables_catalog import workbook_bytes
 from plumbline.sources.readers import read_json, read_table
 from plumbline.sources.workbooks import workbook_rows
@@ -26,7 +26,8 @@ def dirty(spark):
             "empty": [None, None, None, "z", None, None, None],
         }
     )
-    rows = [tuple(None if v != v or v is pd.NaT else v for v in r) for r in pdf.astype(object).itertuples(index=False)]
+    plain = lambda v: None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
+    rows = [tuple(plain(v) for v in r) for r in pdf.astype(object).itertuples(index=False)]
     return spark.createDataFrame(rows, "id long, x double, c string, d timestamp_ntz, empty string")
 
 
@@ -41,10 +42,24 @@ def test_roles_and_missing(dirty):
 def test_text_dates_are_recognised(frame):
     df = frame({"a": ["2024-01-05", None, "2024-02-01"], "b": ["2024-01-05", "soon", "x"]}, "a string, b string")
     assert schema.classify(df).datetime == ("a",)
-    assert schema.classify(df, sample_rows=1).datetime in {("a",), ("a", "b")}
+    codes = frame({"zip": ["94107", "10001"], "month": ["2024-01", "2024-02"], "time": ["10:30", None]}, "zip string, month string, time string")
+    assert schema.classify(codes).datetime == ("month",)
+    assert schema.classify(codes).categorical == ("zip", "time")
     assert schema.apply_roles(df, schema.classify(df)).schema["a"].dataType.typeName() == "timestamp"
 
 
+def test_quoted_line_ends_stay_in_their_field(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,note\n1,"two\nlines"\n2,"a ""quote"""\n')
+    rows = [tuple(r) for r in read_table(spark, str(tmp_path / "t.csv")).orderBy("id").collect()]
+    assert rows == [(1, "two\nlines"), (2, 'a "quote"')]
+
+
+def test_joint_frequency_of_four_columns(frame):
+    df = frame({"a": ["x", "x"], "b": ["y", "y"], "c": ["z", "z"], "d": ["1", "2"]}, "a string, b string, c string, d string")
+    got = associate.joint_frequency(df, ["a", "b", "c", "d"])
+    assert got.columns == ["a", "b", "c", "d", "n"] and [r["n"] for r in got.collect()] == [1, 1]
+
+
 def test_nan_counts_as_missing(frame):
     df = frame({"x": [1.0, float("nan"), None]}, "x double")
     assert quality.missing_summary(df).first()["missing"] == 2
@@ -70,7 +85,6 @@ def test_encoders(dirty):
     assert codes == {"b": 0, "a": 1}
     labels = {r["value"]: r["code"] for r in clean.label_codes(dirty, ["c"], null_label="nan").collect()}
     assert labels == {"a": 0, "b": 1, "nan": 2}
-    assert clean.encoding_method(1001, 4) == "first_seen" and clean.encoding_method(1000, 4) == "label"
     with pytest.raises(ValueError):
         clean.encode(dirty, ["c"], "other")
 
