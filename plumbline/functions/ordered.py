@@ -121,14 +121,14 @@ def running_totals(
     return joined.withColumns(totals).drop(*helpers)
 
 
-def fill_forward_backward(
+def nearest_known(
     df: DataFrame,
     columns: Sequence[str],
     order_by: Sequence[str | Column],
     keys: Sequence[str] = (),
     blocks: int | None = None,
 ) -> DataFrame:
-    """Replace NULLs by the previous known value in order, leading NULLs by the next known one."""
+    """Add ``_before_<c>`` and ``_after_<c>``: the last known value up to a row and the first from it on."""
     rows = ordered_blocks(df, order_by, keys, blocks)
     _, before, after = _block_windows(keys)
     inside = W.partitionBy(BLOCK, *keys)
@@ -145,20 +145,24 @@ def fill_forward_backward(
         *[F.last(f"_first_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in columns],
     )
     joined = null_safe_join(rows, carried, [BLOCK, *keys])
-    filled = {
-        c: F.coalesce(
-            F.col(c),
-            F.last(c, ignorenulls=True).over(backward),
-            F.col(f"_prev_{c}"),
-            F.last(c, ignorenulls=True).over(forward),
-            F.col(f"_next_{c}"),
-        )
-        for c in columns
-    }
-    result = joined.select(
-        *[filled[name].alias(name) if name in filled else F.col(name) for name in df.columns]
-    )
-    return result
+    found = {}
+    for c in columns:
+        found[f"_before_{c}"] = F.coalesce(F.last(c, ignorenulls=True).over(backward), F.col(f"_prev_{c}"))
+        found[f"_after_{c}"] = F.coalesce(F.last(c, ignorenulls=True).over(forward), F.col(f"_next_{c}"))
+    return joined.select(*[F.col(name) for name in df.columns], *[e.alias(name) for name, e in found.items()])
+
+
+def fill_forward_backward(
+    df: DataFrame,
+    columns: Sequence[str],
+    order_by: Sequence[str | Column],
+    keys: Sequence[str] = (),
+    blocks: int | None = None,
+) -> DataFrame:
+    """Replace NULLs by the previous known value in order, leading NULLs by the next known one."""
+    rows = nearest_known(df, columns, order_by, keys, blocks)
+    filled = {c: F.coalesce(F.col(f"_before_{c}"), F.col(f"_after_{c}")) for c in columns}
+    return rows.select(*[filled[name].alias(name) if name in filled else F.col(name) for name in df.columns])
 
 
 def over_neighbours(

@@ -90,6 +90,8 @@ def partial_autocorrelation(
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("lag")
+        if rows["points"].iloc[0] < MIN_POINTS["autocorrelation"]:
+            return rows[names + ["lag"]].assign(pacf=np.nan)
         r = (rows["covariance_sum"] / (rows["points"] - rows["lag"])).to_numpy(dtype=float)
         out = [1.0]
         for k in range(1, len(r)):

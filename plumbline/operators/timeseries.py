@@ -11,7 +11,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from plumbline.functions.ordered import POSITION, SERIES_SIZE, null_safe_join, over_neighbours, with_position
+from plumbline.functions.ordered import (
+    POSITION,
+    SERIES_SIZE,
+    nearest_known,
+    null_safe_join,
+    over_neighbours,
+    with_position,
+)
 from plumbline.functions.quantiles import clean_double, grouped_quantiles
 from plumbline.functions.statistics import MICROS_PER_DAY, micros, safe_divide, whole_days
 from plumbline.operators.associate import contingency
@@ -82,13 +89,14 @@ def monthly_totals(df: DataFrame, date: str, value: str | None = None) -> DataFr
     return months.join(sums, "month", "left").select("month", F.coalesce("total", F.lit(0)).alias("total"))
 
 
-def period_category_counts(df: DataFrame, date: str, category: str) -> DataFrame:
-    """Counts per period and category; the period is a day, month or quarter by the span of the data."""
-    span = df.agg(whole_days(micros(F.max(date)) - micros(F.min(date)))).scalar()
+def period_category_counts(df: DataFrame, date: str, category: str, grain: str | None = None) -> DataFrame:
+    """Counts per period and category; ``grain`` is day, month or quarter, else it follows the span of the dates."""
     day = F.to_date(date)
-    period = (
-        F.when(span <= 31, day).when(span <= 365, F.trunc(day, "month")).otherwise(F.trunc(day, "quarter"))
-    )
+    if grain is None:
+        span = df.agg(whole_days(micros(F.max(date)) - micros(F.min(date)))).scalar()
+        period = F.when(span <= 31, day).when(span <= 365, F.trunc(day, "month")).otherwise(F.trunc(day, "quarter"))
+    else:
+        period = day if grain == "day" else F.trunc(day, grain)
     return contingency(df.withColumn("_period", period), "_period", category).select(
         F.col("row_value").alias("period"), F.col("col_value").alias("category"), "n"
     )
@@ -205,13 +213,14 @@ def moving_averages(
     tie: Sequence[str] = (),
     windows: Sequence[int] = MOVING_WINDOWS,
 ) -> DataFrame:
-    """Trailing means ``ma_<w>``, NULL until the window is full; series below 10 points are left out."""
-    placed = _points(df, date, value, keys, tie).where(F.col(SERIES_SIZE) >= MIN_POINTS["moving_average"])
+    """Trailing means ``ma_<w>``, NULL until the window is full and for series below 10 points."""
+    placed = _points(df, date, value, keys, tie)
+    enough = F.col(SERIES_SIZE) >= MIN_POINTS["moving_average"]
 
     def means(w) -> dict[str, Column]:
         result = {}
         for size in windows:
-            full = (F.col(POSITION) >= size - 1) & (F.col(SERIES_SIZE) > size)
+            full = enough & (F.col(POSITION) >= size - 1) & (F.col(SERIES_SIZE) > size)
             result[f"ma_{size}"] = F.when(full, F.avg("_v").over(w.rowsBetween(-(size - 1), 0)))
         return result
 
@@ -228,13 +237,13 @@ def moving_averages(
 def smoothed_trend(
     df: DataFrame, date: str, value: str, keys: Sequence[str] = (), tie: Sequence[str] = (), width: int = 11
 ) -> DataFrame:
-    """First-order Savitzky-Golay smoothing over ``width`` rows; series of more than 10 points.
+    """First-order Savitzky-Golay smoothing over ``width`` rows; shorter series have a NULL trend.
 
     The centre of a fitted line is the mean of its window; the first and last rows lie on the line
     fitted to the first and last ``width`` rows.
     """
     half = width // 2
-    placed = _points(df, date, value, keys, tie).where(F.col(SERIES_SIZE) >= width)
+    placed = _points(df, date, value, keys, tie)
     mean = lambda w: {"_mean": F.avg("_v").over(w.rowsBetween(-half, half))}
     rows = over_neighbours(placed, mean, before=half, after=half, keys=keys)
     names = list(keys) or ["_one"]
@@ -253,7 +262,8 @@ def smoothed_trend(
         )
     )
     smooth = (
-        F.when(F.col(POSITION) < half, F.col("_hi") + F.col("_hs") * at)
+        F.when(F.col(SERIES_SIZE) < width, F.lit(None).cast("double"))
+        .when(F.col(POSITION) < half, F.col("_hi") + F.col("_hs") * at)
         .when(F.col(POSITION) >= F.col(SERIES_SIZE) - half, F.col("_ti") + F.col("_ts_") * from_end)
         .otherwise(F.col("_mean"))
     )
@@ -275,10 +285,10 @@ def autocorrelation(
     max_lag: int = MAX_LAG,
     covariances: bool = False,
 ) -> DataFrame:
-    """``(keys, lag, acf)`` for lags 0..min(max_lag, n // 2) of series with more than 10 points."""
+    """``(keys, lag, acf)`` for lags 0..min(max_lag, n // 2); NULL for series of 10 points or fewer."""
     names = list(keys) or ["_one"]
     base = df if keys else df.withColumn("_one", F.lit(0))
-    placed = _points(base, date, value, names, tie).where(F.col(SERIES_SIZE) >= MIN_POINTS["autocorrelation"])
+    placed = _points(base, date, value, names, tie)
     means = placed.groupBy(*names).agg(F.avg("_v").alias("_m"))
     centred = null_safe_join(placed, means, names).withColumn("_d", F.col("_v") - F.col("_m"))
 
@@ -295,7 +305,8 @@ def autocorrelation(
     )
     rows = sums.select(*names, "_n", "_s0", F.inline(lags)).where(F.col("lag") <= F.floor(F.col("_n") / 2))
     extra = [F.col("_sum").alias("covariance_sum"), F.col("_n").alias("points")] if covariances else []
-    return rows.select(*keys, "lag", safe_divide(F.col("_sum"), F.col("_s0")).alias("acf"), *extra)
+    acf = F.when(F.col("_n") >= MIN_POINTS["autocorrelation"], safe_divide(F.col("_sum"), F.col("_s0")))
+    return rows.select(*keys, "lag", acf.alias("acf"), *extra)
 
 
 def significant_lags(acf: DataFrame, keys: Sequence[str] = (), limit: float = 0.3) -> DataFrame:
@@ -320,8 +331,11 @@ def chronological_split(
 def change_metrics(
     df: DataFrame, date: str, value: str, keys: Sequence[str] = (), tie: Sequence[str] = ()
 ) -> DataFrame:
-    """Start, end, extremes, total and mean change and the volatility of the percentage change."""
-    placed = _points(df, date, value, keys, tie).where(F.col(SERIES_SIZE) > 1)
+    """Start, end, extremes, total and mean change and the volatility of the percentage change.
+
+    A series of one point has no change: total 0, means and volatility NULL.
+    """
+    placed = _points(df, date, value, keys, tie)
     previous = lambda w: {"_prev": F.lag("_v").over(w)}
     rows = over_neighbours(placed, previous, before=1, keys=keys)
     change = F.col("_v") - F.col("_prev")
@@ -352,20 +366,14 @@ def regularize(
     """
     span = series.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     grid = span.where("_lo is not null").select(
-        *keys, F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.expr(f"interval {step}"))).alias(ts)
+        *keys, F.posexplode(F.sequence(F.col("_lo"), F.col("_hi"), F.expr(f"interval {step}"))).alias("_i", ts)
     )
     full = null_safe_join(grid, series.select(*keys, ts, F.col(value).alias("_v")), [*keys, ts], "left")
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    rank = part.orderBy(ts)
-    indexed = full.withColumn("_i", F.row_number().over(rank) - 1)
-    known = F.when(F.col("_v").isNotNull(), F.struct("_i", "_v"))
-    before = F.last(known, ignorenulls=True).over(rank.rowsBetween(W.unboundedPreceding, 0))
-    # Looking ahead as looking back in descending order keeps the frame growing instead of recomputed.
-    after = F.last(known, ignorenulls=True).over(part.orderBy(F.desc(ts)).rowsBetween(W.unboundedPreceding, 0))
-    placed = indexed.select("*", before.alias("_b"), after.alias("_a"))
-    weight = safe_divide(F.col("_i") - F.col("_b._i"), F.col("_a._i") - F.col("_b._i"))
-    line = F.col("_b._v") + (F.col("_a._v") - F.col("_b._v")) * weight
-    filled = F.coalesce(F.col("_v"), line, F.when(F.col("_b").isNotNull(), F.col("_b._v")))
+    known = full.withColumn("_k", F.when(F.col("_v").isNotNull(), F.struct("_i", "_v")))
+    placed = nearest_known(known, ["_k"], ["_i"], keys)
+    b, a = F.col("_before__k"), F.col("_after__k")
+    weight = safe_divide(F.col("_i") - b["_i"], a["_i"] - b["_i"])
+    filled = F.coalesce(F.col("_v"), b["_v"] + (a["_v"] - b["_v"]) * weight, b["_v"])
     return placed.select(
         *keys, ts, F.col("_i").cast("long").alias("idx"), filled.alias(value), F.col("_v").isNull().alias("was_gap")
     )
@@ -376,31 +384,38 @@ def decompose(
 ) -> DataFrame:
     """Additive trend, seasonal and residual parts of a regular series of at least two periods.
 
-    ``status`` is ``not enough points`` for shorter series, whose parts are NULL.
+    ``idx`` counts the rows of a series from 0. ``status`` is ``not enough points`` for shorter series,
+    whose parts are NULL. Centred means are taken over chunks of a series, not the whole of it.
     """
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    order = part.orderBy(idx)
+    names = list(keys) or ["_one"]
+    base = regular if keys else regular.withColumn("_one", F.lit(0))
+    sizes = base.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    placed = null_safe_join(base.withColumn(POSITION, F.col(idx)), sizes, names)
     half = period // 2
-    n = F.count(F.lit(1)).over(part)
-    frame = order.rowsBetween(-half, half)
-    if period % 2:
-        centred = F.avg(value).over(frame)
-    else:
-        ends = (F.lag(value, half).over(order) + F.lead(value, half).over(order)) / 2
-        centred = (F.sum(value).over(order.rowsBetween(-(half - 1), half - 1)) + ends) / period
-    enough = n >= F.lit(max(2 * period, MIN_POINTS["decomposition"]))
-    inner = enough & (F.col(idx) >= half) & (F.col(idx) < n - half)
-    trended = regular.withColumn("trend", F.when(inner, centred)).withColumn(
-        "status", F.when(enough, "ok").otherwise("not enough points")
-    )
-    phase = F.pmod(F.col(idx), F.lit(period))
-    phases = trended.where(F.col("trend").isNotNull()).groupBy(*keys, phase.alias("_phase")).agg(
+
+    def means(w) -> dict[str, Column]:
+        if period % 2:
+            return {"_mean": F.avg(value).over(w.rowsBetween(-half, half))}
+        ends = (F.lag(value, half).over(w) + F.lead(value, half).over(w)) / 2
+        return {"_mean": (F.sum(value).over(w.rowsBetween(-(half - 1), half - 1)) + ends) / period}
+
+    enough = F.col("_n") >= F.lit(max(2 * period, MIN_POINTS["decomposition"]))
+    inner = enough & (F.col(idx) >= half) & (F.col(idx) < F.col("_n") - half)
+    trended = over_neighbours(placed, means, before=half, after=half, keys=names).withColumns(
+        {
+            "trend": F.when(inner, F.col("_mean")),
+            "status": F.when(enough, "ok").otherwise("not enough points"),
+            "_phase": F.pmod(F.col(idx), F.lit(period)),
+        }
+    )
+    phases = trended.where(F.col("trend").isNotNull()).groupBy(*names, "_phase").agg(
         F.avg(F.col(value) - F.col("trend")).alias("_raw")
     )
     # At most one row per phase here.
-    effects = phases.withColumn("seasonal", F.col("_raw") - F.avg("_raw").over(part)).drop("_raw")
-    joined = null_safe_join(trended.withColumn("_phase", phase), effects, [*keys, "_phase"], "left").drop("_phase")
-    return joined.withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal"))
+    effects = phases.withColumn("seasonal", F.col("_raw") - F.avg("_raw").over(W.partitionBy(*names))).drop("_raw")
+    joined = null_safe_join(trended, effects, [*names, "_phase"], "left")
+    parts = joined.withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal"))
+    return parts.select(*regular.columns, "trend", "status", "seasonal", "residual")
 
 
 def seasonal_strength(parts: DataFrame, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
@@ -412,7 +427,7 @@ def seasonal_strength(parts: DataFrame, keys: Sequence[str] = (), value: str = "
 
 
 def trend_summary(df: DataFrame, date: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Slope per day, r-squared, strength and direction of a straight line through the series."""
+    """Slope per day, r-squared, strength and direction of a straight line; NULL for short series."""
     day = (micros(F.col(date)) / F.lit(MICROS_PER_DAY)).cast("double")
     start = df.agg(F.min(micros(F.col(date)))).scalar() / F.lit(MICROS_PER_DAY)
     x = day - start
@@ -422,14 +437,14 @@ def trend_summary(df: DataFrame, date: str, value: str, keys: Sequence[str] = ()
         F.regr_slope(y, x).alias("slope_per_day"),
         F.regr_r2(y, x).alias("r2"),
     )
-    r2 = F.col("r2")
-    return fit.where(F.col("points") >= MIN_POINTS["trend"]).withColumns(
-        {
-            "strength": F.when(r2 >= 0.5, "Strong").when(r2 >= 0.2, "Moderate").otherwise("Weak"),
-            "direction": F.when(F.col("slope_per_day") > 0, "Upward")
-            .when(F.col("slope_per_day") < 0, "Downward")
-            .otherwise("Flat"),
-        }
+    r2, slope = F.col("r2"), F.col("slope_per_day")
+    strength = F.when(r2 >= 0.5, "Strong").when(r2 >= 0.2, "Moderate").otherwise("Weak")
+    direction = F.when(slope > 0, "Upward").when(slope < 0, "Downward").otherwise("Flat")
+    enough = F.col("points") >= MIN_POINTS["trend"]
+    return fit.select(
+        *keys,
+        "points",
+        *[F.when(enough, e).alias(n) for n, e in (("slope_per_day", slope), ("r2", r2), ("strength", strength), ("direction", direction))],
     )
 
 

@@ -138,11 +138,11 @@ def series_metrics(spark, d):
 def _moving_sql(source: str, order: str, key: str | None, columns: str) -> str:
     part = f"PARTITION BY {key} " if key else ""
     averages = ", ".join(
-        f"CASE WHEN p >= {w - 1} AND n > {w} THEN round(avg(value) OVER ({part}ORDER BY p ROWS {w - 1} PRECEDING), 4) END AS ma_{w}"
+        f"CASE WHEN p >= {w - 1} AND n > {w} AND n >= 10 THEN round(avg(value) OVER ({part}ORDER BY p ROWS {w - 1} PRECEDING), 4) END AS ma_{w}"
         for w in ts.MOVING_WINDOWS
     )
     return f"""SELECT {columns}, p AS position, round(value, 4) AS value, {averages} FROM (
-      SELECT *, row_number() OVER ({part}ORDER BY {order}) - 1 AS p, count(*) OVER ({part}) AS n FROM {source}) WHERE n >= 10"""
+      SELECT *, row_number() OVER ({part}ORDER BY {order}) - 1 AS p, count(*) OVER ({part}) AS n FROM {source})"""
 
 
 @query(_moving_sql("events", "ts, event_id", "event_type", "event_type"))
@@ -163,48 +163,52 @@ def moving_averages_daily(spark, d):
     l AS (SELECT event_type, regr_slope(value, p) FILTER (p < 11) AS hs, regr_intercept(value, p) FILTER (p < 11) AS hi,
         regr_slope(value, p - n) FILTER (p >= n - 11) AS es, regr_intercept(value, p - n) FILTER (p >= n - 11) AS ei FROM p GROUP BY 1)
     SELECT event_type, p AS position, round(value, 4) AS value,
-      round(CASE WHEN p < 5 THEN hi + hs * p WHEN p >= n - 5 THEN ei + es * (p - n) ELSE m END, 4) AS trend
-    FROM p JOIN l USING (event_type) WHERE n >= 11"""
+      round(CASE WHEN n < 11 THEN NULL WHEN p < 5 THEN hi + hs * p WHEN p >= n - 5 THEN ei + es * (p - n) ELSE m END, 4) AS trend
+    FROM p JOIN l USING (event_type)"""
 )
 def smoothed_trend(spark, d):
     rows = ts.smoothed_trend(table(spark, d, "events"), "ts", "value", ["event_type"], ["event_id"])
     return rounded(rows.drop("ts"))
 
 
-_REGULAR_SQL = f"""{ORDER_DAYS_SQL}, weekday_days AS (SELECT * FROM order_days WHERE isodow(ts) <= 5),
-g AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY))::DATE AS ts FROM weekday_days),
-j AS (SELECT g.ts, value AS v, row_number() OVER (ORDER BY g.ts) - 1 AS idx FROM g LEFT JOIN weekday_days USING (ts)),
-b AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) AS bi,
-  last_value(v IGNORE NULLS) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) AS bv,
-  first_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ai,
-  first_value(v IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS av FROM j),
-reg AS (SELECT ts, idx, v IS NULL AS was_gap, CASE WHEN v IS NOT NULL THEN v ELSE bv + (av - bv) * (idx - bi) / (ai - bi) END AS value FROM b)"""
+# Daily order values per priority: on many days a priority has no order, so the gaps are real.
+_REGULAR_SQL = """priority_days AS (SELECT o_orderpriority, o_orderdate::DATE AS ts, sum(o_totalprice) AS value FROM orders GROUP BY ALL),
+g AS (SELECT o_orderpriority, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY))::DATE AS ts FROM priority_days GROUP BY 1),
+j AS (SELECT o_orderpriority, g.ts, value AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY g.ts) - 1 AS idx
+  FROM g LEFT JOIN priority_days USING (o_orderpriority, ts)),
+b AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER back AS bi, last_value(v IGNORE NULLS) OVER back AS bv,
+  first_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER ahead AS ai, first_value(v IGNORE NULLS) OVER ahead AS av FROM j
+  WINDOW back AS (PARTITION BY o_orderpriority ORDER BY idx ROWS UNBOUNDED PRECEDING),
+    ahead AS (PARTITION BY o_orderpriority ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+reg AS (SELECT o_orderpriority, ts, idx, v IS NULL AS was_gap, CASE WHEN v IS NOT NULL THEN v ELSE bv + (av - bv) * (idx - bi) / (ai - bi) END AS value FROM b)"""
 
 
-def _weekday_orders(spark, d):
-    """Daily order values of the working days, so that weekends are real gaps."""
-    return order_days(spark, d).where(F.weekday("ts") < 5)
+def _regular_orders(spark, d):
+    orders = table(spark, d, "orders")
+    return ts.regularize(ts.daily_series(orders, "o_orderdate", "o_totalprice", ["o_orderpriority"]), ["o_orderpriority"])
 
 
-@query(f"WITH {_REGULAR_SQL} SELECT strftime(ts, '%Y-%m-%d') AS ts, idx, round(value, 4) AS value, was_gap FROM reg")
+@query(f"WITH {_REGULAR_SQL} SELECT o_orderpriority, strftime(ts, '%Y-%m-%d') AS ts, idx, round(value, 4) AS value, was_gap FROM reg")
 def regular_series(spark, d):
-    return rounded(_iso(ts.regularize(_weekday_orders(spark, d)), "ts"))
+    return rounded(_iso(_regular_orders(spark, d), "ts"))
 
 
-_PARTS_SQL = f"""{_REGULAR_SQL}, t AS (SELECT *, count(*) OVER () AS n, avg(value) OVER (ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM reg),
+_PARTS_SQL = f"""{_REGULAR_SQL}, t AS (SELECT *, count(*) OVER (PARTITION BY o_orderpriority) AS n,
+  avg(value) OVER (PARTITION BY o_orderpriority ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM reg),
 u AS (SELECT *, CASE WHEN idx >= 3 AND idx < n - 3 THEN m END AS trend FROM t),
-s AS (SELECT idx % 7 AS ph, avg(value - trend) AS raw FROM u WHERE trend IS NOT NULL GROUP BY 1),
-parts AS (SELECT ts, idx, value, trend, raw - (SELECT avg(raw) FROM s) AS seasonal,
-  value - trend - (raw - (SELECT avg(raw) FROM s)) AS residual FROM u JOIN s ON ph = idx % 7)"""
+r AS (SELECT o_orderpriority, idx % 7 AS ph, avg(value - trend) AS raw FROM u WHERE trend IS NOT NULL GROUP BY ALL),
+s AS (SELECT o_orderpriority, ph, raw - avg(raw) OVER (PARTITION BY o_orderpriority) AS seasonal FROM r),
+parts AS (SELECT o_orderpriority, ts, idx, value, trend, seasonal, value - trend - seasonal AS residual
+  FROM u JOIN s USING (o_orderpriority) WHERE ph = idx % 7)"""
 
 
 @query(
-    f"""WITH {_PARTS_SQL} SELECT strftime(ts, '%Y-%m-%d') AS ts, round(trend, 3) AS trend, round(seasonal, 3) + 0.0 AS seasonal,
+    f"""WITH {_PARTS_SQL} SELECT o_orderpriority, strftime(ts, '%Y-%m-%d') AS ts, round(trend, 3) AS trend, round(seasonal, 3) + 0.0 AS seasonal,
     round(residual, 3) + 0.0 AS residual, 'ok' AS status FROM parts"""
 )
 def decomposition(spark, d):
-    parts = ts.decompose(ts.regularize(_weekday_orders(spark, d)), ts.SEASON_LENGTH["D"])
-    return rounded(_iso(parts, "ts").select("ts", "trend", "seasonal", "residual", "status"), 3)
+    parts = ts.decompose(_regular_orders(spark, d), ts.SEASON_LENGTH["D"], ["o_orderpriority"])
+    return rounded(_iso(parts, "ts").select("o_orderpriority", "ts", "trend", "seasonal", "residual", "status"), 3)
 
 
 def _even_sql(source: str) -> str:
@@ -228,12 +232,12 @@ def decomposition_monthly(spark, d):
 
 
 @query(
-    f"""WITH {_PARTS_SQL} SELECT round(avg(abs(seasonal)) / avg(abs(value)), 6) AS seasonal_strength,
-    avg(abs(seasonal)) / avg(abs(value)) > 0.1 AS has_seasonality FROM parts"""
+    f"""WITH {_PARTS_SQL} SELECT o_orderpriority, round(avg(abs(seasonal)) / avg(abs(value)), 6) AS seasonal_strength,
+    avg(abs(seasonal)) / avg(abs(value)) > 0.1 AS has_seasonality FROM parts GROUP BY 1"""
 )
 def seasonal_strength(spark, d):
-    parts = ts.decompose(ts.regularize(_weekday_orders(spark, d)), ts.SEASON_LENGTH["D"])
-    return rounded(ts.seasonal_strength(parts), 6)
+    parts = ts.decompose(_regular_orders(spark, d), ts.SEASON_LENGTH["D"], ["o_orderpriority"])
+    return rounded(ts.seasonal_strength(parts, ["o_orderpriority"]), 6)
 
 
 def _acf_sql() -> str:
@@ -246,8 +250,8 @@ def _acf_sql() -> str:
     shifted = ", ".join(f"lag(d, {k}) OVER w AS p{k}" for k in range(ts.MAX_LAG + 1))
     return f"""c AS (SELECT *, value - avg(value) OVER (PARTITION BY event_type) AS d, count(*) OVER (PARTITION BY event_type) AS n FROM events),
     l AS (SELECT *, {shifted} FROM c WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
-    s AS ({lags}), acf AS (SELECT event_type, lag::BIGINT AS lag, s / max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY event_type) AS acf
-      FROM s WHERE lag <= n // 2 AND n > 10)"""
+    s AS ({lags}), acf AS (SELECT event_type, lag::BIGINT AS lag, CASE WHEN n > 10 THEN s / max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY event_type) END AS acf
+      FROM s WHERE lag <= n // 2)"""
 
 
 @query(f"WITH {_acf_sql()} SELECT event_type, lag, round(acf, 6) + 0.0 AS acf FROM acf")
@@ -270,8 +274,8 @@ def _daily_acf_sql() -> str:
     return f"""{EVENT_DAYS_SQL},
     c AS (SELECT *, value - avg(value) OVER (PARTITION BY event_type) AS d, count(*) OVER (PARTITION BY event_type) AS n FROM event_days),
     l AS (SELECT *, {shifted} FROM c WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
-    s AS ({lags}), acf AS (SELECT event_type, lag, s / max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY event_type) AS acf
-      FROM s WHERE lag <= n // 2 AND n > 10)"""
+    s AS ({lags}), acf AS (SELECT event_type, lag, CASE WHEN n > 10 THEN s / max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY event_type) END AS acf
+      FROM s WHERE lag <= n // 2)"""
 
 
 @query(
