@@ -7,7 +7,7 @@ rule. A policy is a named, versioned set of rules; ``apply_policy`` needs only t
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,40 +16,28 @@ from plumbline.llm.common import let, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-COUNTS = (
-    "n_words",
-    "word_chars",
-    "n_symbols",
-    "n_dup_lines",
-    "n_repeat_words",
-    "n_lines",
-    "n_letters",
-    "n_upper",
-    "n_shouts",
-    "n_stutters",
-)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule fails where its condition over the measurements holds."""
+    """A rule fails where its condition over the measurements (fields of a struct) holds."""
 
     name: str
-    fails: str
+    fails: Callable[[Column], Column]
 
 
 # The position of a rule is its bit; new rules go to the end so that stored ledgers keep their meaning.
 RULES: tuple[Rule, ...] = (
-    Rule("too_few_words", "n_words < 20"),
-    Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    Rule("symbols", "100 * n_symbols > 30 * n_words"),
-    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
-    Rule("upper_case", "2 * n_upper > n_letters"),
-    Rule("shouting", "100 * n_shouts > 30 * n_words"),
-    Rule("stutter", "100 * n_stutters > 20 * n_words"),
-    Rule("long_words", "word_chars > 15 * n_words"),
-    Rule("short_words", "word_chars < 2 * n_words"),
-    Rule("no_letters", "n_letters = 0"),
+    Rule("too_few_words", lambda m: m["n_words"] < 20),
+    Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"]),
+    Rule("symbols", lambda m: 100 * m["n_symbols"] > 30 * m["n_words"]),
+    Rule("duplicate_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
+    Rule("upper_case", lambda m: 2 * m["n_upper"] > m["n_letters"]),
+    Rule("shouting", lambda m: 100 * m["n_shouts"] > 30 * m["n_words"]),
+    Rule("stutter", lambda m: 100 * m["n_stutters"] > 20 * m["n_words"]),
+    Rule("long_words", lambda m: m["word_chars"] > 15 * m["n_words"]),
+    Rule("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
+    Rule("no_letters", lambda m: m["n_letters"] == 0),
 )
 
 BASE = ("too_few_words", "repeated_windows")
@@ -106,43 +94,51 @@ def repeated_words(words: Column) -> Column:
     return let(hashes, count)
 
 
-def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id and the columns of ``COUNTS``.
+def measured(text: Column) -> Column:
+    """Struct of the measurements of a text that isn't NULL; words, lines and letters are taken once."""
 
-    NULL text counts as empty: no words, no lines, all counts 0. Repeated ids are separate rows.
+    def counts(words: Column, lines: Column, letters: Column) -> Column:
+        values = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")),
+            "n_symbols": F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", "")),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeated_words(words),
+            "n_lines": F.size(lines),
+            "n_letters": F.length(letters),
+            "n_upper": F.length(letters) - F.length(F.regexp_replace(letters, "\\p{Lu}+", "")),
+            "n_shouts": F.regexp_count(text, F.lit("!!+")),
+            "n_stutters": F.size(F.filter(words, lambda w, i: (i > 0) & (F.get(words, i - 1) == w))),
+        }
+        return F.struct(*[value.cast("long").alias(name) for name, value in values.items()])
+
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
+    letters = F.regexp_replace(text, "\\P{L}+", "")
+    return let(words_of(text), lambda w: let(lines, lambda x: let(letters, lambda c: counts(w, x, c))))
+
+
+def judged(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """Struct of the measurements and ``failed``, a long with bit k set where rule k fails.
+
+    One expression that evaluates every rule once, so a filter on it can be moved without repeating work.
     """
-    text = F.col("_text")
-    staged = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
-    staged = staged.select(
-        id_col,
-        "_text",
-        words_of(text).alias("_words"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"),
-        F.regexp_replace(text, "\\P{L}+", "").alias("_letters"),
-    )
-    words, lines = F.col("_words"), F.col("_lines")
-    symbols = F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))
-    counts = {
-        "n_words": F.size(words),
-        "word_chars": F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")),
-        "n_symbols": symbols,
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": repeated_words(words),
-        "n_lines": F.size(lines),
-        "n_letters": F.length("_letters"),
-        "n_upper": F.length("_letters") - F.length(F.regexp_replace("_letters", "\\p{Lu}+", "")),
-        "n_shouts": F.regexp_count(text, F.lit("!!+")),
-        "n_stutters": F.size(F.filter(words, lambda w, i: (i > 0) & (F.get(words, i - 1) == w))),
-    }
-    return staged.select(id_col, *[value.cast("long").alias(name) for name, value in counts.items()])
+
+    def bits(m: Column) -> Column:
+        failed = F.lit(0).cast("long")
+        for place, rule in enumerate(rules):
+            failed = failed.bitwiseOR(F.when(rule.fails(m), F.lit(1 << place)).otherwise(F.lit(0)).cast("long"))
+        return F.struct(m.alias("measured"), failed.alias("failed"))
+
+    return let(measured(text), bits)
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Measurements plus ``failed``, a long with bit k set where rule k fails."""
-    bits = F.lit(0).cast("long")
-    for place, rule in enumerate(rules):
-        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << place)).otherwise(F.lit(0)).cast("long"))
-    return measurements(docs, id_col, text_col).withColumn("failed", bits)
+    """One row per input row: the id, all measurements and ``failed``.
+
+    NULL text counts as empty: no words, no lines, all counts 0. Repeated ids are separate rows.
+    """
+    found = docs.select(F.col(id_col), judged(text_or_empty(text_col), rules).alias("_judged"))
+    return found.select(id_col, "_judged.measured.*", "_judged.failed")
 
 
 def apply_policy(rows: DataFrame, policy: str, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -170,9 +166,7 @@ def ablations(rows: DataFrame, policy: str, rules: Sequence[Rule] = RULES) -> Da
     )
 
 
-def kept_documents(docs: DataFrame, policy: str = "web-v1", text_col: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, policy: str = "web-v1", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with the columns of ``docs`` and nothing else."""
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text_col).alias("_body"))
-    judged = apply_policy(ledger(packed, "_row", "_body"), policy)
-    return judged.where("kept").select(*[F.col("_row")[c].alias(c) for c in columns])
+    mask = policy_mask(POLICIES[policy], rules)
+    return docs.where(judged(text_or_empty(text_col), rules)["failed"].bitwiseAND(mask) == 0)
