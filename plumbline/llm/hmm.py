@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,10 +95,6 @@ class Vocabulary:
     def base(self, count: int) -> float:
         return math.log10((count + 1) / (self.total + self.kinds + 1))
 
-    def tail_share(self, place: int, count: int) -> float:
-        """log10 of a tail token's share of its class."""
-        return math.log10((count + 1) / (self.tail_total[place - HEAD] + self.tail_kinds[place - HEAD] + 1))
-
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     """Bounded statistics of the counts: the top ``SHIPPED`` rows and one row per tail class."""
@@ -138,32 +135,33 @@ def sequences(text: Column, shipped: Broadcast) -> Column:
     @arrow_udf(SEQUENCE)
     def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v: Vocabulary = shipped.value
-        # class, base, share, shipped or not: by token, for the frequent ones
-        known = {}
-        for token, n in v.counts.items():
-            place = v.classes.get(token)
-            share = 0.0 if place is not None else v.tail_share(tail_class(token), n)
-            known[token] = (tail_class(token) if place is None else place, v.base(n), share)
+        number_of = {token: i for i, token in enumerate(v.counts)}.get
+        # By number; the last place is that of all rare tokens.
+        classes = np.array([v.classes.get(t, -1) for t in v.counts] + [-1])
+        tails = np.array([tail_class(t) for t in v.counts] + [0])
+        counts = np.array([*v.counts.values(), 0], float)
+        base = np.log10((counts + 1) / (v.total + v.kinds + 1))
+        mass = (v.tail_total + v.tail_kinds + 1)[np.maximum(tails - HEAD, 0)]
+        shares = np.where(classes < 0, np.log10((counts + 1) / mass), 0.0)
+        classes = np.where(classes < 0, tails, classes).astype("<u2")
+        base[-1] = shares[-1] = 0.0
         end_base, end_known = v.base(v.ends), int(v.ends > 0)
         for batch in batches:
             columns: list[list] = [[] for _ in range(5)]
             rare_tokens, rare_numbers, rare_ends = [], [], [0]
             for value in batch:
                 words = tokens_of(value.as_py())
-                found = list(map(known.get, words))
-                rare: Counter = Counter()
-                if None in found:
-                    for i, x in enumerate(found):
-                        if x is None:
-                            rare[words[i]] += 1
-                            found[i] = (tail_class(words[i]), 0.0, 0.0)
-                sums = np.array(found, np.float64).reshape(-1, 3)
-                classes = np.append(sums[:, 0].astype("<u2"), np.array([END], "<u2"))
-                columns[0].append(classes.tobytes())
+                found = np.fromiter(map(number_of, words, repeat(-1)), np.int64, len(words))
+                sequence = np.append(classes[found], np.array([END], "<u2"))
+                unknown = np.nonzero(found < 0)[0].tolist()
+                rare = Counter([words[i] for i in unknown])
+                if unknown:
+                    sequence[unknown] = [tail_class(words[i]) for i in unknown]
+                columns[0].append(sequence.tobytes())
                 columns[1].append(len(words) + 1)
-                columns[2].append(len(words) - rare.total() + end_known)
-                columns[3].append(float(sums[:, 1].sum()) + end_base)
-                columns[4].append(float(sums[:, 2].sum()))
+                columns[2].append(len(words) - len(unknown) + end_known)
+                columns[3].append(float(base[found].sum()) + end_base)
+                columns[4].append(float(shares[found].sum()))
                 rare_tokens.extend(rare)
                 rare_numbers.extend(rare.values())
                 rare_ends.append(len(rare_tokens))
@@ -195,104 +193,112 @@ def first_model() -> Model:
 class Batch:
     """Class sequences of some texts, cut into rows of ``SEGMENT`` classes that run side by side.
 
-    Rows stand by falling length, so that those that reach a column are always the first ones.
+    Rows stand by falling length, so that those that reach a column are always the first ones. States
+    come first in every array: sums over states are then sums of long vectors.
     """
 
     def __init__(self, texts: list[np.ndarray]):
         self.count = np.array([-(-len(t) // SEGMENT) for t in texts], np.int64)
-        first = np.cumsum([0, *self.count])[:-1]
-        rows = [t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)]
-        lengths = np.array([len(r) for r in rows])
+        self.first = np.cumsum([0, *self.count])[:-1]
+        sizes = np.array([len(t) for t in texts])
+        within = np.arange(self.count.sum()) - np.repeat(self.first, self.count)
+        lengths = np.minimum(SEGMENT, np.repeat(sizes, self.count) - within * SEGMENT)
         order = np.argsort(-lengths, kind="stable")
-        self.place = np.empty(len(rows), np.int64)  # of each row in the text order
-        self.place[order] = np.arange(len(rows))
-        self.first = first
-        self.table = np.zeros((len(rows), SEGMENT), np.int64)
-        for at, row in zip(self.place, rows):
-            self.table[at, : len(row)] = row
+        self.place = np.empty(len(order), np.int64)  # of each row in the text order
+        self.place[order] = np.arange(len(order))
+        row = np.repeat(self.place, lengths)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.columns = np.zeros((SEGMENT, len(order)), np.int64)
+        self.columns[column, row] = np.concatenate(texts) if texts else []
         self.reach = [int((lengths > k).sum()) for k in range(SEGMENT)]
 
-    def transfer(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """Per row the matrix from the state before it to that at its end, scaled, and the log of the scale.
+    def emissions(self, model: Model) -> list[np.ndarray]:
+        """Per column (states, rows that reach it)."""
+        by_state = np.ascontiguousarray(model.emit.T)
+        return [by_state[:, self.columns[k, :m]] for k, m in enumerate(self.reach)]
+
+    def transfer(self, model: Model, emissions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Per row the matrix (from the state before it, to that at its end), scaled, and the log of the scale.
 
-        The move into a class is part of it, so ``chain`` starts a text with a vector that the first
+        The move into a class is part of it, so ``forward`` starts a text with a vector that the first
         move turns into the start distribution.
         """
-        n = len(self.table)
-        matrix, scale = np.empty((n, STATES, STATES)), np.zeros(n)
-        matrix[:] = np.eye(STATES)
+        n = len(self.place)
+        matrix, scale = np.empty((STATES, STATES, n)), np.zeros(n)
+        matrix[:] = np.eye(STATES)[:, :, None]
+        step = np.ascontiguousarray(model.move.T)
         for k, m in enumerate(self.reach):
-            some = matrix[:m]
-            np.matmul(some.reshape(-1, STATES), model.move, out=(new := np.empty((m * STATES, STATES))))
-            np.multiply(new.reshape(m, STATES, STATES), model.emit[self.table[:m, k]][:, None, :], out=some)
+            new = np.matmul(step, matrix[:, :, :m])
+            new *= emissions[k]
             if k % 8 == 7 or k == 0:
-                top = some.max(axis=(1, 2))
-                some /= top[:, None, None]
+                top = new.max(axis=(0, 1))
+                new /= top
                 scale[:m] += np.log(top)
+            matrix[:, :, :m] = new
         return matrix, scale
 
     def forward(self, model: Model, matrix: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The state vector before each row, and the log likelihood of each text."""
-        before = np.zeros((len(self.table), STATES))
-        state = np.tile(np.linalg.solve(model.move.T, model.start), (len(self.count), 1))
+        before = np.zeros((STATES, len(self.place)))
+        state = np.repeat(np.linalg.solve(model.move.T, model.start)[:, None], len(self.count), axis=1)
         total = np.zeros(len(self.count))
         for step in range(int(self.count.max(initial=0))):
             live = np.nonzero(self.count > step)[0]
             row = self.place[self.first[live] + step]
-            before[row] = state[live]
-            new = np.einsum("ni,nij->nj", state[live], matrix[row])
-            size = new.sum(axis=1)
+            before[:, row] = state[:, live]
+            new = (state[:, None, live] * matrix[:, :, row]).sum(axis=0)
+            size = new.sum(axis=0)
             total[live] += np.log(size) + scale[row]
-            state[live] = new / size[:, None]
+            state[:, live] = new / size
         return before, total
 
     def backward(self, matrix: np.ndarray) -> np.ndarray:
         """What follows each row, as a vector over the state at its end."""
-        after = np.ones((len(self.table), STATES))
-        back = np.ones((len(self.count), STATES))
+        after = np.ones((STATES, len(self.place)))
+        back = np.ones((STATES, len(self.count)))
         for step in reversed(range(int(self.count.max(initial=0)))):
             live = np.nonzero(self.count > step)[0]
             row = self.place[self.first[live] + step]
-            after[row] = back[live]
-            new = np.einsum("nij,nj->ni", matrix[row], back[live])
-            back[live] = new / new.max(axis=1)[:, None]
+            after[:, row] = back[:, live]
+            new = (matrix[:, :, row] * back[None, :, live]).sum(axis=1)
+            back[:, live] = new / new.max(axis=0)
         return after
 
     def likelihoods(self, model: Model) -> np.ndarray:
         """Log likelihood of every text, exact over its whole length."""
-        return self.forward(model, *self.transfer(model))[1]
+        return self.forward(model, *self.transfer(model, self.emissions(model)))[1]
 
     def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and class emissions of one pass forward and back."""
-        matrix, scale = self.transfer(model)
+        emissions = self.emissions(model)
+        matrix, scale = self.transfer(model, emissions)
         before, _ = self.forward(model, matrix, scale)
         back = self.backward(matrix)
-        states = [before]
+        step = np.ascontiguousarray(model.move.T)
+        states, moved = [before], []
         for k, m in enumerate(self.reach):
-            new = (states[-1][:m] @ model.move) * model.emit[self.table[:m, k]]
-            new /= new.sum(axis=1, keepdims=True)
+            moved.append(step @ states[-1][:, :m])
+            new = moved[-1] * emissions[k]
+            new /= new.sum(axis=0)
             states.append(new)
-        moves, gammas = np.zeros((STATES, STATES)), []
-        opening = np.zeros(len(self.table), bool)
-        opening[self.place[self.first]] = True
-        starts = np.zeros(STATES)
+        moves, starts, gammas = np.zeros((STATES, STATES)), np.zeros(STATES), []
+        opening = self.place[self.first]
         for k in reversed(range(SEGMENT)):
             m = self.reach[k]
-            gamma = states[k + 1] * back[:m]
-            gamma /= gamma.sum(axis=1, keepdims=True)
+            gamma = states[k + 1] * back[:, :m]
+            gamma /= gamma.sum(axis=0)
             gammas.append(gamma)
-            ahead = model.emit[self.table[:m, k]] * back[:m]
-            left = states[k][:m]
-            share = left / np.einsum("nj,nj->n", left @ model.move, ahead)[:, None]
+            ahead = emissions[k] * back[:, :m]
+            share = states[k][:, :m] / (moved[k] * ahead).sum(axis=0)
             if k == 0:
-                starts += gamma[opening[:m]].sum(axis=0)
-                share[opening[:m]] = 0.0
-            moves += share.T @ ahead
-            new = ahead @ model.move.T
-            back[:m] = new / new.max(axis=1, keepdims=True)
-        gamma = np.concatenate(gammas)
-        classes = np.concatenate([self.table[: self.reach[k], k] for k in reversed(range(SEGMENT))])
-        emits = [np.bincount(classes, weights=gamma[:, s], minlength=CLASSES) for s in range(STATES)]
+                starts += gamma[:, opening].sum(axis=1)
+                share[:, opening] = 0.0
+            moves += share @ ahead.T
+            new = model.move @ ahead
+            back[:, :m] = new / new.max(axis=0)
+        gamma = np.concatenate(gammas, axis=1)
+        classes = np.concatenate([self.columns[k, : self.reach[k]] for k in reversed(range(SEGMENT))])
+        emits = [np.bincount(classes, weights=gamma[s], minlength=CLASSES) for s in range(STATES)]
         return starts, moves * model.move, np.stack(emits, axis=1)
 
 

@@ -10,16 +10,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from plumbline.functions.ordered import null_safe_join
 from plumbline.functions.statistics import safe_divide
 from plumbline.operators.timeseries import MIN_POINTS, autocorrelation
 
 
-def _no_rows(schema: T.StructType) -> pd.DataFrame:
-    return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
+def _too_short(rows: pd.DataFrame, names: Sequence[str], schema: T.StructType) -> pd.DataFrame:
+    """One row for a series that is too short: its key, and NULL for everything else."""
+    return pd.DataFrame({f.name: [rows[f.name].iloc[0] if f.name in names else None] for f in schema.fields})
 
 
 # ---------------------------------------------------------------- errors and dates
@@ -144,7 +144,7 @@ def arima_forecast(
     """Fit ARIMA(1,1,1) on the first 80 % of each series and forecast the rest.
 
     Returns ``(keys, step, ts, actual, forecast, phi, theta, sigma2)``; ``steps`` applies when
-    nothing is left to test. Series below 10 points give no rows.
+    nothing is left to test. Series below 10 points give one row of NULLs.
     """
     names = list(keys) or ["_one"]
     base = series if keys else series.withColumn("_one", F.lit(0))
@@ -161,7 +161,7 @@ def arima_forecast(
         y = rows["value"].to_numpy()
         cut = int(len(y) * train)
         if len(y) < MIN_POINTS["forecast"] or cut < 4:
-            return _no_rows(schema)
+            return _too_short(rows, names, schema)
         phi, theta, sigma2, error = arima_parameters(y[:cut])
         ahead = len(y) - cut or steps
         move = phi * (y[cut - 1] - y[cut - 2]) + theta * error
@@ -212,7 +212,7 @@ def holt_winters_forecast(
 ) -> DataFrame:
     """Additive trend and season; ``(keys, step, forecast, mse, alpha, beta, gamma)``.
 
-    Series shorter than two seasons give no rows.
+    Series shorter than two seasons give one row of NULLs.
     """
     names = list(keys) or ["_one"]
     base = series if keys else series.withColumn("_one", F.lit(0))
@@ -226,7 +226,7 @@ def holt_winters_forecast(
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         y = rows.sort_values("ts")["value"].to_numpy()
         if len(y) < 2 * season:
-            return _no_rows(schema)
+            return _too_short(rows, names, schema)
         weights, mse, level, trend, seasonal = holt_winters_fit(y, season)
         h = np.arange(1, steps + 1)
         out = pd.DataFrame({n: [rows[n].iloc[0]] * steps for n in names})
@@ -243,33 +243,71 @@ def holt_winters_forecast(
 
 
 def trend_season_forecast(
-    series: DataFrame, steps: int = 6, order: int = 3, ts: str = "ts", value: str = "value", interval: float = 1.2816
+    series: DataFrame,
+    keys: Sequence[str] = (),
+    steps: int = 6,
+    order: int = 3,
+    ts: str = "ts",
+    value: str = "value",
+    interval: float = 1.2816,
 ) -> DataFrame:
-    """Straight trend plus yearly Fourier terms by linear regression; monthly steps ahead.
+    """Straight trend plus ``order`` yearly Fourier waves per series by least squares; monthly steps ahead.
 
-    Returns ``(step, ts, forecast, lower_bound, upper_bound)``; the bounds span 80 % of a normal
-    residual. There are no trend change points.
+    Returns ``(keys, step, ts, forecast, lower_bound, upper_bound)``; the bounds span 80 % of a normal
+    residual. There are no trend change points. Spark adds up the normal equations of all series in one
+    aggregation; a task then solves one small system per series. Series with fewer points than terms
+    get NULL forecasts.
     """
-    span = series.agg(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi"))).scalar()
+    names = list(keys) or ["_one"]
+    base = series if keys else series.withColumn("_one", F.lit(0))
+    points = base.select(*names, F.to_date(ts).alias("_day"), F.col(value).cast("double").alias("_y")).where(
+        "_day is not null and _y is not null and not isnan(_y)"
+    )
+    spans = points.groupBy(*names).agg(F.min("_day").alias("_lo"), F.max("_day").alias("_hi"))
 
-    def features(df: DataFrame) -> DataFrame:
-        years = F.date_diff(F.to_date(ts), F.to_date(span["lo"])) / F.lit(365.25)
+    def terms() -> list[Column]:
+        years = F.date_diff("_day", "_lo") / F.lit(365.25)
         angle = 2 * F.pi() * years
-        waves = {f"_s{k}": F.sin(angle * k) for k in range(1, order + 1)}
-        waves |= {f"_c{k}": F.cos(angle * k) for k in range(1, order + 1)}
-        staged = df.withColumns({"_t": years, **waves})
-        return VectorAssembler(inputCols=["_t", *waves], outputCol="_x").transform(staged)
-
-    train = features(series.select(ts, F.col(value).cast("double").alias("_y")).na.drop())
-    model = LinearRegression(featuresCol="_x", labelCol="_y", predictionCol="forecast", solver="normal").fit(train)
-    margin = interval * model.summary.rootMeanSquaredError
-    ahead = series.groupBy().agg(F.to_date(F.max(ts)).alias("_last")).select(
-        F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "_last"
+        return [F.lit(1.0), years, *[f(angle * k) for k in range(1, order + 1) for f in (F.sin, F.cos)]]
+
+    size = 2 + 2 * order
+    x = [F.col("_x")[i] for i in range(size)]
+    sums = (
+        null_safe_join(points, spans, names)
+        .withColumn("_x", F.array(*terms()))
+        .groupBy(*names)
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.sum(F.col("_y") * F.col("_y")).alias("_yy"),
+            F.array(*[F.sum(F.col("_y") * a) for a in x]).alias("_xy"),
+            F.array(*[F.sum(a * b) for a in x for b in x]).alias("_xx"),
+        )
     )
-    dated = ahead.select("step", F.add_months("_last", F.col("step")).alias(ts))
-    return model.transform(features(dated)).select(
+    fields = [f for f in base.schema.fields if f.name in names]
+    solved = T.StructType([*fields, T.StructField("_b", T.ArrayType(T.DoubleType())), T.StructField("_rmse", T.DoubleType())])
+
+    def solve(batches):
+        for rows in batches:
+            coefficients, errors = [], []
+            for n, yy, xy, xx in zip(rows["_n"], rows["_yy"], rows["_xy"], rows["_xx"]):
+                if n < size:
+                    coefficients.append(None)
+                    errors.append(None)
+                    continue
+                b = np.linalg.lstsq(np.reshape(xx, (size, size)), np.asarray(xy), rcond=None)[0]
+                coefficients.append(b)
+                errors.append(float(np.sqrt(max(0.0, yy - b @ xy) / n)))
+            yield rows[names].assign(_b=coefficients, _rmse=errors)
+
+    models = null_safe_join(sums.mapInPandas(solve, solved), spans, names)
+    ahead = models.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    dated = ahead.withColumn("_day", F.add_months("_hi", F.col("step")))
+    forecast = sum((F.col("_b")[i] * term for i, term in enumerate(terms())), F.lit(0.0))
+    margin = F.lit(interval) * F.col("_rmse")
+    return dated.withColumn("forecast", forecast).select(
+        *keys,
         "step",
-        F.col(ts).alias("ts"),
+        F.col("_day").alias("ts"),
         "forecast",
         (F.col("forecast") - margin).alias("lower_bound"),
         (F.col("forecast") + margin).alias("upper_bound"),

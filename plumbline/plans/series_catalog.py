@@ -349,14 +349,52 @@ def future_dates(spark, d):
     return result
 
 
+def _nation_months(spark, d):
+    """Monthly order values of every customer nation: many series of one length each."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return ts.daily_series(orders, "o_orderdate", "o_totalprice", ["c_nationkey"], grain="month")
+
+
+_NATION_MONTHS_SQL = """nation_months AS (SELECT c_nationkey, date_trunc('month', o_orderdate)::DATE AS ts, sum(o_totalprice) AS value
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+
+
 @query()
 def holt_winters_forecast(spark, d):
-    return rounded(forecast.holt_winters_forecast(order_months(spark, d)), 3)
+    return rounded(forecast.holt_winters_forecast(_nation_months(spark, d), ["c_nationkey"]), 3)
+
+
+@query(
+    f"""WITH {_NATION_MONTHS_SQL}, n AS (SELECT c_nationkey, count(*) AS n FROM nation_months GROUP BY 1)
+    SELECT c_nationkey, i AS step FROM n, (SELECT unnest(range(1, 7)) AS i) WHERE n >= 24
+    UNION ALL SELECT c_nationkey, NULL FROM n WHERE n < 24"""
+)
+def holt_winters_horizon(spark, d):
+    """Which steps every nation's series gets: six, or one row without a step where it is shorter than two years."""
+    rows = forecast.holt_winters_forecast(_nation_months(spark, d), ["c_nationkey"])
+    return rounded(rows.select("c_nationkey", "step"))
 
 
 @query()
 def trend_season_forecast(spark, d):
-    return rounded(_iso(forecast.trend_season_forecast(order_months(spark, d)), "ts"), 2)
+    return rounded(_iso(forecast.trend_season_forecast(_nation_months(spark, d), ["c_nationkey"]), "ts"), 2)
+
+
+@query(
+    f"""WITH {_NATION_MONTHS_SQL},
+    p AS (SELECT c_nationkey, value, date_diff('day', min(ts) OVER (PARTITION BY c_nationkey), ts) / 365.25 AS t FROM nation_months),
+    f AS (SELECT c_nationkey, regr_slope(value, t) AS b, regr_intercept(value, t) AS a, sqrt(regr_syy(value, t) * (1 - regr_r2(value, t)) / count(*)) AS e
+      FROM p GROUP BY 1),
+    s AS (SELECT c_nationkey, min(ts) AS lo, max(ts) AS hi FROM nation_months GROUP BY 1),
+    h AS (SELECT c_nationkey, i AS step, (hi + i * INTERVAL 1 MONTH)::DATE AS ts, lo FROM s, (SELECT unnest(range(1, 7)) AS i))
+    SELECT c_nationkey, step, strftime(ts, '%Y-%m-%d') AS ts, round(a + b * date_diff('day', lo, ts) / 365.25, 1) AS forecast,
+      round(a + b * date_diff('day', lo, ts) / 365.25 - 1.2816 * e, 1) AS lower_bound,
+      round(a + b * date_diff('day', lo, ts) / 365.25 + 1.2816 * e, 1) AS upper_bound FROM h JOIN f USING (c_nationkey)"""
+)
+def trend_forecast(spark, d):
+    """The forecast without seasonal waves, whose least squares SQL has too."""
+    return rounded(_iso(forecast.trend_season_forecast(_nation_months(spark, d), ["c_nationkey"], order=0), "ts"), 1)
 
 
 @query(

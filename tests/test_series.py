@@ -155,7 +155,10 @@ def test_arima_per_series(spark, noisy):
     pdf = noisy[1].rename(columns={"t": "ts", "v": "value"})
     both = spark.createDataFrame(pd.concat([pdf.assign(k="a"), pdf.head(8).assign(k="b")]))
     got = forecast.arima_forecast(both, ["k"]).toPandas()
-    assert set(got["k"]) == {"a"} and len(got) == 40 and got["actual"].notna().all()
+    short = got[got["k"] == "b"]
+    assert len(short) == 1 and short[["step", "forecast", "phi"]].isna().all(axis=None)
+    long = got[got["k"] == "a"]
+    assert len(got) == 41 and len(long) == 40 and long["actual"].notna().all()
 
 
 def test_holt_winters_on_an_exact_pattern(spark):
@@ -165,4 +168,21 @@ def test_holt_winters_on_an_exact_pattern(spark):
     got = forecast.holt_winters_forecast(spark.createDataFrame(pdf)).toPandas().sort_values("step")
     want = 100 + 2.0 * np.arange(60, 66) + season[:6]
     np.testing.assert_allclose(got["forecast"], want, atol=3)
-    assert forecast.holt_winters_forecast(spark.createDataFrame(pdf.head(20))).count() == 0
+    short = forecast.holt_winters_forecast(spark.createDataFrame(pdf.head(20))).collect()
+    assert [tuple(r) for r in short] == [(None,) * 6]
+
+
+def test_trend_season_forecast_per_key(spark):
+    months = pd.date_range("2020-01-01", periods=48, freq="MS")
+    years = np.asarray((months - months[0]).days) / 365.25
+    curves = {"a": 5 + 3 * years + 2 * np.sin(2 * np.pi * years), "b": 100 - years + np.cos(4 * np.pi * years)}
+    rows = [(k, m.date(), float(v)) for k, c in curves.items() for m, v in zip(months, c)] + [("short", months[0].date(), 1.0)]
+    got = forecast.trend_season_forecast(spark.createDataFrame(rows, "k string, ts date, value double"), ["k"]).toPandas()
+    ahead = pd.date_range(months[-1], periods=7, freq="MS")[1:]
+    t = np.asarray((ahead - months[0]).days) / 365.25
+    want = {"a": 5 + 3 * t + 2 * np.sin(2 * np.pi * t), "b": 100 - t + np.cos(4 * np.pi * t)}
+    for k, values in want.items():
+        part = got[got.k == k].sort_values("step")
+        np.testing.assert_allclose(part.forecast, values, atol=1e-6)
+        assert list(part.ts) == [a.date() for a in ahead]
+    assert got[got.k == "short"].forecast.isna().all() and len(got) == 18
