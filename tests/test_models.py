@@ -4,6 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
 
 from plumbline.operators import cluster, density, metrics, modeling
 
@@ -161,3 +164,113 @@ def test_nearest_centre(spark, frame):
     df = frame({"x": [1.0, 9.0, 5.0, None], "y": [0.0, 0.0, 0.0, 1.0]}, "x double, y double")
     got = cluster.nearest_centre(df, ["x", "y"], centres).orderBy("x").collect()
     assert [(r["x"], r["cluster"], r["distance2"]) for r in got] == [(1, 0, 1), (5, 0, 25), (9, 1, 1)]
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    """A step function of x that ignores the noise column, as numbers and as two or three classes."""
+    rng = np.random.default_rng(19)
+    pdf = pd.DataFrame({"id": range(240), "x": rng.uniform(0, 3, 240), "noise": rng.normal(size=240)})
+    pdf["y"] = np.floor(pdf["x"]) * 10
+    pdf["two"] = np.where(pdf["x"] > 1.5, "hi", "lo")
+    pdf["three"] = np.array(["a", "b", "c"])[np.floor(pdf["x"]).astype(int)]
+    return spark.createDataFrame(pdf)
+
+
+def test_tree_regressors_find_a_step_function(steps):
+    prepared = modeling.prepare(steps, "y", ["x", "noise", "y"], keep=["id"])
+    names = ["random_forest", "gradient_boosting", "boosted_depth6", "boosted_leaves31"]
+    models = {n: m for n, m in modeling.regression_models(prepared.rows).items() if n in names}
+    for name, estimator in models.items():
+        small = estimator.copy({estimator.numTrees if name == "random_forest" else estimator.maxIter: 5})
+        model = small.fit(prepared.rows)
+        score = metrics.regression_metrics(model.transform(prepared.rows), "label", "prediction").first()["r2"]
+        assert score > 0.9, name
+        assert model.featureImportances[0] > 0.8
+
+
+@pytest.mark.parametrize("target, classes", [("two", 2), ("three", 3)])
+def test_classifiers_separate_classes(steps, target, classes):
+    prepared = modeling.prepare(steps, target, ["x", "noise"], keep=["id"], scale=True, classification=True)
+    assert prepared.classes == sorted({r[target] for r in steps.select(target).collect()})
+    for name, estimator in modeling.classification_models(prepared.rows, classes).items():
+        if name in ("gradient_boosting", "boosted_depth6", "boosted_leaves31"):
+            if classes > 2:
+                continue  # the same learner, one against the rest
+            estimator = estimator.copy({estimator.maxIter: 3, estimator.maxDepth: 3})
+        if name == "random_forest":
+            estimator = estimator.copy({estimator.numTrees: 10})
+        labelled = estimator.fit(prepared.rows).transform(prepared.rows)
+        accuracy = metrics.classification_metrics(labelled, "label", "prediction").first()["accuracy"]
+        # Lines against the rest can't single out a class that lies between two others.
+        assert accuracy > (0.6 if name == "linear_svm" and classes > 2 else 0.9), name
+
+
+def test_logistic_matches_newton_steps(steps):
+    prepared = modeling.prepare(steps, "two", ["x", "noise"], classification=True)
+    model = modeling.classification_models(prepared.rows, 2)["logistic"].fit(prepared.rows)
+    rows = prepared.rows.collect()
+    x = np.array([[1.0, *r["features"]] for r in rows])
+    y = np.array([r["label"] for r in rows])
+    w, penalty = np.zeros(3), np.diag([0, 1.0, 1.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty, x.T @ (p - y) + penalty @ w)
+    np.testing.assert_allclose([model.intercept, *model.coefficients], w, rtol=1e-3, atol=1e-3)
+
+
+def test_cross_validation_is_the_mean_over_hash_folds(steps):
+    prepared = modeling.prepare(steps, "y", ["x", "noise", "y"], keep=["id"])
+    line = LinearRegression(regParam=0.0, solver="normal")
+    row = modeling.cross_validation(prepared, line, ["id"], "regression", 3).first()
+    fold = F.pmod(F.xxhash64("id"), F.lit(3))
+    pdf = prepared.rows.select(fold.alias("fold"), vector_to_array("features").alias("f"), "label").toPandas()
+    scores = []
+    for k in range(3):
+        train, test = pdf[pdf.fold != k], pdf[pdf.fold == k]
+        design = lambda part: np.column_stack([np.ones(len(part)), np.stack(part["f"])])
+        b = np.linalg.lstsq(design(train), train["label"], rcond=None)[0]
+        e = test["label"] - design(test) @ b
+        scores.append(1 - (e**2).sum() / ((test["label"] - test["label"].mean()) ** 2).sum())
+    assert row["metric"] == "r2" and row["mean"] == pytest.approx(np.mean(scores), abs=1e-6)
+
+
+def test_both_importances_rank_the_cause_first(steps):
+    prepared = modeling.prepare(steps.where("id < 80"), "y", ["x", "noise", "y"])
+    table = modeling.two_method_importance(prepared, "regression").toPandas()
+    assert set(table["method"]) == {"random_forest", "boosting"}
+    assert table[table["rank"] == 1]["feature"].tolist() == ["x", "x"]
+    np.testing.assert_allclose(table.groupby("method")["score"].sum(), 1.0)
+
+
+def test_kmeans_finds_separate_blobs(spark):
+    rng = np.random.default_rng(29)
+    centres = np.array([[0, 0], [10, 0], [0, 10]])
+    points = np.concatenate([c + rng.normal(0, 0.3, (40, 2)) for c in centres])
+    frame = spark.createDataFrame(pd.DataFrame(points, columns=["a", "b"]).assign(id=range(120)))
+    vectors = cluster.scaled_vectors(frame, ["a", "b"], keep=["id"])
+    sweep = cluster.kmeans_sweep(vectors, largest=5)
+    assert [r["k"] for r in sweep.orderBy("k").collect()] == [2, 3, 4, 5]
+    assert cluster.k_by_silhouette(sweep).first()["k"] == 3
+    labelled, summary = cluster.kmeans_clusters(vectors, 3)
+    found = labelled.toPandas().sort_values("id")
+    groups = found["cluster"].to_numpy().reshape(3, 40)
+    assert all(len(set(g)) == 1 for g in groups) and len(set(groups[:, 0])) == 3
+    scaled = (points - points.mean(0)) / points.std(0)
+    inertia = sum(((part - part.mean(0)) ** 2).sum() for part in scaled.reshape(3, 40, 2))
+    rows = summary.collect()
+    assert [r["size"] for r in rows] == [40] * 3 and rows[0]["inertia"] == pytest.approx(inertia)
+
+
+def test_principal_components_match_the_decomposition(spark):
+    rng = np.random.default_rng(31)
+    data = rng.normal(size=(80, 3)) @ rng.normal(size=(3, 3))
+    frame = spark.createDataFrame(pd.DataFrame(data, columns=list("abc")).assign(id=range(80)))
+    projected, table = cluster.principal_components(cluster.scaled_vectors(frame, list("abc"), keep=["id"]), 2)
+    scaled = (data - data.mean(0)) / data.std(0)
+    _, s, v = np.linalg.svd(scaled, full_matrices=False)
+    rows = table.orderBy("component").collect()
+    np.testing.assert_allclose([r["explained_variance_ratio"] for r in rows], (s**2 / (s**2).sum())[:2])
+    got = projected.toPandas().sort_values("id")
+    for i in range(2):
+        np.testing.assert_allclose(np.abs(got[f"pc{i + 1}"]), np.abs(scaled @ v[i]), atol=1e-8)
