@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.ordered import POSITION, SERIES_SIZE, running_totals, with_position
-from plumbline.functions.quantiles import clean_double, quantile_aggregates
+from plumbline.functions.quantiles import clean_double, column_statistics, number, quantile_aggregates
 from plumbline.functions.scratch import materialize
 from plumbline.functions.statistics import (
     normal_ppf,
@@ -20,39 +22,56 @@ from plumbline.functions.statistics import (
 )
 from plumbline.operators.schema import as_text, one_row_to_long
 
-# Pairs handled by one aggregate; more pairs are spread over several to bound the generated code.
-_PAIRS_PER_AGGREGATE = 300
-
 MAX_DENSE_CATEGORIES = 10_000
 
 
+_PAIR_SUMS = "i int, j int, n long, x double, y double, xx double, yy double, xy double"
+
+
 def pearson_pairs(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
-    """``(feature1, feature2, correlation, n)`` for every unordered pair, pairwise complete."""
-    pairs = list(combinations(columns, 2))
-    result = None
-    for start in range(0, len(pairs), _PAIRS_PER_AGGREGATE):
-        part = pairs[start : start + _PAIRS_PER_AGGREGATE]
-        both = [(clean_double(a), clean_double(b)) for a, b in part]
-        row = df.agg(
-            *[F.corr(x, y).alias(f"r{i}") for i, (x, y) in enumerate(both)],
-            *[F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}") for i, (x, y) in enumerate(both)],
-        )
-        piece = one_row_to_long(
-            row,
-            [
-                F.struct(
-                    F.lit(a).alias("feature1"),
-                    F.lit(b).alias("feature2"),
-                    F.round(F.col(f"r{i}"), digits).alias("correlation"),
-                    F.col(f"n{i}").alias("n"),
-                )
-                for i, (a, b) in enumerate(part)
-            ],
-        )
-        result = piece if result is None else result.unionByName(piece)
-    if result is None:
+    """``(feature1, feature2, correlation, n)`` for every unordered pair, pairwise complete.
+
+    Two scans for any number of columns: means first, then the products of centred values, which a
+    task adds up as matrices over its batches; one row per pair and task is shuffled.
+    """
+    if len(columns) < 2:
         raise ValueError("a correlation needs at least two columns")
-    return result
+    (means,) = column_statistics(df, columns, F.avg)
+    width = len(columns)
+    left, right = np.triu_indices(width, 1)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = np.zeros((6, len(left)))
+        for batch in batches:
+            values = batch.to_numpy(dtype=float)
+            known = ~np.isnan(values)
+            z, m = np.where(known, values, 0.0), known.astype(float)
+            both = [m.T @ m, z.T @ m, m.T @ z, (z * z).T @ m, m.T @ (z * z), z.T @ z]
+            totals += np.stack([matrix[left, right] for matrix in both])
+        n, x, y, xx, yy, xy = totals
+        yield pd.DataFrame({"i": left, "j": right, "n": n.astype("int64"), "x": x, "y": y, "xx": xx, "yy": yy, "xy": xy})
+
+    centred = df.select(*[(clean_double(c) - number(m)).alias(f"c{k}") for k, (c, m) in enumerate(zip(columns, means))])
+    sums = centred.mapInPandas(products, _PAIR_SUMS).groupBy("i", "j")
+    sums = sums.agg(*[F.sum(name).alias(name) for name in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+    # What is left of a constant column after centring is rounding of its mean.
+    rounding = F.array(*[F.lit(1e-26 * (m or 0.0) ** 2) for m in means])
+
+    def spread(squares: str, total: str, place: str) -> Column:
+        value = F.col(squares) - F.col(total) * F.col(total) / n
+        return F.when(value > n * F.get(rounding, F.col(place)), value)
+
+    r = safe_divide(
+        F.col("xy") - F.col("x") * F.col("y") / n, F.sqrt(spread("xx", "x", "i") * spread("yy", "y", "j"))
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    return sums.select(
+        F.get(names, F.col("i")).alias("feature1"),
+        F.get(names, F.col("j")).alias("feature2"),
+        F.round(F.when(n > 0, r), digits).alias("correlation"),
+        "n",
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:

@@ -100,6 +100,8 @@ def encode(
     """Add ``<column>_encoded``; ``method`` is ``label`` (sorted) or ``first_seen`` (needs ``order_by``)."""
     if method not in ("label", "first_seen"):
         raise ValueError(f"unknown encoding method {method!r}")
+    if not columns:
+        return df
     if codes is None:
         codes = label_codes(df, columns, null_label) if method == "label" else first_seen_codes(df, columns, order_by)
     codes = materialize(codes)  # read once per column; its size then decides how it is joined

@@ -53,6 +53,17 @@ def json_records_scan(spark, d):
     return _order_rows(read_table(spark, path))
 
 
+@query(ORDERS_SQL)
+def json_array_scan(spark, d):
+    """The same records as files that each hold one array of objects."""
+    o = table(spark, d, "orders").withColumn("chunk", F.floor(F.col("o_orderkey") / 1000))
+    record = F.struct(*[c for c in o.columns if c != "chunk"])
+    arrays = o.groupBy("chunk").agg(F.to_json(F.collect_list(record)).alias("value"))
+    path = scratch_path(spark, "orders") + ".json"
+    arrays.write.partitionBy("chunk").text(path)
+    return _order_rows(read_table(spark, path))
+
+
 _WORKBOOK_PARTS = {
     "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>',
     "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'

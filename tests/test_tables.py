@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import zipfile
 from datetime import datetime
 
@@ -12,7 +13,7 @@ from plumbline.operators import associate, clean, describe, quality, schema
 from plumbline.plans.tables_catalog import workbook_bytes
 from plumbline.sources.readers import read_json, read_table
 from plumbline.sources.workbooks import workbook_rows
-from plumbline.streaming.watch import watch_folder
+from plumbline.streaming.watch import poll_folder, watch_folder
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +68,7 @@ def test_nan_counts_as_missing(frame):
 
 
 def test_clean(dirty):
-    got = clean.clean(dirty, ["x"], ["c"], ["d"], ["id"], encoding="label").toPandas().sort_values("id")
+    got = clean.clean(dirty, ["x"], ["c"], ["d"], ["id"], missing_threshold=0.4, encoding="label").toPandas().sort_values("id")
     assert "empty" not in got and "d" not in got  # both mostly missing
     assert got["x"].tolist() == [1, 3.5, 3, 10, 3.5, 4]
     assert got["c"].tolist() == ["b", "a", "a", "b", "a", "a"]  # a tie goes to the smaller value
@@ -192,3 +193,18 @@ def test_folder_watch_two_drops(spark, tmp_path):
         ("two.csv", "b"): (1, 0, None),
     }
     assert got.select("batch").distinct().count() == 2
+
+
+def test_poll_sees_changed_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    args = (spark, str(folder), "a int", str(tmp_path / "out"), str(tmp_path / "state"))
+    (folder / "one.csv").write_text("a\n1\n")
+    (folder / "two.csv").write_text("a\n5\n")
+    assert poll_folder(*args).count() == 2 and poll_folder(*args).count() == 0
+    (folder / "one.csv").write_text("a\n1\n3\n")
+    later = os.stat(folder / "one.csv").st_mtime + 10
+    os.utime(folder / "one.csv", (later, later))
+    assert [r["path"][-7:] for r in poll_folder(*args).collect()] == ["one.csv"]
+    rows = sorted((r["file"][-7:], r["rows"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert rows == [("one.csv", 1), ("one.csv", 2), ("two.csv", 1)]
