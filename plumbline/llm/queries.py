@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm import bpe, chat, crf_quality, decontaminate, hmm, main_text, pii, quality_rules, secret_scan, simhash
 from plumbline.llm.common import hash_share
+from plumbline.llm.oracles import ORACLES
 from plumbline.session import apply_runtime_conf
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +17,8 @@ PSEUDONYM_KEY = b"plumbline test key"
 # Texts reach Python in batches of about this many bytes, however long single texts are.
 ARROW_BATCH_BYTES = str(16 << 20)
 
+__all__ = ["ORACLES", "QUERIES", "table"]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     apply_runtime_conf(spark)
@@ -62,7 +65,6 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         digest(F.array_join("items", ",")).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
-        "longest",
     )
 
 
@@ -140,5 +142,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-
-ORACLES: dict[str, str] = {}
