@@ -86,11 +86,12 @@ def hash_split(df: DataFrame, key: Sequence[str], test_pct: int = 20) -> DataFra
 
 @dataclass(frozen=True)
 class Prepared:
-    """Rows with ``features``, ``label`` and the names of the vector's entries."""
+    """Rows with ``features``, ``label``, the names of the vector's entries and the columns left out as too wide."""
 
     rows: DataFrame
     names: list[str]
     classes: list[str] | None = None
+    left_out: tuple[str, ...] = ()
 
 
 def prepare(
@@ -103,15 +104,18 @@ def prepare(
     keep: Sequence[str] = (),
     classification: bool = False,
 ) -> Prepared:
-    """Impute with means, add 0/1 columns for small categoricals, assemble the feature vector.
+    """Impute with means, add 0/1 columns for categoricals, assemble the feature vector.
 
+    Columns with more than ``max_categories`` values are named in ``left_out``; a higher limit takes them in.
     Without numeric features the 0/1 columns alone form the vector; with none at all it is an error.
     """
     features = [c for c in numeric if c != target]
     base = impute_mean(df, features)
     used = [c for c in categorical if c != target]
     wide = one_hot_columns(base, used, max_categories) if used else base
-    names = features + [c for c in wide.columns if c not in base.columns]
+    added = [c for c in wide.columns if c not in base.columns]
+    left_out = tuple(c for c in used if not any(a.startswith(f"{c}_") for a in added))
+    names = features + added
     if not names:
         raise ValueError("no usable feature columns")
     if scale:
@@ -128,7 +132,7 @@ def prepare(
     else:
         wide = impute_mean(wide, [target]).withColumn("label", F.col(target).cast("double"))
     vectors = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip").transform(wide)
-    return Prepared(vectors.select(*keep, "features", "label"), names, classes)
+    return Prepared(vectors.select(*keep, "features", "label"), names, classes, left_out)
 
 
 # ---------------------------------------------------------------- models
