@@ -68,7 +68,8 @@ def fingerprint(text: Column, words_in_shingle: int = SHINGLE_WORDS) -> Column:
         for batch in batches:
             yield pa.array([fingerprint_of(t.as_py() or b"", words_in_shingle) for t in batch], pa.int64())
 
-    return compute(text.cast("binary"))
+    # Marked so that a filter on the fingerprint, such as a join adds, isn't evaluated by computing it again.
+    return compute.asNondeterministic()(text.cast("binary"))
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
