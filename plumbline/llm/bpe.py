@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 MAX_TOKENIZER_BYTES = 64 << 20
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 CACHED_WORD_CHARS = 64
 SHORT = 40
 NO_MERGE = 1 << 62

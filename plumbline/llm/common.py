@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The blanks of the word definition [^\x20\x09-\x0D]+, as characters and as a regular expression.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
+# Texts reach Python in batches of about this many bytes, however long single texts are.
+ARROW_BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that this session hands to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
 def text_or_empty(name: str) -> Column:

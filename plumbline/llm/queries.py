@@ -7,22 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm import bpe, chat, crf_quality, decontaminate, hmm, main_text, pii, quality_rules, secret_scan, simhash
-from plumbline.llm.common import hash_share
+from plumbline.llm.common import bound_batches, hash_share
 from plumbline.llm.oracles import ORACLES
 from plumbline.session import apply_runtime_conf
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 # The key of the test queries; whoever runs the operator brings a secret of their own.
 PSEUDONYM_KEY = b"plumbline test key"
-# Texts reach Python in batches of about this many bytes, however long single texts are.
-ARROW_BATCH_BYTES = str(16 << 20)
 
 __all__ = ["ORACLES", "QUERIES", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     apply_runtime_conf(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
