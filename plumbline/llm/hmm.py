@@ -96,10 +96,27 @@ class Vocabulary:
         return math.log10((count + 1) / (self.total + self.kinds + 1))
 
 
+def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The most frequent tokens by falling count: as many whole steps of a fine count scale as fit into ``most``.
+
+    The scale has some thousand steps at most, so nothing is sorted and no task sends a list of its own.
+    """
+    step = F.floor(F.log2("n") * 64).cast("int")
+    sizes = sorted(((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    lowest, room = None, most
+    for s, k in sizes:
+        if k > room:
+            break
+        lowest, room = s, room - k
+    if lowest is None:
+        return {}
+    rows = counts.where(step >= lowest).collect()  # ``most`` rows at most
+    return dict(sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0])))
+
+
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
-    """Bounded statistics of the counts: the top ``SHIPPED`` rows and one row per tail class."""
-    top = counts.orderBy(F.desc("n"), "token").limit(SHIPPED).collect()
-    known = {bytes(r["token"]): r["n"] for r in top}
+    """Bounded statistics of the counts: at most ``SHIPPED`` tokens and one row per tail class."""
+    known = frequent(counts, SHIPPED)
     classes = {token: i for i, token in enumerate(known) if i < HEAD}
     ending = F.substring("token", -3, 3)
     by_class = counts.groupBy((F.crc32(ending) % TAIL).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
