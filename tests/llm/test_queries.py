@@ -303,3 +303,33 @@ def test_pipeline_stage_by_stage(spark, folders):
     last = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folders[0]).collect()}
     assert {0, 10} <= set(last) and not {4, 5, 6, 8, 9, 12} & set(last) and 1 not in last
     assert "4111-1111" not in last[10]["text"] and all(r["n_tokens"] == len(r["token_ids"]) for r in last.values())
+
+
+def test_pipeline_stage_finds_ordinary_near_copies(spark, folders):
+    import random
+
+    from plumbline.llm import near_copies, simhash
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+
+    def changed(source, places):
+        return [f"new{rng.randrange(10**6)}" if i in places else w for i, w in enumerate(source)]
+
+    texts = [base, *[changed(base, set(range(7, 300, 300 // n))) for n in (2, 4, 5, 6, 8, 12)]]
+    chain = [f"c{i}" for i in range(200)]
+    for start in range(0, 100, 20):  # each is near the one before it only
+        chain = changed(chain, set(range(start, start + 15)))
+        texts.append(chain)
+    texts = [" ".join(t) for t in texts] + [" \n", None, "", "a b", "A  B", "a b c"]
+    sets = [{tuple((t or "").lower().split()[i : i + 5]) for i in range(max(min(1, len((t or "").split())), len((t or "").split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for i, j in [(i, j) for i in range(len(texts)) for j in range(i)]:
+        if not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root = [root[j] if r == root[i] else r for r in root]
+    expected = {min(i for i in range(len(texts)) if root[i] == r) for r in set(root)}
+    assert len(expected) < len(texts) - 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"] for r in stages.near_duplicates(spark, docs, folders[0]).collect()} == expected
+    bits = (simhash.fingerprint_of(texts[0].encode()) ^ simhash.fingerprint_of(texts[3].encode())) % 2**64
+    assert near_copies.similar(*[near_copies.shingle_set(texts[i].encode()) for i in (0, 3)]) and bits.bit_count() > simhash.RADIUS
