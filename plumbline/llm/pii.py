@@ -3,8 +3,10 @@
 A found value is checked (Luhn digit, IBAN remainder, calendar, octets), read as a number whose digits
 have the radixes that its format allows, permuted by a Feistel network under a secret key, and written
 back in the same format and length. Equal values get equal pseudonyms in every document, different
-values different ones, and the holder of the key can go back (``restore``). Values that fail their
-check stay as they are.
+values different ones, and the holder of the key can go back (``restore``). Candidates that fail their check
+are tried in shorter forms and as other kinds; what passes none stays as it is. Only where a pseudonym
+would let such a failed candidate pass, the value gets the next one of the permutation's cycle, so that
+it is found again on the way back; it is then not linked to its other places.
 """
 
 from __future__ import annotations
@@ -29,18 +31,33 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 # More telling formats first: of two candidates that start together the first kind wins.
-PATTERN = re.compile(
-    rf"(?P<email>(?<![\w.+-])[\w.+-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})"
-    rf"|(?P<iban>{_EDGE}[A-Z]{{2}}\d\d(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END})"
-    rf"|(?P<ip>(?<![0-9A-Za-z.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\.?[0-9A-Za-z]))"
-    rf"|(?P<date>{_EDGE}(?:\d{{4}}(?P<ymd>[-/.])\d{{1,2}}(?P=ymd)\d{{1,2}}"
-    rf"|\d{{1,2}}(?P<dmy>[-/.])\d{{1,2}}(?P=dmy)\d{{4}}){_END})"
-    rf"|(?P<card>{_EDGE}\d(?:[ -]?\d){{12,18}}{_END})"
-    rf"|(?P<ssn>{_EDGE}\d{{3}}-\d\d-\d{{4}}{_END})"
-    rf"|(?P<phone>(?<![0-9A-Za-z+])(?:\+?\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}{_END}"
+_FORMATS = {
+    "email": r"(?<![\w.+-])[\w.+-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": rf"{_EDGE}[A-Z]{{2}}\d\d(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
+    "ip": r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?[0-9A-Za-z])",
+    "date": rf"{_EDGE}(?:\d{{4}}(?P<ymd>[-/.])\d{{1,2}}(?P=ymd)\d{{1,2}}|\d{{1,2}}(?P<dmy>[-/.])\d{{1,2}}(?P=dmy)\d{{4}}){_END}",
+    "card": rf"{_EDGE}\d(?:[ -]?\d){{12,18}}{_END}",
+    "ssn": rf"{_EDGE}\d{{3}}-\d\d-\d{{4}}{_END}",
+    "phone": rf"(?<![0-9A-Za-z+])(?:\+?\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}{_END}"
     rf"|(?<![0-9A-Za-z+])\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,4}}{_END}"
-    rf"|{_EDGE}\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_END})"
-)
+    rf"|{_EDGE}\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_END}",
+}
+PATTERN = re.compile("|".join(f"(?P<{kind}>{format_})" for kind, format_ in _FORMATS.items()))
+_PATTERNS = {kind: re.compile(format_) for kind, format_ in _FORMATS.items()}
+_GROUP = re.compile(r"[^0-9A-Za-z]*[0-9A-Za-z]+")
+# No format but that of e-mail addresses, which have no check, is longer.
+_LONGEST = 64
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _MAYBE = re.compile(r"[0-9@]")
 
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
@@ -190,21 +207,63 @@ def pseudonym(key: bytes, kind: str, value: str, back: bool = False) -> str | No
     return _CHANGE[kind](key, value, back)
 
 
+def _ends(kind: str, value: str) -> list[int]:
+    """Lengths of the beginnings of a candidate that may be the value, all at borders of its groups.
+
+    Of a card the shortest comes first, so that the same number is found whatever digits follow it; of an
+    IBAN that with its country's length.
+    """
+    if kind not in ("card", "iban"):
+        return [len(value)]
+    least = 13 if kind == "card" else 15
+    borders = [i for i, c in enumerate(value) if not c.isalnum() and sum(map(str.isalnum, value[:i])) >= least]
+    if kind == "card":
+        return [*borders, len(value)]
+    ends = [len(value), *reversed(borders)]
+    usual = IBAN_LENGTHS.get(value[:2])
+    return sorted(ends, key=lambda n: len(value[:n].replace(" ", "")) != usual)
+
+
+def _next_value(text: str, at: int, key: bytes, back: bool) -> tuple[str, int, int, int | None] | None:
+    """Kind, start and end of the next valid value, and the place of the first candidate that failed before it.
+
+    Where a candidate fails, its shorter forms and the other kinds are tried; then the search goes on one
+    group later.
+    """
+    failed = None
+    while match := PATTERN.search(text, at):
+        start = match.start()
+        for kind, pattern in _PATTERNS.items():
+            found = pattern.match(text, start)
+            for n in _ends(kind, found[0]) if found else ():
+                if pseudonym(key, kind, found[0][:n], back) is not None:
+                    return kind, start, start + n, failed
+                failed = start if failed is None else failed
+        at = _GROUP.match(text, start).end()
+    return None
+
+
 def replace_text(text: str, key: bytes, back: bool = False) -> tuple[str, Counter]:
     """Text with every valid value exchanged, and how many values of each kind there were."""
     counts: Counter = Counter()
     if not _MAYBE.search(text):
         return text, counts
-
-    def change(match: re.Match) -> str:
-        kind = next(k for k in KINDS if match[k] is not None)
-        new = pseudonym(key, kind, match[0], back)
-        if new is None:
-            return match[0]
+    parts, at = [], 0
+    while found := _next_value(text, at, key, back):
+        kind, start, end, failed = found
+        new = pseudonym(key, kind, text[start:end], back)
+        if failed is not None:  # pseudonyms with which an earlier candidate would pass are walked over
+            low, high = max(at - 1, failed - 1, 0), end + _LONGEST
+            expected = (kind, start - low, end - low)
+            while True:
+                found = _next_value(text[low:start] + new + text[end:high], failed - low, key, back)
+                if found and found[:3] == expected:
+                    break
+                new = pseudonym(key, kind, new, back)
         counts[kind] += 1
-        return new
-
-    return PATTERN.sub(change, text), counts
+        parts += [text[at:start], new]
+        at = end
+    return "".join([*parts, text[at:]]), counts
 
 
 def pseudonymized(text: Column, key: bytes, back: bool = False) -> Column:
