@@ -7,8 +7,8 @@ is add-one smoothed over the class's training tokens and one unknown token. Unli
 tables, whose size is fixed, the counts are never broadcast whole: only the ``SHIPPED`` most frequent go
 to the tasks, and all rarer tokens meet their counts in a join.
 
-Baum-Welch starts from a bounded hash sample of the documents and then passes over all training
-documents ``FULL_ROUNDS`` times; each round adds up expected counts of the partitions.
+Baum-Welch passes over all training documents ``ROUNDS`` times, however many they are; each round adds up
+expected counts of the partitions.
 
 Texts are cut into segments of ``SEGMENT`` classes. All segments of a batch run side by side; a text's
 segments are then chained, so that the scaled forward recursion is exact over the whole text.
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from plumbline.functions.scratch import materialize, scratch_path
+from plumbline.functions.scratch import scratch_path
 
 STATES = 6
 HEAD = 8_192
@@ -40,9 +40,7 @@ CLASSES = END + 1
 SHIPPED = 100_000
 SEGMENT = 64
 BATCH_CLASSES = 1 << 18
-SAMPLE_DOCUMENTS = 2_000
-SAMPLE_ROUNDS = 12
-FULL_ROUNDS = 2
+ROUNDS = 14
 FLUSH_TOKENS = 200_000
 SEED = 7
 
@@ -360,20 +358,14 @@ def improved(counts: np.ndarray) -> Model:
 
 
 def fit(training: DataFrame) -> Model:
-    """Baum-Welch over ``training(id, classes)``: rounds on a hash sample, then on all documents."""
+    """Baum-Welch over ``training(classes)``: every round takes all sequences."""
     context, model = training.sparkSession.sparkContext, first_model()
-    documents = training.count()
-    if not documents:
+    if training.isEmpty():
         return model
-    sample = training
-    if documents > SAMPLE_DOCUMENTS:
-        share = max(1, documents // SAMPLE_DOCUMENTS)
-        sample = materialize(training.where(F.pmod(F.xxhash64("classes"), F.lit(share)) == 0).coalesce(8))
-    for rounds, rows in ((SAMPLE_ROUNDS, sample), (FULL_ROUNDS, training)):
-        for _ in range(rounds):
-            shipped = context.broadcast(model)
-            model = improved(round_counts(rows, shipped))
-            shipped.unpersist()
+    for _ in range(ROUNDS):
+        shipped = context.broadcast(model)
+        model = improved(round_counts(training, shipped))
+        shipped.unpersist()
     return model
 
 

@@ -195,6 +195,23 @@ def test_language_model_with_rare_tokens_joined(spark, folders, monkeypatch):
     assert few == whole
 
 
+def test_every_training_round_takes_all_documents(spark):
+    import numpy as np
+
+    from plumbline.llm import hmm
+
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 40, rng.integers(1, 6)).astype("<u2") for _ in range(4500)]
+    training = spark.createDataFrame([(t.tobytes(),) for t in texts], "classes binary").repartition(3)
+    model = hmm.first_model()
+    for _ in range(hmm.ROUNDS):
+        counts = hmm.Batch([t.astype(np.int64) for t in texts]).expected(model)
+        model = hmm.improved(np.concatenate([x.ravel() for x in counts]))
+    found = hmm.fit(training)
+    for part in ("start", "move", "emit"):
+        assert np.allclose(getattr(found, part), getattr(model, part), rtol=1e-5, atol=1e-9)
+
+
 def measured(text):
     w, text = words(text), text or ""
     lines = [x for x in text.split("\n") if words(x)]
