@@ -1,11 +1,12 @@
 """Main text of web pages by the distribution of text over blocks of lines.
 
 Markup is stripped: block elements become lines, and what belongs to menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or reader comments weighs nothing. Over the weights of the
-lines runs a sliding window; the text begins where the sum of a window surges and ends where it dives
-to nothing, and everything between a surge and its dive is kept. Where a page marks its article, only
-lines inside weigh anything and any text is a surge; elsewhere a surge needs ``SURGE`` characters
-outside of links.
+notices, adverts, forms, scripts, styles or reader comments is left out; an element around every article
+mark, or around most of an unmarked page's text, is no furniture. Over the weights of the other lines runs
+a sliding window: the text begins where a window holds more than ``SURGE`` characters outside of links
+and ends where the windows dive to nothing, and every line between a surge and its dive is kept. Lines
+inside an article mark weigh more than a surge each; where they are the greater part of the page's text,
+lines outside weigh nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql.functions import arrow_udf
 
 WINDOW = 3
 SURGE = 86
+# Share of an unmarked page's text beyond which an element is taken for a wrapper, whatever its name.
+MOST = 2 / 3
 
 # Element names of the markup language, and words of class and id names of page furniture.
 RAW = frozenset("script style noscript template svg math iframe object canvas title textarea select option button".split())
@@ -52,9 +55,10 @@ HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|
 @dataclass
 class Line:
     text: str
-    weight: int  # characters that count; 0 for furniture
+    weight: int  # characters outside of links
     in_article: bool
-    furniture: bool
+    within: tuple[int, ...]  # the elements around it that look like furniture
+    furniture: bool = False
 
 
 def _is_furniture(name: str, rest: str, in_article: bool) -> bool:
@@ -70,26 +74,35 @@ def _is_furniture(name: str, rest: str, in_article: bool) -> bool:
     return any(FURNITURE_NAMES.search(x) or not in_article and HEADER_NAMES.search(x) for x in labels)
 
 
+def _is_wrapper(name: str, rest: str) -> bool:
+    """Whether only its class, id or role makes an element furniture, or it is a form."""
+    return name == "form" or name not in FURNITURE and name != "header" and not HIDDEN.search(rest)
+
+
 def lines_of(html: str) -> list[Line]:
     """The page as lines: one per stretch of text between block boundaries, in page order."""
     lines: list[Line] = []
     parts: list[str] = []
     linked = 0
     open_: list[tuple[str, bool, bool]] = []  # name, is furniture, is article
-    furniture = article = links = 0
+    within: list[int] = []  # open elements that look like furniture, by number
+    wrappers: list[bool] = []  # of every such element
+    marks: list[set[int]] = []  # such elements around each article mark
+    article = links = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text or lines and lines[-1].text:
-            lines.append(Line(text, 0 if furniture else max(0, len(text) - linked), article > 0, furniture > 0))
+            lines.append(Line(text, max(0, len(text) - linked), article > 0, tuple(within)))
         linked = 0
 
     def leave(upto: int) -> None:
-        nonlocal furniture, article, links
-        for name, is_furniture, is_article in open_[upto:]:
-            furniture -= is_furniture
+        nonlocal article, links
+        for name, is_furniture, is_article in reversed(open_[upto:]):
+            if is_furniture:
+                within.pop()
             article -= is_article
             links -= name == "a"
         del open_[upto:]
@@ -127,44 +140,53 @@ def lines_of(html: str) -> list[Line]:
         if name in VOID or rest.endswith("/"):
             continue
         is_furniture = _is_furniture(name, rest, article > 0)
-        if is_furniture and not block and not furniture:
+        if is_furniture and not block and not within:
             flush()
         is_article = name in ("article", "main")
         open_.append((name, is_furniture, is_article))
-        furniture += is_furniture
+        if is_article:
+            marks.append(set(within))
+        if is_furniture:
+            within.append(len(wrappers))
+            wrappers.append(_is_wrapper(name, rest))
         article += is_article
         links += name == "a"
     if at < len(html):
         parts.append(html[at:])
     flush()
+
+    if marks:
+        waived = set.intersection(*marks)
+    else:
+        inside = [0] * len(wrappers)
+        for line in lines:
+            for i in line.within:
+                inside[i] += line.weight
+        most = MOST * sum(line.weight for line in lines)
+        waived = {i for i, n in enumerate(inside) if wrappers[i] and n > most}
+    for line in lines:
+        line.furniture = not waived.issuperset(line.within)
     return lines
 
 
 def surges(weights: list[int], least: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Stretches ``(first, after)`` from a surge of the window sums to the next dive.
+    """Stretches ``(first, after)`` of lines from a surge of the window sums to the next dive.
 
-    A dive is a line without weight; windows end there. A stretch is kept if one of its windows holds
-    more than ``least``.
+    A dive is a window without any weight. A stretch begins and ends with lines that have weight; it is
+    kept if one of its windows holds more than ``least``.
     """
-    found, start = [], None
-    for i, weight in enumerate([*weights, 0]):
-        if weight and start is None:
-            start = i
-        elif not weight and start is not None:
-            if any(sum(weights[j : min(j + window, i)]) > least for j in range(start, i)):
-                found.append((start, i))
-            start = None
-    return found
+    heavy = [i for i, weight in enumerate(weights) if weight]
+    starts = [i for i, before in zip(heavy, [None, *heavy]) if before is None or i - before > window]
+    ends = [i for i, after in zip(heavy, [*heavy[1:], None]) if after is None or after - i > window]
+    return [(a, b + 1) for a, b in zip(starts, ends) if any(sum(weights[j : min(j + window, b + 1)]) > least for j in range(a, b + 1))]
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by line ends; empty if there is none."""
-    lines = [line for line in lines_of(html or "") if line.text]
-    marked = any(line.in_article and not line.furniture for line in lines)
-    if marked:
-        weights = [len(line.text) if line.in_article and not line.furniture else 0 for line in lines]
-        return "\n".join(line.text for a, b in surges(weights, 0) for line in lines[a:b])
-    weights = [line.weight for line in lines]
+    lines = [line for line in lines_of(html or "") if line.text and not line.furniture]
+    marked = sum(len(line.text) for line in lines if line.in_article)
+    outside = 0 if marked >= sum(line.weight for line in lines if not line.in_article) and marked else 1
+    weights = [SURGE + len(line.text) if line.in_article else outside * line.weight for line in lines]
     return "\n".join(line.text for a, b in surges(weights, SURGE) for line in lines[a:b])
 
 

@@ -251,3 +251,29 @@ def test_main_text_without_article_marks():
     body = "Real text stands here. " * 8
     html = f"<div id=menu><a>One</a></div><div><p>{body}</p><p>Short.</p><div class=comments>{body}</div><p>{body}</p></div><div class='site-footer'>{body}</div>"
     assert main_text.main_text(html) == "\n".join([body.strip(), "Short.", body.strip()])
+
+
+BODY = "Real text stands here. " * 8
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        # Short and link-only blocks between a surge and its dive, also around furniture.
+        (f"<p>{BODY}<p>One.<p><a href=x>A link of its own</a><p>Two.<div class=ad>no</div><p>Three.<p>{BODY}", [BODY, "One.", "A link of its own", "Two.", "Three.", BODY]),
+        (f"<p>{BODY}<nav><ul><li>a<li>b<li>c<li>d</ul></nav><p>Short end.", [BODY, "Short end."]),
+        # A window of links alone is a dive.
+        (f"<p><a>1</a><p><a>2</a><p><a>3</a><p>{BODY}<p><a>4</a><p><a>5</a><p><a>6</a><p>{'x' * 20}", [BODY]),
+        # Wrappers with names of furniture.
+        (f"<div class=has-sidebar><nav>no</nav><article><p>{BODY}<p>a</article><div class=sidebar>no</div></div>", [BODY, "a"]),
+        (f"<form><main><p>{BODY}</main></form>", [BODY]),
+        (f"<div class='content with-sidebar'><p>{BODY}<p>{BODY}<p>b<div class=sidebar>{BODY[:60]}</div></div>", [BODY, BODY, "b"]),
+        (f"<main><p>{BODY}</main><div class=related><article>no</article></div>", [BODY]),
+        (f"<article><p>{BODY}<div class=comments>{BODY * 9}</div></article>", [BODY]),
+        # The mark is a weight: it does not hide the greater part of the text.
+        (f"<article>A teaser.</article><p>{BODY}<p>{BODY}", ["A teaser.", BODY, BODY]),
+        (f"<article><p>{BODY}<p>{BODY}</article><p>{BODY}", [BODY, BODY]),
+    ],
+)
+def test_main_text_by_windows(html, text):
+    assert main_text.main_text(html).split("\n") == [t.strip() for t in text]
