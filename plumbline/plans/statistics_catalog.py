@@ -117,7 +117,8 @@ def histogram_bins(spark, d):
     FROM g, h, s GROUP BY grid"""
 )
 def density_curve(spark, d):
-    return rounded(describe.density_curve(table(spark, d, "events"), "value"), 4, density=8)
+    # The SQL defines the curve of 512 cells.
+    return rounded(describe.density_curve(table(spark, d, "events"), "value", cells=512), 4, density=8)
 
 
 def _quartile_sql(body: str, table_name: str, columns: list[str]) -> str:

@@ -50,6 +50,24 @@ def test_density_integrates_to_one(sample):
     assert 0.85 < area < 1.01  # the grid ends at the extremes
 
 
+@pytest.mark.parametrize("longest", [60.0, 1e4, 1e7])
+def test_density_of_a_long_tail(spark, longest):
+    values = np.append(np.random.default_rng(4).gamma(2, 3, 3000), [longest, longest / 2])
+    sdf = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
+    got = describe.density_curve(sdf, "x", 400).toPandas().sort_values("grid")
+    width = values.std(ddof=1) * len(values) ** -0.2
+    grid = np.linspace(values.min(), values.max(), 400)
+    want = np.exp(-(((grid[:, None] - values) / width) ** 2) / 2).sum(axis=1) / (len(values) * width * np.sqrt(2 * np.pi))
+    assert got["grid"].tolist() == list(range(400))
+    np.testing.assert_allclose(got["x"], grid, rtol=1e-9)
+    np.testing.assert_allclose(got["density"], want, rtol=2e-3, atol=1e-3 * want.max())
+
+
+def test_density_without_values_or_spread(frame):
+    assert describe.density_curve(frame({"x": [None]}, "x double"), "x").count() == 0
+    assert {r["density"] for r in describe.density_curve(frame({"x": [2.0] * 3}, "x double"), "x").collect()} == {None}
+
+
 def test_correlations_match_pandas(sample):
     sdf, pdf = sample
     got = associate.pearson_pairs(sdf, ["x", "y", "z"], 9).toPandas().set_index(["feature1", "feature2"])["correlation"]
