@@ -81,8 +81,36 @@ def quality_rules_sql(policy: str = "web-v1") -> str:
       failed & {kept} = 0 AS kept, failed FROM f"""
 
 
+def filter_audit_sql() -> str:
+    """Walks through every order, without the closed form that the operator uses for the sum over orders."""
+    letters = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(l, b)"
+    order = ", ".join(f"(SELECT * FROM {letters}) f{k}" for k in range(5))
+    once = " + ".join(f"(1 << f{k}.b)" for k in range(5)) + f" = {sum(1 << b for b in (1, 2, 4, 8, 16))}"
+    return f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+      regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') AS w FROM documents),
+    m AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+      + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT AS mask FROM w),
+    l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+    o AS (SELECT [f0.l, f1.l, f2.l, f3.l, f4.l] AS l, [f0.b, f1.b, f2.b, f3.b, f4.b] AS b FROM {order} WHERE {once}),
+    s AS (SELECT array_to_string(l, '') AS filter_order, i::INT AS step, l[i] AS letter, b[i]::INT AS bit, coalesce(list_sum(b[1:i - 1]), 0)::INT AS before
+      FROM o, (SELECT unnest(range(1, 6)) AS i)),
+    a AS (SELECT part, filter_order, step, letter,
+      coalesce(sum(n) FILTER (mask & bit = 0 AND mask & before = 0), 0)::BIGINT AS kept,
+      coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+      coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+      coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, letter)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+      (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM a"""
+
+
 ORACLES = {
     "op2_secret_scan": secrets_sql(),
     "op3_decontamination": decontamination_sql(),
     "op6_quality_rules": quality_rules_sql(),
+    "op12_filter_audit": filter_audit_sql(),
 }

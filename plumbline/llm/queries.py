@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, chat, crf_quality, decontaminate, hmm, main_text, pii, quality_rules, secret_scan, simhash
-from plumbline.llm.common import bound_batches, hash_share
+from plumbline.llm import (
+    bpe,
+    chat,
+    crf_quality,
+    decontaminate,
+    filter_audit,
+    hmm,
+    main_text,
+    periods,
+    pii,
+    quality_rules,
+    secret_scan,
+    simhash,
+    token_counts,
+)
+from plumbline.llm.common import bound_batches, hash_share, let, words_of
 from plumbline.llm.oracles import ORACLES
 from plumbline.session import apply_runtime_conf
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+MOST_TOKENS = 512
 # The key of the test queries; whoever runs the operator brings a secret of their own.
 PSEUDONYM_KEY = b"plumbline test key"
 
@@ -128,6 +144,48 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = bpe.read_tokenizer(spark, tokenizer_path(BYTE_TOKENIZER))
+    counts = token_counts.token_counts(table(spark, folder, "documents"), tokenizer)
+    return counts.withColumn("over_limit", F.col("n_tokens") > MOST_TOKENS)
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def with_planted_runs(doc_id: Column, text: Column) -> Column:
+    """The text, with a periodic end for one id in ten; a NULL id has no decimal form, so its text stays."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        begin = (g % n).cast("int")
+        period = (1 + F.floor((n - begin) / (3 + g % 8))).cast("int")
+        place = lambda i: F.when(i < begin, i).otherwise(begin + (i - begin) % period)
+        new = F.transform(words, lambda _, i: F.get(words, place(i)))
+        return F.when(n > 0, F.array_join(new, " ")).otherwise("")
+
+    return F.when(h % 10 == 0, let(words_of(text), planted)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    text = with_planted_runs(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = periods.periodic_runs(table(spark, folder, "documents").select("doc_id", text.alias("text")))
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("size"), r["start"].alias("start"), r["period"].alias("period")))
+    return found.withColumn("r", F.array_min(order)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("r.start").alias("start"),
+        (-F.col("r.size")).alias("length"),
+        F.col("r.period").alias("period"),
+        F.floor(-1000 * F.col("r.size") / F.col("r.period")).alias("exponent_milli"),
+        digest(periods.long_form(F.col("runs"))).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_quality": op1_crf_quality,
     "op2_secret_scan": op2_secret_scan,
@@ -139,4 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
