@@ -39,6 +39,7 @@ HELD_ROWS = 100_000
 # Distinct texts that are sampled for each range, and the most bytes that all borders may have together.
 SAMPLED_PER_RANGE = 32
 BORDER_BYTES = 32 << 20
+BEGINNING_CHARS = 64
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("text", pa.binary()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("n", pa.int64())])
 _ROWS_SQL = "bucket int, text binary, doc_id long, part string, mask int, n long"
@@ -129,7 +130,9 @@ def text_borders(docs: DataFrame, text: Column, ranges: int) -> list[bytes]:
     rows = docs.count()
     share = max(1, rows // (SAMPLED_PER_RANGE * ranges))
     sample = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).groupBy("text").agg(F.lit(1))
-    ordered = sample.select(F.col("text").cast("binary").alias("text")).orderBy("text")
+    # Ranges of the sample go by short beginnings, so that no whole text reaches the driver; equal ones stay together.
+    ranged = sample.repartitionByRange(max(1, ranges // 8), F.substring("text", 1, BEGINNING_CHARS))
+    ordered = ranged.select(F.col("text").cast("binary").alias("text")).sortWithinPartitions("text")
     longest = BORDER_BYTES // ranges
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
