@@ -21,6 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.functions.scratch import materialize
+from plumbline.operators.boosting import DEPTH6, LEAVES31, Boosting
 from plumbline.operators.clean import impute_mean, one_hot_columns, standardize
 from plumbline.operators.metrics import classification_metrics, regression_metrics
 
@@ -138,7 +139,7 @@ def prepare(
 # ---------------------------------------------------------------- models
 
 
-def regression_models(train: DataFrame) -> dict[str, Estimator]:
+def regression_models(train: DataFrame, boosting_rounds: int = 100) -> dict[str, Estimator | Boosting]:
     """The regressors with penalties expressed in Spark's objective, which scales the label."""
     n, spread = train.agg(F.count("label"), F.stddev_pop("label")).first()
     spread = spread or 1.0
@@ -157,12 +158,15 @@ def regression_models(train: DataFrame) -> dict[str, Estimator]:
         "gradient_boosting": GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=SEED),
         "boosted_depth6": GBTRegressor(maxIter=100, stepSize=0.3, maxDepth=6, seed=SEED),
         "boosted_leaves31": GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=5, seed=SEED),
+        "second_order_depth6": Boosting(rounds=boosting_rounds, **DEPTH6),
+        "second_order_leaves31": Boosting(rounds=boosting_rounds, **LEAVES31),
     }
 
 
-def classification_models(train: DataFrame, classes: int) -> dict[str, Estimator]:
-    """The classifiers; boosting and the linear SVM are binary and are wrapped one-vs-rest otherwise."""
+def classification_models(train: DataFrame, classes: int, boosting_rounds: int = 100) -> dict[str, Estimator | Boosting]:
+    """The classifiers; first-order boosting and the linear SVM are binary and are wrapped one-vs-rest otherwise."""
     n = max(train.count(), 1)
+    loss = {"objective": "logistic" if classes <= 2 else "softmax", "classes": classes, "rounds": boosting_rounds}
     wrap = (lambda m: m) if classes <= 2 else (lambda m: OneVsRest(classifier=m, parallelism=4))
     return {
         "logistic": LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=200),
@@ -171,6 +175,8 @@ def classification_models(train: DataFrame, classes: int) -> dict[str, Estimator
         "linear_svm": wrap(LinearSVC(maxIter=100, regParam=1.0 / n)),
         "boosted_depth6": wrap(GBTClassifier(maxIter=100, stepSize=0.3, maxDepth=6, seed=SEED)),
         "boosted_leaves31": wrap(GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, seed=SEED)),
+        "second_order_depth6": Boosting(**DEPTH6, **loss),
+        "second_order_leaves31": Boosting(**LEAVES31, **loss),
     }
 
 
@@ -184,15 +190,15 @@ class Comparison:
 
 
 def compare(
-    prepared: Prepared, split_key: Sequence[str], problem: str, only: Sequence[str] | None = None
+    prepared: Prepared, split_key: Sequence[str], problem: str, only: Sequence[str] | None = None, boosting_rounds: int = 100
 ) -> Comparison:
     """Fit every model on the training part and measure all of them on the test part."""
     rows = materialize(hash_split(prepared.rows, split_key))
     train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
     if problem == "regression":
-        estimators = regression_models(train)
+        estimators = regression_models(train, boosting_rounds)
     else:
-        estimators = classification_models(train, len(prepared.classes or []))
+        estimators = classification_models(train, len(prepared.classes or []), boosting_rounds)
     chosen = {name: e for name, e in estimators.items() if only is None or name in only}
     fitted = {name: e.fit(train) for name, e in chosen.items()}
     parts = None
@@ -200,7 +206,9 @@ def compare(
         piece = model.transform(test)
         score = F.lit(None).cast("double")
         if problem != "regression" and len(prepared.classes or []) == 2:
-            score = vector_to_array("probability" if "probability" in piece.columns else "rawPrediction")[1]
+            scores = "probability" if "probability" in piece.columns else "rawPrediction"
+            is_array = isinstance(piece.schema[scores].dataType, T.ArrayType)
+            score = (F.col(scores) if is_array else vector_to_array(scores))[1]
         piece = piece.select(
             F.lit(name).alias("model"),
             F.lit(position).alias("model_position"),
@@ -251,6 +259,8 @@ def cross_validation(prepared: Prepared, estimator: Estimator, key: Sequence[str
 
 def _scores(model: Model) -> list[float] | None:
     """Importance of each feature: tree gains, or absolute coefficients averaged over the classes."""
+    if hasattr(model, "gains"):
+        return model.gains
     if hasattr(model, "featureImportances"):
         return [float(v) for v in model.featureImportances.toArray()]
     if getattr(model, "numClasses", 2) > 2 and hasattr(model, "coefficientMatrix"):

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from plumbline.operators import cluster, density, metrics, modeling
+from plumbline.operators import boosting, cluster, density, metrics, modeling
 from plumbline.plans.registry import query, rounded, union_all
 from plumbline.plans.views import embedding_columns, table, text_features
 
@@ -141,6 +141,53 @@ def boosted_regression_presets(spark, d):
     return rounded(_regression(spark, d, ["boosted_depth6", "boosted_leaves31"])[1].metrics, 6)
 
 
+@query(
+    """WITH v(feature, x, y) AS (SELECT 'p_size', p_size::DOUBLE, p_retailprice FROM part
+      UNION ALL SELECT 'p_brand', substring(p_brand, 7)::DOUBLE, p_retailprice FROM part),
+    c AS (SELECT feature, x, sum(y) AS s, count(*) AS n FROM v GROUP BY ALL),
+    r AS (SELECT feature, x AS threshold, sum(s) OVER w AS gl, sum(n) OVER w AS nl, sum(s) OVER (PARTITION BY feature) AS g, sum(n) OVER (PARTITION BY feature) AS n
+      FROM c WINDOW w AS (PARTITION BY feature ORDER BY x)),
+    d AS (SELECT feature, threshold, nl, n, gl - g / n * nl AS l, g / n AS mean FROM r WHERE nl < n),
+    b AS (SELECT *, (l * l / (nl + 1) + l * l / (n - nl + 1)) / 2 AS gain FROM d ORDER BY gain DESC LIMIT 1)
+    SELECT feature, threshold, round(gain, 2) AS gain, nl::BIGINT AS n_left, (n - nl)::BIGINT AS n_right,
+      round(mean + 0.3 * l / (nl + 1), 4) AS low, round(mean - 0.3 * l / (n - nl + 1), 4) AS high FROM b"""
+)
+def second_order_first_split(spark, d):
+    """One round of one level: the split with the largest gain over all values of two columns, and what its sides predict."""
+    part = table(spark, d, "part").withColumn("brand", F.substring("p_brand", 7, 9).cast("double"))
+    prepared = modeling.prepare(part, "p_retailprice", ["p_size", "brand", "p_retailprice"], keep=["p_size", "brand"])
+    model = boosting.Boosting(rounds=1, max_depth=1).fit(prepared.rows)
+    tree = model.rounds[0][0]
+    name = prepared.names[tree.feature[0]]
+    threshold = float(model.cuts[tree.feature[0]][tree.cut[0]])
+    guessed = model.transform(prepared.rows)
+    left = F.col(name) <= threshold
+    found = guessed.agg(
+        F.sum(left.cast("long")).alias("n_left"), F.sum((~left).cast("long")).alias("n_right"),
+        F.max(F.when(left, F.col("prediction"))).alias("low"), F.max(F.when(~left, F.col("prediction"))).alias("high"),
+    )
+    named = {"p_size": "p_size", "brand": "p_brand"}[name]
+    return rounded(found.select(F.lit(named).alias("feature"), F.lit(threshold).alias("threshold"), F.lit(tree.gain[0]).alias("gain"), "n_left", "n_right", "low", "high"), 4, gain=2)
+
+
+@query()
+def second_order_regression(spark, d):
+    """Second-order boosting of the retail price, by level and by leaf, 3 rounds: test metrics."""
+    prepared = _part_regression(spark, d)
+    compared = modeling.compare(prepared, ["p_partkey"], "regression", ["second_order_depth6", "second_order_leaves31"], boosting_rounds=3)
+    return rounded(compared.metrics, 4)
+
+
+@query()
+def second_order_multiclass(spark, d):
+    """Ten embedding labels by softmax trees, ten trees a round, 2 rounds: test metrics."""
+    vectors = embedding_columns(spark, d)
+    features = [c for c in vectors.columns if c.startswith("e")]
+    prepared = modeling.prepare(vectors, "label", features, keep=["vec_id"], classification=True)
+    compared = modeling.compare(prepared, ["vec_id"], "classification", ["second_order_depth6"], boosting_rounds=2)
+    return rounded(compared.metrics, 4)
+
+
 @query()
 def predictions_and_residuals(spark, d):
     compared = _regression(spark, d, ["linear"])[1]
