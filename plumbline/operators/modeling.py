@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from plumbline.functions.scratch import materialize
 from plumbline.operators.boosting import DEPTH6, LEAVES31, Boosting
 from plumbline.operators.clean import impute_mean, one_hot_columns, standardize
+from plumbline.operators.kernel_svm import KernelSVC
 from plumbline.operators.metrics import classification_metrics, regression_metrics
 
 SEED = 42
@@ -163,11 +164,15 @@ def regression_models(train: DataFrame, boosting_rounds: int = 100) -> dict[str,
     }
 
 
-def classification_models(train: DataFrame, classes: int, boosting_rounds: int = 100) -> dict[str, Estimator | Boosting]:
-    """The classifiers; first-order boosting and the linear SVM are binary and are wrapped one-vs-rest otherwise."""
+def classification_models(train: DataFrame, classes: int, boosting_rounds: int = 100) -> dict[str, Estimator | Boosting | KernelSVC]:
+    """The classifiers; first-order boosting and the linear SVM are binary and are wrapped one-vs-rest otherwise.
+
+    The kernel machine is for two classes only.
+    """
     n = max(train.count(), 1)
     loss = {"objective": "logistic" if classes <= 2 else "softmax", "classes": classes, "rounds": boosting_rounds}
     wrap = (lambda m: m) if classes <= 2 else (lambda m: OneVsRest(classifier=m, parallelism=4))
+    kernel = {"kernel_svm": KernelSVC()} if classes <= 2 else {}
     return {
         "logistic": LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=200),
         "random_forest": RandomForestClassifier(numTrees=100, maxDepth=8, seed=SEED),
@@ -177,6 +182,7 @@ def classification_models(train: DataFrame, classes: int, boosting_rounds: int =
         "boosted_leaves31": wrap(GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, seed=SEED)),
         "second_order_depth6": Boosting(**DEPTH6, **loss),
         "second_order_leaves31": Boosting(**LEAVES31, **loss),
+        **kernel,
     }
 
 

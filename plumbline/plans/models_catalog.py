@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from plumbline.operators import boosting, cluster, density, metrics, modeling
+from plumbline.operators import boosting, cluster, density, kernel_svm, metrics, modeling
 from plumbline.plans.registry import query, rounded, union_all
 from plumbline.plans.views import embedding_columns, table, text_features
 
@@ -254,6 +254,29 @@ def binary_classifiers(spark, d):
     return rounded(_classification(spark, d, only)[1].metrics, 6)
 
 
+@query()
+def kernel_svm_classifier(spark, d):
+    """Machine with a radial kernel and probabilities for document quality: test metrics."""
+    return rounded(_classification(spark, d, ["kernel_svm"])[1].metrics, 4)
+
+
+@query(
+    """SELECT n, abs(gradient_a) < 0.02 AS slope_fits, abs(gradient_b) < 0.01 AS shift_fits, p_rises FROM (
+      SELECT count(*) AS n, 0.0 AS gradient_a, 0.0 AS gradient_b, corr(n_chars, quality) > 0 AS p_rises FROM labels JOIN documents USING (doc_id))"""
+)
+def probability_calibration(spark, d):
+    """The sigmoid from document length to quality: at its optimum the residuals sum to zero, with length and without."""
+    rows = _length_score(spark, d).select((F.col("n_chars") / 1000.0).alias("m"), F.col("quality").alias("label"))
+    slope, shift = kernel_svm.sigmoid(rows)
+    p = 1 / (1 + F.exp(slope * F.col("m") + shift))
+    ones = F.sum("label")
+    counted = rows.crossJoin(rows.agg(((ones + 1) / (ones + 2)).alias("high"), (1 / (F.count(F.lit(1)) - ones + 2)).alias("low")))
+    residual = F.when(F.col("label") == 1, F.col("high")).otherwise(F.col("low")) - p
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.sum(residual * F.col("m")).alias("a"), F.sum(residual).alias("b")).select(
+        "n", (F.abs("a") < 0.02).alias("slope_fits"), (F.abs("b") < 0.01).alias("shift_fits"), F.lit(slope < 0).alias("p_rises")
+    )
+
+
 @query()
 def boosted_classifier_presets(spark, d):
     return rounded(_classification(spark, d, ["boosted_depth6", "boosted_leaves31"])[1].metrics, 6)
