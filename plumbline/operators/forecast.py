@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.ordered import null_safe_join
 from plumbline.functions.statistics import safe_divide
+from plumbline.operators import arima
 from plumbline.operators.timeseries import MIN_POINTS, autocorrelation
 
 
@@ -138,14 +139,44 @@ def arima_parameters(y: np.ndarray) -> tuple[float, float, float, float]:
     return float(phi), float(theta), float(total[0] / max(len(w) - 1, 1)), float(e[0])
 
 
+def arima_likelihood(
+    series: DataFrame, phi: float, theta: float, sigma2: float, keys: Sequence[str] = (), ts: str = "ts", value: str = "value"
+) -> DataFrame:
+    """``(keys, n, log_likelihood)`` of the differences of each series under ARMA(1,1) with given parameters.
+
+    Series below two points have no differences: n is 0 and the likelihood NULL.
+    """
+    names = list(keys) or ["_one"]
+    base = series if keys else series.withColumn("_one", F.lit(0))
+    base = base.select(*names, F.col(ts).alias("ts"), F.col(value).cast("double").alias("value")).na.drop()
+    fields = [f for f in base.schema.fields if f.name in names]
+    schema = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("log_likelihood", T.DoubleType())])
+
+    def measure(rows: pd.DataFrame) -> pd.DataFrame:
+        w = np.diff(rows.sort_values("ts")["value"].to_numpy())
+        found = arima.log_likelihood(w, np.array([phi]), np.array([theta]), sigma2) if len(w) else None
+        return rows[names].head(1).assign(n=len(w), log_likelihood=found)
+
+    return base.groupBy(*names).applyInPandas(measure, schema).select(*keys, "n", "log_likelihood")
+
+
 def arima_forecast(
-    series: DataFrame, keys: Sequence[str] = (), train: float = 0.8, steps: int = 5, ts: str = "ts", value: str = "value"
+    series: DataFrame,
+    keys: Sequence[str] = (),
+    train: float = 0.8,
+    steps: int = 5,
+    ts: str = "ts",
+    value: str = "value",
+    method: str = "likelihood",
 ) -> DataFrame:
     """Fit ARIMA(1,1,1) on the first 80 % of each series and forecast the rest.
 
     Returns ``(keys, step, ts, actual, forecast, phi, theta, sigma2)``; ``steps`` applies when
-    nothing is left to test. Series below 10 points give one row of NULLs.
+    nothing is left to test. Series below 10 points give one row of NULLs. ``method`` is the exact
+    ``likelihood`` or ``conditional`` least squares.
     """
+    if method not in ("likelihood", "conditional"):
+        raise ValueError(f"unknown method {method}")
     names = list(keys) or ["_one"]
     base = series if keys else series.withColumn("_one", F.lit(0))
     base = base.select(*names, F.col(ts).alias("ts"), F.col(value).cast("double").alias("value")).na.drop()
@@ -162,10 +193,15 @@ def arima_forecast(
         cut = int(len(y) * train)
         if len(y) < MIN_POINTS["forecast"] or cut < 4:
             return _too_short(rows, names, schema)
-        phi, theta, sigma2, error = arima_parameters(y[:cut])
         ahead = len(y) - cut or steps
-        move = phi * (y[cut - 1] - y[cut - 2]) + theta * error
-        forecast = y[cut - 1] + np.cumsum(move * phi ** np.arange(ahead))
+        if method == "likelihood":
+            model = arima.fit(y[:cut])
+            phi, theta, sigma2 = float(model.ar[0]), float(model.ma[0]), model.sigma2
+            forecast = model.forecast(ahead)[0]
+        else:
+            phi, theta, sigma2, error = arima_parameters(y[:cut])
+            move = phi * (y[cut - 1] - y[cut - 2]) + theta * error
+            forecast = y[cut - 1] + np.cumsum(move * phi ** np.arange(ahead))
         actual = np.full(ahead, np.nan)
         actual[: len(y) - cut] = y[cut:]
         out = pd.DataFrame({n: [rows[n].iloc[0]] * ahead for n in names})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordered import over_neighbours, with_position
-from plumbline.operators import forecast, timeseries as ts
+from plumbline.operators import changepoints, forecast, timeseries as ts
 from plumbline.plans.registry import query, rounded, union_all
 from plumbline.plans.views import (
     EVENT_DAYS_SQL,
@@ -376,6 +376,51 @@ def holt_winters_horizon(spark, d):
     return rounded(rows.select("c_nationkey", "step"))
 
 
+@query(
+    f"""WITH RECURSIVE {_NATION_MONTHS_SQL},
+    w AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY ts) - 1 AS i,
+      (value - lag(value) OVER (PARTITION BY c_nationkey ORDER BY ts)) / 1e6 AS w FROM nation_months),
+    k(c_nationkey, i, v, r, hat) AS (
+      SELECT c_nationkey, 1, w, (1 + 2 * 0.5 * 0.3 + 0.09) / 0.75, 0.5 * w + 0.3 * w / ((1 + 2 * 0.5 * 0.3 + 0.09) / 0.75) FROM w WHERE i = 1
+      UNION ALL SELECT c_nationkey, w.i, w - hat, 1.09 - 0.09 / r, 0.5 * w + 0.3 * (w - hat) / (1.09 - 0.09 / r)
+      FROM k JOIN w USING (c_nationkey) WHERE w.i = k.i + 1)
+    SELECT c_nationkey, count(*) AS n, round(-0.5 * sum(ln(2 * pi() * r) + v * v / r), 4) AS log_likelihood FROM k GROUP BY 1"""
+)
+def arima_likelihood(spark, d):
+    """Exact likelihood of every nation's monthly changes under fixed parameters."""
+    months = _nation_months(spark, d).withColumn("value", F.col("value") / 1e6)
+    return rounded(forecast.arima_likelihood(months, 0.5, 0.3, 1.0, ["c_nationkey"]), 4)
+
+
+def _broken_months(spark, d):
+    """Monthly counts of days, turned into a line per nation that breaks after a number of months of its own."""
+    months = _nation_months(spark, d).select("c_nationkey", "ts")
+    first = months.groupBy("c_nationkey").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    dated = months.join(first, "c_nationkey")
+    month = F.months_between("ts", "lo").cast("double")
+    at = (F.months_between("hi", "lo") * (0.25 + F.col("c_nationkey") % 5 * 0.1)).cast("int")
+    planted = dated.withColumn("at", at)
+    value = 100 + 2.0 * month + 5.0 * F.greatest(F.lit(0.0), month - F.col("at"))
+    return planted.select("c_nationkey", "ts", value.alias("value"), F.add_months("lo", F.col("at")).alias("break_day"))
+
+
+@query(f"WITH {_NATION_MONTHS_SQL} SELECT c_nationkey, true AS found FROM nation_months GROUP BY 1 HAVING count(*) >= 24")
+def trend_breaks(spark, d):
+    """Lines with a planted break over every nation's months: whether the largest change of slope lies within a month of it."""
+    series = _broken_months(spark, d)
+    longer = series.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("break_day").alias("break_day")).where("n >= 24")
+    found = changepoints.change_points(series, ["c_nationkey"], spec=changepoints.Trend(changes=50, waves=0))
+    largest = found.groupBy("c_nationkey").agg(F.max_by("ts", "share").alias("largest"))
+    joined = longer.join(largest, "c_nationkey", "left")
+    near = F.abs(F.date_diff("largest", "break_day")) <= 31
+    return rounded(joined.select("c_nationkey", F.coalesce(near, F.lit(False)).alias("found")))
+
+
+@query()
+def change_point_forecast(spark, d):
+    return rounded(_iso(changepoints.change_point_forecast(_nation_months(spark, d), ["c_nationkey"]), "ts"), 0)
+
+
 @query()
 def trend_season_forecast(spark, d):
     return rounded(_iso(forecast.trend_season_forecast(_nation_months(spark, d), ["c_nationkey"]), "ts"), 2)
