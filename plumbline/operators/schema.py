@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -23,12 +23,13 @@ def _static_role(data_type: T.DataType) -> str | None:
 
 @dataclass(frozen=True)
 class RoleMap:
-    """Column names by role, in schema order."""
+    """Column names by role, in schema order; ``forms`` names the form of the text columns that hold dates."""
 
     numeric: tuple[str, ...]
     categorical: tuple[str, ...]
     datetime: tuple[str, ...]
     other: tuple[str, ...]
+    forms: Mapping[str, str] = field(default_factory=dict)
 
 
 def one_row_to_long(row: DataFrame, structs: Sequence[Column]) -> DataFrame:
@@ -36,63 +37,95 @@ def one_row_to_long(row: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-# Text that may be a date: a year with its month at least. Bare numbers are codes, whatever parses.
-_DATE_TEXT = r"^\s*\d{4}-\d{1,2}(-|\s*$)"
-
-
-def text_as_timestamp(column: Column) -> Column:
-    """The timestamp that a text stands for; NULL unless it looks like a date and parses as one."""
-    return F.when(column.rlike(_DATE_TEXT), F.try_to_timestamp(column))
+# Forms of dates in text, first fit first: what the text must look like, and the pattern that reads it.
+# A date may be followed by a time. Numbers of other lengths than a packed date's are codes.
+_TIME = r"( \d{1,2}:\d{2}(:\d{2})?( [AP]M)?)?$"
+_CLOCK = "[ h:mm:ss a][ h:mm a][ H:mm:ss][ H:mm]"
+_NAMED, _FULL = "[A-Za-z]{3}", "[A-Za-z]{3,9}"
+DATE_FORMS: dict[str, tuple[str, str | None]] = {
+    "iso": (r"^\d{4}-\d{1,2}(-|$)", None),
+    "year/month/day": (r"^\d{4}/\d{1,2}/\d{1,2}" + _TIME, "yyyy/M/d" + _CLOCK),
+    "month/day/year": (r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME, "M/d/yyyy" + _CLOCK),
+    "day/month/year": (r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME, "d/M/yyyy" + _CLOCK),
+    "month-day-year": (r"^\d{1,2}-\d{1,2}-\d{4}" + _TIME, "M-d-yyyy" + _CLOCK),
+    "day-month-year": (r"^\d{1,2}-\d{1,2}-\d{4}" + _TIME, "d-M-yyyy" + _CLOCK),
+    "month.day.year": (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _TIME, "M.d.yyyy" + _CLOCK),
+    "day.month.year": (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _TIME, "d.M.yyyy" + _CLOCK),
+    "short name day, year": (rf"^{_NAMED} \d{{1,2}}, \d{{4}}" + _TIME, "MMM d, yyyy" + _CLOCK),
+    "name day, year": (rf"^{_FULL} \d{{1,2}}, \d{{4}}" + _TIME, "MMMM d, yyyy" + _CLOCK),
+    "day short name year": (rf"^\d{{1,2}}[ -]{_NAMED}[ -]\d{{4}}" + _TIME, "d[ ][-]MMM[ ][-]yyyy" + _CLOCK),
+    "day name year": (rf"^\d{{1,2}} {_FULL} \d{{4}}" + _TIME, "d MMMM yyyy" + _CLOCK),
+    "packed": (r"^\d{8}$", "yyyyMMdd"),
+}
+
+
+def text_as_timestamp(column: Column, form: str = "iso") -> Column:
+    """The timestamp that a text stands for; NULL unless it looks like the form and parses as one."""
+    looks, pattern = DATE_FORMS[form]
+    text = F.trim(column)
+    parsed = F.try_to_timestamp(text) if pattern is None else F.try_to_timestamp(text, F.lit(pattern))
+    return F.when(text.rlike(looks), parsed)
+
+
+def _roles(df: DataFrame) -> DataFrame:
+    """``(column, dtype, role, form)``, all rows checked in one aggregate."""
+    text = [f.name for f in df.schema.fields if _static_role(f.dataType) is None]
 
+    def counts(c: str) -> Column:
+        column = F.col(f"`{c}`")
+        return F.struct(F.count(column).alias("n"), *[F.count(text_as_timestamp(column, form)).alias(form) for form in DATE_FORMS])
 
-def column_roles(df: DataFrame) -> DataFrame:
-    """``(column, dtype, role)``; a text column is a date when it has values and all of them are dates.
-
-    All rows are checked in one aggregate.
-    """
-    text = [f.name for f in df.schema.fields if _static_role(f.dataType) is None]
-    pairs = [
-        F.struct(F.count(f"`{c}`").alias("n"), F.count(text_as_timestamp(F.col(f"`{c}`"))).alias("ok")) for c in text
-    ]
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[p.alias(f"t{i}") for i, p in enumerate(pairs)])
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[counts(c).alias(f"t{i}") for i, c in enumerate(text)])
     structs = []
-    for field in df.schema.fields:
-        role = _static_role(field.dataType)
+    for field_ in df.schema.fields:
+        role = _static_role(field_.dataType)
+        form = F.lit(None).cast("string")
+        role_value = F.lit(role)
         if role is None:
-            check = F.col(f"t{text.index(field.name)}")
-            parsed = (check["n"] > 0) & (check["n"] == check["ok"])
-            role_value = F.when(parsed, "datetime").otherwise("categorical")
-        else:
-            role_value = F.lit(role)
+            check = F.col(f"t{text.index(field_.name)}")
+            fits = [F.when((check["n"] > 0) & (check["n"] == check[name]), F.lit(name)) for name in DATE_FORMS]
+            form = F.coalesce(*fits)
+            role_value = F.when(form.isNotNull(), "datetime").otherwise("categorical")
         structs.append(
             F.struct(
-                F.lit(field.name).alias("column"),
-                F.lit(field.dataType.simpleString()).alias("dtype"),
+                F.lit(field_.name).alias("column"),
+                F.lit(field_.dataType.simpleString()).alias("dtype"),
                 role_value.alias("role"),
+                form.alias("form"),
             )
         )
     return one_row_to_long(row, structs)
 
 
+def column_roles(df: DataFrame) -> DataFrame:
+    """``(column, dtype, role)``; a text column is a date when it has values and one form reads all of them.
+
+    Where month and day may be either way round in all rows, the month comes first.
+    """
+    return _roles(df).drop("form")
+
+
 def classify(df: DataFrame, parse_text: bool = True) -> RoleMap:
     """Roles as names on the driver (one small row per column)."""
-    known = {f.name: _static_role(f.dataType) for f in df.schema.fields}
+    known, forms = {f.name: _static_role(f.dataType) for f in df.schema.fields}, {}
     if parse_text and any(role is None for role in known.values()):
-        known = {r["column"]: r["role"] for r in column_roles(df).collect()}
+        found = _roles(df).collect()
+        known = {r["column"]: r["role"] for r in found}
+        forms = {r["column"]: r["form"] for r in found if r["form"]}
     roles = {name: role or "categorical" for name, role in known.items()}
     pick = lambda wanted: tuple(c for c in df.columns if roles[c] == wanted)
-    return RoleMap(pick("numeric"), pick("categorical"), pick("datetime"), pick("other"))
+    return RoleMap(pick("numeric"), pick("categorical"), pick("datetime"), pick("other"), forms)
 
 
 def apply_roles(df: DataFrame, roles: RoleMap) -> DataFrame:
     """Parse text columns in the datetime role; NaN becomes NULL in floating columns."""
     changes: dict[str, Column] = {}
-    for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if field.name in roles.datetime and isinstance(field.dataType, T.StringType):
-            changes[field.name] = text_as_timestamp(column)
-        elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-            changes[field.name] = F.when(~F.isnan(column), column)
+    for field_ in df.schema.fields:
+        column = F.col(f"`{field_.name}`")
+        if field_.name in roles.datetime and isinstance(field_.dataType, T.StringType):
+            changes[field_.name] = text_as_timestamp(column, roles.forms.get(field_.name, "iso"))
+        elif isinstance(field_.dataType, (T.FloatType, T.DoubleType)):
+            changes[field_.name] = F.when(~F.isnan(column), column)
     return df.withColumns(changes) if changes else df
 
 

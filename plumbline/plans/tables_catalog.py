@@ -233,6 +233,38 @@ def column_roles(spark, d):
     return schema.column_roles(e.withColumn("ts_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
 
 
+# Text columns made from the orders' dates, and whether they are dates: codes, years and mixed forms are not.
+_DATE_TEXTS = {
+    "us": "MM/dd/yyyy", "short_us": "M/d/yyyy h:mm a", "slashed": "yyyy/MM/dd", "named": "MMM d, yyyy", "full": "d MMMM yyyy",
+    "dashed": "dd-MMM-yyyy", "packed": "yyyyMMdd", "dotted": "dd.MM.yyyy", "european": "dd/MM/yyyy HH:mm:ss", "iso": "yyyy-MM-dd'T'HH:mm:ss",
+}
+
+
+@query(
+    "WITH d AS (SELECT strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day FROM orders)\n"
+    + union_all(
+        [f"SELECT '{c}' AS \"column\", 'datetime' AS role, first_day, last_day FROM d" for c in _DATE_TEXTS]
+        + [f"SELECT '{c}', 'categorical', NULL, NULL" for c in ("year", "postcode", "mixed")]
+    )
+)
+def text_date_roles(spark, d):
+    """Roles of text in the usual forms of dates, and the first and last day that they are read as."""
+    o, day = table(spark, d, "orders"), F.col("o_orderdate")
+    texts = [F.date_format(day, pattern).alias(c) for c, pattern in _DATE_TEXTS.items()]
+    mixed = F.when(F.dayofmonth(day) > 15, F.date_format(day, "yyyy/MM/dd")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+    codes = [F.year(day).cast("string").alias("year"), F.lpad((F.col("o_orderkey") % 100000).cast("string"), 5, "0").alias("postcode"), mixed.alias("mixed")]
+    soiled = o.select(*texts, *codes)
+    roles = schema.classify(soiled)
+    read = schema.apply_roles(soiled, roles)
+    span = lambda f, c: F.date_format(f(c), "yyyy-MM-dd") if c in roles.datetime else F.lit(None).cast("string")
+    row = read.agg(*[F.struct(span(F.min, c).alias("first_day"), span(F.max, c).alias("last_day")).alias(c) for c in soiled.columns])
+    kinds = [
+        F.struct(F.lit(c).alias("column"), F.lit("datetime" if c in roles.datetime else "categorical").alias("role"), F.col(c)["first_day"].alias("first_day"), F.col(c)["last_day"].alias("last_day"))
+        for c in soiled.columns
+    ]
+    return schema.one_row_to_long(row, kinds)
+
+
 @query(
     union_all(
         [

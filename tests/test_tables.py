@@ -208,3 +208,33 @@ def test_poll_sees_changed_files(spark, tmp_path):
     assert [r["path"][-7:] for r in poll_folder(*args).collect()] == ["one.csv"]
     rows = sorted((r["file"][-7:], r["rows"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert rows == [("one.csv", 1), ("one.csv", 2), ("two.csv", 1)]
+
+
+@pytest.mark.parametrize(
+    "values, role, first",
+    [
+        (["01/02/2024", "12/31/2024"], "datetime", "2024-01-02 00:00:00"),
+        (["01/02/2024", "31/12/2024"], "datetime", "2024-02-01 00:00:00"),
+        (["2024/01/05 10:30", None], "datetime", "2024-01-05 10:30:00"),
+        (["Jan 5, 2024", " Feb 6, 2024 "], "datetime", "2024-01-05 00:00:00"),
+        (["January 5, 2024 9:05 PM"], "datetime", "2024-01-05 21:05:00"),
+        (["5 March 2024", "6 May 2024"], "datetime", "2024-03-05 00:00:00"),
+        (["5-Mar-2024"], "datetime", "2024-03-05 00:00:00"),
+        (["20240105", "20241231"], "datetime", "2024-01-05 00:00:00"),
+        (["20240105", "20241331"], "categorical", None),
+        (["31.12.2024"], "datetime", "2024-12-31 00:00:00"),
+        (["2024-01-05T10:30:00"], "datetime", "2024-01-05 10:30:00"),
+        (["2024", "2023"], "categorical", None),
+        (["12345", "20240"], "categorical", None),
+        (["01/02/2024", "2024/01/02"], "categorical", None),
+        (["01/02/2024", "soon"], "categorical", None),
+        (["", " "], "categorical", None),
+        ([None], "categorical", None),
+    ],
+)
+def test_dates_in_text(frame, values, role, first):
+    df = frame({"a b": values}, "`a b` string")
+    roles = schema.classify(df)
+    assert schema.column_roles(df).first()["role"] == role == ("datetime" if roles.datetime else "categorical")
+    if first:
+        assert str(schema.apply_roles(df, roles).first()[0]) == first

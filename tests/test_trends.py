@@ -138,12 +138,12 @@ def test_penalised_solution_is_optimal(seed):
 
 
 def test_many_rows_a_day_short_and_missing_series(spark):
-    days = pd.date_range("2021-01-01", periods=200)
+    days = [d.to_pydatetime() for d in pd.date_range("2021-01-01", periods=200)]
     rows = [("a", d, float(i + j)) for i, d in enumerate(days) for j in (-1, 0, 1)] + [("b", days[0], 1.0), ("b", days[1], None), ("c", None, 1.0)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, value double")
     got = changepoints.change_point_forecast(df, ["k"]).toPandas().sort_values(["k", "step"])
     a = got[got.k == "a"]
-    want = [(pd.Timestamp(d) - days[0]).days for d in a.ts]
+    want = [(pd.Timestamp(d) - pd.Timestamp(days[0])).days for d in a.ts]
     np.testing.assert_allclose(a.forecast, want, rtol=0.03)
     assert got[got.k == "b"].forecast.isna().all() and len(got) == 12
     assert changepoints.change_points(df.where("k = 'b'"), ["k"]).count() == 0
