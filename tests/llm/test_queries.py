@@ -322,11 +322,13 @@ def test_pipeline_stage_by_stage(spark, folders):
     assert "4111-1111" not in last[10]["text"] and all(r["n_tokens"] == len(r["token_ids"]) for r in last.values())
 
 
-def test_pipeline_stage_finds_ordinary_near_copies(spark, folders):
+@pytest.mark.parametrize("tile", [256, 2])
+def test_pipeline_stage_finds_ordinary_near_copies(spark, folders, monkeypatch, tile):
     import random
 
     from plumbline.llm import near_copies, simhash
 
+    monkeypatch.setattr(near_copies, "TILE", tile)
     rng = random.Random(6)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
 
@@ -350,3 +352,15 @@ def test_pipeline_stage_finds_ordinary_near_copies(spark, folders):
     assert {r["doc_id"] for r in stages.near_duplicates(spark, docs, folders[0]).collect()} == expected
     bits = (simhash.fingerprint_of(texts[0].encode()) ^ simhash.fingerprint_of(texts[3].encode())) % 2**64
     assert near_copies.similar(*[near_copies.shingle_set(texts[i].encode()) for i in (0, 3)]) and bits.bit_count() > simhash.RADIUS
+
+
+def test_similarity_of_all_pairs_by_products():
+    import numpy as np
+
+    from plumbline.llm import near_copies
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(0, 14)).astype(np.uint64)) for _ in range(60)]
+    found = near_copies.similar_matrix(sets[:25], sets[25:])
+    assert found.any() and [[bool(x) for x in row] for row in found] == [[near_copies.similar(a, b) for b in sets[25:]] for a in sets[:25]]
+    assert near_copies.similar_matrix([], []).shape == (0, 0)
