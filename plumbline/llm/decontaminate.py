@@ -72,7 +72,8 @@ class TestBlock:
         table = np.array(suffixes, np.int64).reshape(-1, 4)
         self.flat = np.array(flat or [0], np.int32)
         self.starts, self.lengths, self.needs, self.windows = table.T.copy()
-        self.items = [sorted(o) for o in owners]
+        # An item without id is found like any other; there is only nothing to name it by.
+        self.items = [sorted(o - {None}) for o in owners]
         return self
 
 
@@ -228,12 +229,12 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[TestBlock]:
     """The items in blocks of bounded size, read from the cluster one part at a time.
 
-    Items without words or with NULL ids have no windows; without any item there is one empty block. A single item longer than a block is a
-    block by itself.
+    Items without words have no windows; those of items with a NULL id are found, but not named. Without any
+    item there is one empty block. A single item longer than a block is a block by itself.
     """
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
     held, size, cut = [], 0, False
-    for row in rows.where("item is not null and text is not null").toLocalIterator():
+    for row in rows.where("text is not null").toLocalIterator():
         words = words_of(bytes(row["text"]))
         if held and size + len(words) > block_words:
             yield TestBlock(window).build(held)

@@ -35,12 +35,12 @@ def secrets_sql() -> str:
 def decontamination_sql(window: int = 10) -> str:
     words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
-    b AS (SELECT item_id::VARCHAR AS item, w, least({window}, len(w)) AS k FROM (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL)),
+    b AS (SELECT item_id::VARCHAR AS item, w, least({window}, len(w)) AS k FROM (SELECT item_id, {words} AS w FROM benchmark)),
     bw AS (SELECT DISTINCT item, k, w[a:a + k - 1] AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS a FROM b WHERE k > 0)),
     dw AS (SELECT r, k, a, w[a:a + k - 1] AS win FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM bw))),
     hits AS (SELECT r, a, dw.k, item FROM dw JOIN bw USING (k, win)),
     places AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(a, a + k)) AS p FROM (SELECT DISTINCT r, a, k FROM hits)) GROUP BY r),
-    found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+    found AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
       sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
     FROM d LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
