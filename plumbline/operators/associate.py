@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -22,7 +23,6 @@ from plumbline.functions.statistics import (
 )
 from plumbline.operators.schema import as_text, one_row_to_long
 
-MAX_DENSE_CATEGORIES = 10_000
 
 
 _PAIR_SUMS = "i int, j int, n long, x double, y double, xx double, yy double, xy double"
@@ -202,12 +202,18 @@ _ROYSTON_LAST = [-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0]
 _ROYSTON_NEXT = [-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0]
 _ROYSTON_MEAN = [0.0038915, -0.083751, -0.31082, -1.5861]
 _ROYSTON_LOG_SD = [0.0030302, -0.082676, -0.4803]
+# The same for 4 to 11 values, by n itself, with the bound of the transformed statistic.
+_ROYSTON_FEW_BOUND = [0.459, -2.273]
+_ROYSTON_FEW_MEAN = [-0.0006714, 0.025054, -0.39978, 0.5440]
+_ROYSTON_FEW_LOG_SD = [-0.0020322, 0.062767, -0.77857, 1.3822]
 
 
 def shapiro_wilk(df: DataFrame, column: str) -> DataFrame:
-    """Shapiro-Wilk W with Royston's weights over ALL rows (12 or more), as one row.
+    """Shapiro-Wilk W with Royston's weights over ALL rows, as one row.
 
-    Every row gets its exact rank in the global order; W is then a ratio of plain sums.
+    Every row gets its exact rank in the global order; W is then a ratio of plain sums. Three values have an
+    exact distribution, and 4 to 11 an approximation of their own. Below three values, and where all are
+    equal, statistic, p_value and is_normal are NULL.
     """
     values = df.select(clean_double(column).alias("_x")).where("_x is not null")
     placed = with_position(values, ["_x"])
@@ -228,37 +234,47 @@ def shapiro_wilk(df: DataFrame, column: str) -> DataFrame:
         F.max(F.when(F.col(POSITION) == 1, d)).alias("d02"),
     )
     u = 1 / F.sqrt("n")
+    # The outermost weight on each side is replaced, from six values on the one next to it as well.
+    two = F.when(F.col("n") > 5, 1.0).otherwise(0.0)
+    last = polynomial(u, _ROYSTON_LAST) + F.col("m1") / F.sqrt("mm")
+    outer, inner = F.col("dn1") - F.col("d01"), F.col("dn2") - F.col("d02")
     weighted = (
-        sums.withColumn("a1", polynomial(u, _ROYSTON_LAST) + F.col("m1") / F.sqrt("mm"))
+        sums.withColumn("a1", F.when(F.col("n") == 3, math.sqrt(0.5)).otherwise(last))
         .withColumn("a2", polynomial(u, _ROYSTON_NEXT) + F.col("m2") / F.sqrt("mm"))
         .withColumn(
             "phi",
-            (F.col("mm") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2)
-            / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2),
+            (F.col("mm") - 2 * F.col("m1") ** 2 - two * 2 * F.col("m2") ** 2)
+            / (1 - 2 * F.col("a1") ** 2 - two * 2 * F.col("a2") ** 2),
         )
-        # Inner weights are m / sqrt(phi); the two outermost on each side are replaced.
+        # Inner weights are m / sqrt(phi).
+        .withColumn("rest", (F.col("md") - F.col("m1") * outer - two * F.col("m2") * inner) / F.sqrt("phi"))
         .withColumn(
-            "ad",
-            (F.col("md") - F.col("m1") * (F.col("dn1") - F.col("d01")) - F.col("m2") * (F.col("dn2") - F.col("d02")))
-            / F.sqrt("phi")
-            + F.col("a1") * (F.col("dn1") - F.col("d01"))
-            + F.col("a2") * (F.col("dn2") - F.col("d02")),
+            "ad", F.when(F.col("n") == 3, 0.0).otherwise(F.col("rest")) + F.col("a1") * outer + two * F.col("a2") * inner
         )
-        .withColumn("w", safe_divide(F.col("ad") ** 2, F.col("dd")))
+        .withColumn("w", F.when((F.col("n") >= 3) & (F.col("dd") > 0), F.least(F.col("ad") ** 2 / F.col("dd"), F.lit(1.0))))
     )
-    log_n = F.log("n")
-    z = (F.log(1 - F.col("w")) - polynomial(log_n, _ROYSTON_MEAN)) / F.exp(polynomial(log_n, _ROYSTON_LOG_SD))
-    return (
-        weighted.where("n >= 12")
-        .select(
-            F.lit(column).alias("column"),
-            F.lit("Shapiro-Wilk").alias("test"),
-            F.col("n").cast("long").alias("n"),
-            F.col("w").alias("statistic"),
-            normal_upper_tail(z).alias("p_value"),
-        )
-        .withColumn("is_normal", F.col("p_value") > 0.05)
+    w, log_n = F.col("w"), F.log("n")
+    left = F.log(1 - w)
+    many = (left - polynomial(log_n, _ROYSTON_MEAN)) / F.exp(polynomial(log_n, _ROYSTON_LOG_SD))
+    n_ = F.col("n")
+    bound = polynomial(n_, _ROYSTON_FEW_BOUND)
+    few = (-F.log(bound - left) - polynomial(n_, _ROYSTON_FEW_MEAN)) / F.exp(polynomial(n_, _ROYSTON_FEW_LOG_SD))
+    three = F.greatest(F.lit(6 / math.pi) * (F.asin(F.sqrt(w)) - math.asin(math.sqrt(0.75))), F.lit(0.0))
+    p_value = (
+        F.when(w.isNull(), F.lit(None))
+        .when(n_ == 3, three)
+        .when(w == 1, 1.0)
+        .when((n_ <= 11) & (left >= bound), 0.0)
+        .when(n_ <= 11, normal_upper_tail(few))
+        .otherwise(normal_upper_tail(many))
     )
+    return weighted.select(
+        F.lit(column).alias("column"),
+        F.lit("Shapiro-Wilk").alias("test"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        w.alias("statistic"),
+        p_value.alias("p_value"),
+    ).withColumn("is_normal", F.col("p_value") > 0.05)
 
 
 def _bin_index(column: str, fences: Sequence[float] | None) -> Column:
@@ -310,11 +326,8 @@ def contingency(df: DataFrame, row: str, column: str, dense: bool = False) -> Da
     )
     if not dense:
         return cells
-    values = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).select(column).distinct()
-    if values.limit(MAX_DENSE_CATEGORIES + 1).count() > MAX_DENSE_CATEGORIES:
-        raise ValueError(f"{column} has too many values for a dense table; the sparse one holds the same counts")
-    names = values.agg(F.collect_list(column)).scalar()
-    grid = cells.select("row_value").distinct().select("row_value", F.explode(names).alias("col_value"))
+    # The grid is the result asked for: one row per pair of a row value and a column value.
+    grid = cells.select("row_value").distinct().join(cells.select("col_value").distinct())
     return grid.join(cells, ["row_value", "col_value"], "left").select(
         "row_value", "col_value", F.coalesce("n", F.lit(0)).alias("n")
     )

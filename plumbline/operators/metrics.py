@@ -29,11 +29,11 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str, keys: Sequence[
         F.count(F.lit(1)).alias("n")
     )
     classes = cells.select(F.inline(F.array(F.struct(F.col("actual").alias("c")), F.struct(F.col("predicted").alias("c")))))
-    names = classes.distinct().agg(F.collect_list("c")).scalar()
-    rows = classes.select(F.col("c").alias("actual")).distinct()
+    # The grid is the result asked for: every class with every class, for every key.
+    names = classes.distinct()
+    grid = names.withColumnRenamed("c", "actual").join(names.withColumnRenamed("c", "predicted"))
     if keys:
-        rows = cells.select(*keys).distinct().select(*keys, F.explode(names).alias("actual"))
-    grid = rows.select("*", F.explode(names).alias("predicted"))
+        grid = cells.select(*keys).distinct().join(grid)
     return null_safe_join(grid, cells, [*keys, "actual", "predicted"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0))
     )

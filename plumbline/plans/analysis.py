@@ -10,6 +10,7 @@ from plumbline.functions.scratch import materialize
 from plumbline.operators import (
     associate,
     business,
+    changepoints,
     clean,
     cluster,
     density,
@@ -40,6 +41,9 @@ def _model_results(
     prepared = modeling.prepare(df, target, features, roles.categorical, keep=key)
     compared = modeling.compare(prepared, key, "regression")
     out["model_metrics"] = compared.metrics
+    if prepared.left_out:
+        reasons = [(c, "too many categories") for c in prepared.left_out]
+        out["left_out_columns"] = df.sparkSession.createDataFrame(reasons, "column string, reason string")
     out["best_model"] = modeling.best_model(compared.metrics, "r2")
     out["feature_importance"] = modeling.importance_table(df.sparkSession, compared.models, prepared.names)
     if comprehensive:
@@ -59,8 +63,9 @@ def _model_results(
 def analyze(
     df: DataFrame, key: Sequence[str], mode: str = "auto", roles: schema.RoleMap | None = None
 ) -> dict[str, DataFrame]:
-    """Named result tables. ``minimal``: statistics only; ``auto`` adds models, the first date column,
-    correlations and categories; ``comprehensive`` adds clustering and forecasts.
+    """Named result tables. ``minimal``: statistics only; ``auto`` adds models, date columns,
+    correlations and categories; ``comprehensive`` adds clustering and forecasts. The tables of the second
+    date column and of later ones have the column's name behind theirs, as ``daily_counts:shipped``.
 
     ``key`` identifies a row; it breaks ties and splits training from test rows.
     """
@@ -75,16 +80,17 @@ def analyze(
     if mode == "minimal":
         return results
     results |= _model_results(df, roles, key, mode == "comprehensive")
-    if roles.datetime:
-        date = roles.datetime[0]
-        results["daily_counts"] = ts.daily_counts(df, date)
-        results["monthly_counts"] = ts.monthly_counts(df, date)
-        results["date_range"] = ts.date_range(df, date)
+    for place, date in enumerate(roles.datetime):
+        mark = f":{date}" if place else ""
+        results[f"daily_counts{mark}"] = ts.daily_counts(df, date)
+        results[f"monthly_counts{mark}"] = ts.monthly_counts(df, date)
+        results[f"date_range{mark}"] = ts.date_range(df, date)
         if mode == "comprehensive":
             for value in [c for c in numeric if c not in key]:
                 monthly = materialize(ts.daily_series(df, date, value, grain="month"))
-                results[f"smoothing_forecast:{value}"] = forecast.holt_winters_forecast(monthly)
-                results[f"seasonal_forecast:{value}"] = forecast.trend_season_forecast(monthly)
+                results[f"smoothing_forecast{mark}:{value}"] = forecast.holt_winters_forecast(monthly)
+                results[f"seasonal_forecast{mark}:{value}"] = forecast.trend_season_forecast(monthly)
+                results[f"change_point_forecast{mark}:{value}"] = changepoints.change_point_forecast(monthly)
     if len(numeric) > 1:
         results["correlations"] = associate.significant_pair_map(df, numeric)
     if roles.categorical:

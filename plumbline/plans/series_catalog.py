@@ -80,6 +80,26 @@ def period_by_category(spark, d):
     return _iso(counts, "period")
 
 
+@query(
+    union_all(
+        [
+            f"SELECT '{g}' AS grain, strftime(date_trunc('{g}', o_orderdate), '%Y-%m-%d') AS period, o_orderpriority AS category, count(*) AS n FROM orders "
+            f"WHERE date_diff('day', (SELECT min(o_orderdate) FROM orders), o_orderdate) < {days} GROUP BY ALL"
+            for g, days in (("day", 20), ("month", 200))
+        ]
+    )
+)
+def period_by_category_short(spark, d):
+    """The grain that follows the span of the dates: days up to a month of them, months up to a year."""
+    orders, parts = table(spark, d, "orders"), []
+    first = orders.agg(F.min("o_orderdate")).scalar()
+    for grain, days in (("day", 20), ("month", 200)):
+        span = orders.where(F.date_diff("o_orderdate", first) < days)
+        counts = ts.period_category_counts(span, "o_orderdate", "o_orderpriority")
+        parts.append(_iso(counts, "period").select(F.lit(grain).alias("grain"), "period", "category", "n"))
+    return parts[0].unionByName(parts[1])
+
+
 _CODE_SQL = """CASE WHEN g IS NULL THEN NULL WHEN g < 86400e6 THEN CASE WHEN g <= 3600e6 THEN 'H' WHEN g <= 6 * 3600e6 THEN '6H' ELSE 'D' END
   WHEN g < 2 * 86400e6 THEN 'D' WHEN g < 8 * 86400e6 THEN 'W' WHEN g < 16 * 86400e6 THEN '2W' WHEN g < 35 * 86400e6 THEN 'M'
   WHEN g < 100 * 86400e6 THEN 'Q' ELSE 'A' END AS frequency"""

@@ -110,15 +110,27 @@ def histogram_bins(spark, d):
 
 @query(
     """WITH s AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS bw FROM events),
-    h AS (SELECT least(floor((value - lo) / ((hi - lo) / 512)), 511) AS b, count(*) AS n FROM events, s GROUP BY 1),
+    h AS (SELECT floor((value - lo) / (bw / 8)) AS b, count(*) AS n, avg(value) AS c FROM events, s GROUP BY 1),
     g AS (SELECT unnest(range(200)) AS grid)
     SELECT grid, round(any_value(lo + (hi - lo) * grid / 199), 4) AS x,
-      round(sum(h.n * exp(-pow((lo + (hi - lo) * grid / 199 - (lo + (b + 0.5) * (hi - lo) / 512)) / bw, 2) / 2)) / any_value(s.n * bw * sqrt(2 * pi())), 8) AS density
+      round(sum(h.n * exp(-pow((lo + (hi - lo) * grid / 199 - c) / bw, 2) / 2)) / any_value(s.n * bw * sqrt(2 * pi())), 7) AS density
     FROM g, h, s GROUP BY grid"""
 )
 def density_curve(spark, d):
-    # The SQL defines the curve of 512 cells.
-    return rounded(describe.density_curve(table(spark, d, "events"), "value", cells=512), 4, density=8)
+    return rounded(describe.density_curve(table(spark, d, "events"), "value"), 4, density=7)
+
+
+@query(
+    """WITH s AS (SELECT count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS bw, min(value) AS lo, max(value) AS hi FROM events),
+    v AS (SELECT value, count(*) AS m FROM events WHERE value IS NOT NULL GROUP BY 1)
+    SELECT grid, round(sum(m * exp(-pow((lo + (hi - lo) * grid / 9 - value) / bw, 2) / 2)) / any_value(n * bw * sqrt(2 * pi())) / 0.05 * any_value(hi - lo), 0) AS twentieths
+    FROM v, s, (SELECT unnest(range(10)) AS grid) GROUP BY grid"""
+)
+def density_over_all_rows(spark, d):
+    """Ten places of the default curve, as twentieths of an even density: what a sum over all rows gives, without cells."""
+    curve = describe.density_curve(table(spark, d, "events"), "value", points=10)
+    width = table(spark, d, "events").agg(F.max("value") - F.min("value")).scalar()
+    return rounded(curve.select("grid", (F.col("density") / 0.05 * width).alias("twentieths")), 0)
 
 
 def _quartile_sql(body: str, table_name: str, columns: list[str]) -> str:

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from plumbline.operators import associate, business, describe
+from plumbline.operators import associate, business, describe, metrics
 
 
 @pytest.fixture(scope="module")
@@ -100,6 +100,34 @@ def test_shapiro_wilk_against_direct_formula(sample):
     assert not row["is_normal"] and associate.shapiro_wilk(sdf, "y").first()["statistic"] > 0.98
 
 
+@pytest.mark.parametrize(
+    "values, w, p",
+    [
+        ([1, 2, 4], 0.96429, 0.6369),
+        ([1, 2, 3, 4, 5], 0.98676, 0.9672),
+        ([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], 0.78881, 0.006704),
+        ([1, 1, 1, 1], None, None),
+        ([1, 2], None, None),
+        ([], None, None),
+    ],
+)
+def test_shapiro_wilk_of_few_values(frame, values, w, p):
+    row = associate.shapiro_wilk(frame({"x": [float(v) for v in values]}, "x double"), "x").first()
+    assert row["n"] == len(values)
+    if w is None:
+        assert row["statistic"] is None and row["p_value"] is None and row["is_normal"] is None
+    else:
+        assert row["statistic"] == pytest.approx(w, abs=2e-5) and row["p_value"] == pytest.approx(p, rel=2e-3)
+
+
+def test_dense_table_and_confusion_grid_without_collected_lists(frame):
+    df = frame({"a": ["x", "x", "y"], "b": ["p", "q", "p"], "k": [1, 1, 2]}, "a string, b string, k int")
+    dense = {(r["row_value"], r["col_value"]): r["n"] for r in associate.contingency(df, "a", "b", dense=True).collect()}
+    assert dense == {("x", "p"): 1, ("x", "q"): 1, ("y", "p"): 1, ("y", "q"): 0}
+    grid = metrics.confusion_matrix(df, "a", "b", ["k"])
+    assert grid.count() == 2 * 16 and grid.agg({"n": "sum"}).first()[0] == 3
+
+
 def test_jarque_bera_skips_tiny(frame):
     assert associate.jarque_bera(frame({"x": [1.0, 2.0, 3.0]}, "x double"), ["x"]).count() == 0
 
