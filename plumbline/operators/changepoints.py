@@ -211,8 +211,9 @@ def change_points(
         changes = model.changes if model else np.zeros(0)
         total = np.abs(changes).sum()
         kept = np.nonzero(np.abs(changes) > least * total)[0] if total else np.zeros(0, int)
-        out = pd.DataFrame({c: [rows[c].iloc[0]] * len(kept) for c in names}, columns=names)
-        out["ts"] = [(first + pd.Timedelta(days=round(model.places[k] * model.span))).date() for k in kept]
+        out = pd.DataFrame({c: pd.Series([rows[c].iloc[0]] * len(kept), dtype=rows[c].dtype) for c in names})
+        days = [(first + pd.Timedelta(days=round(model.places[k] * model.span))).date() for k in kept]
+        out["ts"] = pd.Series(days, dtype=object)
         out["slope_change"], out["share"] = changes[kept], np.abs(changes[kept]) / (total or 1.0)
         return out
 

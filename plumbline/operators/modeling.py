@@ -140,6 +140,12 @@ def prepare(
 # ---------------------------------------------------------------- models
 
 
+REGRESSIONS = (
+    "linear", "ridge", "lasso", "elastic_net", "random_forest", "gradient_boosting",
+    "boosted_depth6", "boosted_leaves31", "second_order_depth6", "second_order_leaves31",
+)
+
+
 def regression_models(train: DataFrame, boosting_rounds: int = 100) -> dict[str, Estimator | Boosting]:
     """The regressors with penalties expressed in Spark's objective, which scales the label."""
     n, spread = train.agg(F.count("label"), F.stddev_pop("label")).first()

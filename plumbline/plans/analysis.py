@@ -39,7 +39,9 @@ def _model_results(
     if target not in features or len(features) < 2:
         return out
     prepared = modeling.prepare(df, target, features, roles.categorical, keep=key)
-    compared = modeling.compare(prepared, key, "regression")
+    # Boosting of second order takes a scan for every level of every tree, so it is left to the longest mode.
+    short = [n for n in modeling.REGRESSIONS if not n.startswith("second_order")]
+    compared = modeling.compare(prepared, key, "regression", None if comprehensive else short, boosting_rounds=20)
     out["model_metrics"] = compared.metrics
     if prepared.left_out:
         reasons = [(c, "too many categories") for c in prepared.left_out]
