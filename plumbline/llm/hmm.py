@@ -10,8 +10,9 @@ to the tasks, and all rarer tokens meet their counts in a join.
 Baum-Welch passes over all training documents ``ROUNDS`` times, however many they are; each round adds up
 expected counts of the partitions.
 
-Texts are cut into segments of ``SEGMENT`` classes. All segments of a batch run side by side; a text's
-segments are then chained, so that the scaled forward recursion is exact over the whole text.
+Texts run side by side as vectors. Those above ``SEGMENT`` classes are cut into segments, which run side by
+side too: the matrices of a text's segments are chained first, which tells the vector that enters each of
+them, so that the scaled forward recursion is exact over the whole text.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ TAIL = 1_024
 END = HEAD + TAIL  # the class of the end token
 CLASSES = END + 1
 SHIPPED = 100_000
-SEGMENT = 64
-BATCH_CLASSES = 1 << 18
+SEGMENT = 1024
+SCALED = 8
+BATCH_CLASSES = 1 << 19
 ROUNDS = 14
 FLUSH_TOKENS = 200_000
 SEED = 7
@@ -205,115 +207,168 @@ def first_model() -> Model:
     return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
 
+class Workspace:
+    """Arrays that the batches of a task use one after the other: fresh memory costs more than the sums in it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def lines(self, name: str, n: int, width: int = STATES) -> np.ndarray:
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty((n, width))
+        return self.held[name][:n]
+
+
 class Batch:
-    """Class sequences of some texts, cut into rows of ``SEGMENT`` classes that run side by side.
+    """Class sequences of some texts, cut into rows of at most ``SEGMENT`` classes that run side by side.
 
-    Rows stand by falling length, so that those that reach a column are always the first ones. States
-    come first in every array: sums over states are then sums of long vectors.
+    Rows stand by falling length, so that those that reach a column are always the first ones. Arrays hold
+    the columns one after the other, and in a column one line of state values for each of its rows.
+    Vectors are scaled in every ``SCALED``-th column only, and forward and backward vectors by the same
+    numbers, so that their products are probabilities as they are.
     """
 
-    def __init__(self, texts: list[np.ndarray]):
-        self.count = np.array([-(-len(t) // SEGMENT) for t in texts], np.int64)
-        self.first = np.cumsum([0, *self.count])[:-1]
-        sizes = np.array([len(t) for t in texts])
-        within = np.arange(self.count.sum()) - np.repeat(self.first, self.count)
-        lengths = np.minimum(SEGMENT, np.repeat(sizes, self.count) - within * SEGMENT)
+    def __init__(self, texts: list[np.ndarray], space: Workspace | None = None):
+        self.space = space or Workspace()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.count = -(-sizes // SEGMENT)
+        self.first = np.cumsum(self.count) - self.count
+        text = np.repeat(np.arange(len(texts)), self.count)
+        within = np.arange(len(text)) - self.first[text]
+        lengths = np.minimum(SEGMENT, sizes[text] - within * SEGMENT)
         order = np.argsort(-lengths, kind="stable")
         self.place = np.empty(len(order), np.int64)  # of each row in the text order
         self.place[order] = np.arange(len(order))
-        row = np.repeat(self.place, lengths)
-        column = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.columns = np.zeros((SEGMENT, len(order)), np.int64)
-        self.columns[column, row] = np.concatenate(texts) if texts else []
-        self.reach = [int((lengths > k).sum()) for k in range(SEGMENT)]
-
-    def emissions(self, model: Model) -> list[np.ndarray]:
-        """Per column (states, rows that reach it)."""
-        by_state = np.ascontiguousarray(model.emit.T)
-        return [by_state[:, self.columns[k, :m]] for k, m in enumerate(self.reach)]
-
-    def transfer(self, model: Model, emissions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Per row the matrix (from the state before it, to that at its end), scaled, and the log of the scale.
-
-        The move into a class is part of it, so ``forward`` starts a text with a vector that the first
-        move turns into the start distribution.
-        """
+        longest = int(lengths.max(initial=0))
+        self.reach = len(order) - np.cumsum(np.bincount(lengths, minlength=longest + 1))[:longest]
+        self.at = np.cumsum([0, *self.reach])  # where each column begins
+        self.end = self.at[lengths[order] - 1] + np.arange(len(order))  # the last place of each row
+        column = np.arange(sizes.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.classes = np.empty(len(column), np.int64)
+        self.classes[self.at[column] + np.repeat(self.place, lengths)] = np.concatenate(texts) if texts else []
+        self.opening = np.zeros(len(order), bool)  # rows that begin a text
+        self.opening[self.place[self.first]] = True
+        # Rows of texts of more than one. All but the last ones have the full length.
+        self.openers = self.place[self.first[self.count > 1]]
+        self.middles = self.place[(within > 0) & (within < self.count[text] - 1)]
+        self.closers = np.sort(self.place[self.first + self.count - 1][self.count > 1])
+
+    def emissions(self, model: Model) -> np.ndarray:
+        out = self.space.lines("emissions", len(self.classes))
+        return model.emit.take(self.classes, axis=0, mode="clip", out=out)
+
+    def ends(self, model: Model, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled vectors at the end of the first rows of longer texts, and of their middle rows the matrices
+        from the vector that enters them to that at their end."""
+        size = len(self.openers)
+        row = np.concatenate([self.openers, np.repeat(self.middles, STATES)])
+        state = np.concatenate([np.repeat(model.start[None], size, axis=0), np.tile(np.eye(STATES), (len(self.middles), 1))])
+        moved = np.empty_like(state)
+        matrices = state[size:].reshape(-1, STATES * STATES)
+        for k in range(SEGMENT):
+            here = emissions.take(self.at[k] + row, axis=0, mode="clip")
+            np.multiply(np.matmul(state, model.move, out=moved) if k else state, here, out=state)
+            if k % SCALED == SCALED - 1:
+                state[:size] /= state[:size].max(axis=1, keepdims=True)
+                matrices /= matrices.max(axis=1, keepdims=True)
+        return state[:size], matrices.reshape(-1, STATES, STATES)
+
+    def closings(self, model: Model, emissions: np.ndarray) -> np.ndarray:
+        """Per last row of a longer text the scaled probabilities of the row, by the state of its first class."""
+        reach = np.searchsorted(self.closers, self.reach).tolist()
+        back, turned = np.ones((len(self.closers), STATES)), np.ascontiguousarray(model.move.T)
+        for k in reversed(range(len(reach))):
+            m = reach[k]
+            if m == 0:
+                continue
+            back[:m] *= emissions.take(self.at[k] + self.closers[:m], axis=0, mode="clip")
+            if k % SCALED == SCALED - 1:
+                back[:m] /= back[:m].max(axis=1, keepdims=True)
+            if k:
+                back[:m] = back[:m] @ turned
+        return back
+
+    def chain(self, model: Model, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per row the vector at the end of the row before it, the vector that enters it, and what follows it."""
         n = len(self.place)
-        matrix, scale = np.empty((STATES, STATES, n)), np.zeros(n)
-        matrix[:] = np.eye(STATES)[:, :, None]
-        step = np.ascontiguousarray(model.move.T)
-        for k, m in enumerate(self.reach):
-            new = np.matmul(step, matrix[:, :, :m])
-            new *= emissions[k]
-            if k % 8 == 7 or k == 0:
-                top = new.max(axis=(0, 1))
-                new /= top
-                scale[:m] += np.log(top)
-            matrix[:, :, :m] = new
-        return matrix, scale
-
-    def forward(self, model: Model, matrix: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The state vector before each row, and the log likelihood of each text."""
-        before = np.zeros((STATES, len(self.place)))
-        state = np.repeat(np.linalg.solve(model.move.T, model.start)[:, None], len(self.count), axis=1)
-        total = np.zeros(len(self.count))
-        for step in range(int(self.count.max(initial=0))):
-            live = np.nonzero(self.count > step)[0]
-            row = self.place[self.first[live] + step]
-            before[:, row] = state[:, live]
-            new = (state[:, None, live] * matrix[:, :, row]).sum(axis=0)
-            size = new.sum(axis=0)
-            total[live] += np.log(size) + scale[row]
-            state[:, live] = new / size
-        return before, total
-
-    def backward(self, matrix: np.ndarray) -> np.ndarray:
-        """What follows each row, as a vector over the state at its end."""
-        after = np.ones((STATES, len(self.place)))
-        back = np.ones((STATES, len(self.count)))
-        for step in reversed(range(int(self.count.max(initial=0)))):
-            live = np.nonzero(self.count > step)[0]
-            row = self.place[self.first[live] + step]
-            after[:, row] = back[:, live]
-            new = (matrix[:, :, row] * back[None, :, live]).sum(axis=1)
-            back[:, live] = new / new.max(axis=0)
-        return after
+        before, after = np.zeros((n, STATES)), np.ones((n, STATES))
+        entering = np.repeat(model.start[None], n, axis=0)
+        if not len(self.openers):
+            return before, entering, after
+        opened, matrices = self.ends(model, emissions)
+        number = np.empty(n, np.int64)  # of each middle row among them
+        number[self.middles] = np.arange(len(self.middles))
+        texts = np.nonzero(self.count > 1)[0]
+        state = opened
+        for step in range(1, int(self.count.max())):
+            goes_on = self.count[texts] > step
+            texts, state = texts[goes_on], state[goes_on]
+            row = self.place[self.first[texts] + step]
+            before[row] = state / state.sum(axis=1, keepdims=True)
+            entering[row] = before[row] @ model.move
+            inner = step < self.count[texts] - 1
+            texts, row = texts[inner], row[inner]
+            state = (entering[row][:, None, :] @ matrices[number[row]])[:, 0]
+        follows = np.empty((n, STATES))  # probabilities of a row and all after it, by the state that enters it
+        follows[self.closers] = self.closings(model, emissions)
+        for step in reversed(range(1, int(self.count.max()))):
+            texts = np.nonzero(self.count > step)[0]
+            last, row = self.place[self.first[texts] + step - 1], self.place[self.first[texts] + step]
+            back = follows[row] @ model.move.T
+            after[last] = back / back.max(axis=1, keepdims=True)
+            if step > 1:  # the last row before this one is a middle row
+                follows[last] = (matrices[number[last]] @ after[last][:, :, None])[:, :, 0]
+        return before, entering, after
+
+    def forward(self, model: Model, emissions: np.ndarray, entering: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
+        """Scaled forward vectors of all places, the scales of scaled columns, and the log scale of each row."""
+        states, scales, logs = self.space.lines("states", len(self.classes)), {}, np.zeros(len(self.place))
+        move, ones = model.move, np.ones(STATES)
+        for k, m in enumerate(self.reach.tolist()):
+            here = states[self.at[k] : self.at[k] + m]
+            if k:
+                np.matmul(states[self.at[k - 1] : self.at[k - 1] + m], move, out=here)
+                here *= emissions[self.at[k] : self.at[k] + m]
+            else:
+                np.multiply(entering, emissions[:m], out=here)
+            if k % SCALED == SCALED - 1:
+                size = here @ ones
+                scales[k] = (1 / size)[:, None]
+                here *= scales[k]
+                logs[:m] += np.log(size)
+        return states, scales, logs + np.log(states[self.end].sum(axis=1))
 
     def likelihoods(self, model: Model) -> np.ndarray:
         """Log likelihood of every text, exact over its whole length."""
-        return self.forward(model, *self.transfer(model, self.emissions(model)))[1]
+        emissions = self.emissions(model)
+        logs = self.forward(model, emissions, self.chain(model, emissions)[1])[2]
+        return np.add.reduceat(logs[self.place], self.first) if len(self.first) else logs
 
     def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and class emissions of one pass forward and back."""
         emissions = self.emissions(model)
-        matrix, scale = self.transfer(model, emissions)
-        before, _ = self.forward(model, matrix, scale)
-        back = self.backward(matrix)
-        step = np.ascontiguousarray(model.move.T)
-        states, moved = [before], []
-        for k, m in enumerate(self.reach):
-            moved.append(step @ states[-1][:, :m])
-            new = moved[-1] * emissions[k]
-            new /= new.sum(axis=0)
-            states.append(new)
-        moves, starts, gammas = np.zeros((STATES, STATES)), np.zeros(STATES), []
-        opening = self.place[self.first]
-        for k in reversed(range(SEGMENT)):
-            m = self.reach[k]
-            gamma = states[k + 1] * back[:, :m]
-            gamma /= gamma.sum(axis=0)
-            gammas.append(gamma)
-            ahead = emissions[k] * back[:, :m]
-            share = states[k][:, :m] / (moved[k] * ahead).sum(axis=0)
-            if k == 0:
-                starts += gamma[:, opening].sum(axis=1)
-                share[:, opening] = 0.0
-            moves += share @ ahead.T
-            new = model.move @ ahead
-            back[:, :m] = new / new.max(axis=0)
-        gamma = np.concatenate(gammas, axis=1)
-        classes = np.concatenate([self.columns[k, : self.reach[k]] for k in reversed(range(SEGMENT))])
-        emits = [np.bincount(classes, weights=gamma[s], minlength=CLASSES) for s in range(STATES)]
+        before, entering, back = self.chain(model, emissions)
+        states, scales, _ = self.forward(model, emissions, entering)
+        back /= (states[self.end] * back).sum(axis=1, keepdims=True)
+        moves, starts = np.zeros((STATES, STATES)), np.zeros(STATES)
+        turned = np.ascontiguousarray(model.move.T)
+        for k, m in reversed(list(enumerate(self.reach.tolist()))):
+            here = slice(self.at[k], self.at[k] + m)
+            ahead = emissions[here]
+            ahead *= back[:m]
+            states[here] *= back[:m]  # what the state vectors held here is used up by now
+            if k in scales:
+                ahead *= scales[k]
+            if k:
+                moves += states[self.at[k - 1] : self.at[k - 1] + m].T @ ahead
+                np.matmul(ahead, turned, out=back[:m])
+            else:
+                starts += states[here][self.opening].sum(axis=0)
+                moves += before.T @ ahead  # 0 for the rows that begin a text
+        weights, emits = self.space.lines("weights", len(self.classes), 1)[:, 0], []
+        for state in range(STATES):
+            weights[:] = states[:, state]
+            emits.append(np.bincount(self.classes, weights=weights, minlength=CLASSES))
         return starts, moves * model.move, np.stack(emits, axis=1)
 
 
@@ -336,10 +391,10 @@ def round_counts(training: DataFrame, model: Broadcast) -> np.ndarray:
     width = STATES + STATES * STATES + CLASSES * STATES
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
+        total, space = np.zeros(width), Workspace()
         for batch in batches:
             for texts in _batches(batch.column(0)):
-                total += np.concatenate([x.ravel() for x in Batch(texts).expected(model.value)])
+                total += np.concatenate([x.ravel() for x in Batch(texts, space).expected(model.value)])
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["i", "x"])
 
@@ -374,8 +429,9 @@ def likelihood(classes: Column, model: Broadcast) -> Column:
 
     @arrow_udf(T.DoubleType())
     def forward(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        space = Workspace()
         for batch in batches:
-            parts = [Batch(texts).likelihoods(model.value) for texts in _batches(batch)]
+            parts = [Batch(texts, space).likelihoods(model.value) for texts in _batches(batch)]
             yield pa.array(np.concatenate(parts) / math.log(10) if parts else [], pa.float64())
 
     return forward(classes)

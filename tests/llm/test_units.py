@@ -110,7 +110,9 @@ def test_pivot_search_finds_all_links():
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(distance <= 4))))
 
 
-def test_hidden_markov_recursions_against_loops():
+@pytest.mark.parametrize("segment", [7, 64, 1024])
+def test_hidden_markov_recursions_against_loops(monkeypatch, segment):
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
     rng = np.random.default_rng(1)
     k = hmm.STATES
     model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(hmm.CLASSES), k).T)
