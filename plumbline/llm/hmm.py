@@ -43,6 +43,7 @@ SEGMENT = 1024
 SCALED = 8
 BATCH_CLASSES = 1 << 19
 ROUNDS = 14
+BLOCK = 1024  # expected counts in a row of the sums over partitions
 FLUSH_TOKENS = 200_000
 SEED = 7
 
@@ -213,9 +214,9 @@ class Workspace:
     def __init__(self):
         self.held: dict[str, np.ndarray] = {}
 
-    def lines(self, name: str, n: int, width: int = STATES) -> np.ndarray:
+    def lines(self, name: str, n: int, width: int = STATES, kind: type = np.float64) -> np.ndarray:
         if name not in self.held or len(self.held[name]) < n:
-            self.held[name] = np.empty((n, width))
+            self.held[name] = np.empty((n, width), kind)
         return self.held[name][:n]
 
 
@@ -244,7 +245,7 @@ class Batch:
         self.at = np.cumsum([0, *self.reach])  # where each column begins
         self.end = self.at[lengths[order] - 1] + np.arange(len(order))  # the last place of each row
         column = np.arange(sizes.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.classes = np.empty(len(column), np.int64)
+        self.classes = self.space.lines("classes", len(column), 1, np.int64)[:, 0]
         self.classes[self.at[column] + np.repeat(self.place, lengths)] = np.concatenate(texts) if texts else []
         self.opening = np.zeros(len(order), bool)  # rows that begin a text
         self.opening[self.place[self.first]] = True
@@ -288,8 +289,8 @@ class Batch:
                 back[:m] = back[:m] @ turned
         return back
 
-    def chain(self, model: Model, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per row the vector at the end of the row before it, the vector that enters it, and what follows it."""
+    def chain(self, model: Model, emissions: np.ndarray, back: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per row the vector at the end of the row before it, the vector that enters it, and with ``back`` what follows it."""
         n = len(self.place)
         before, after = np.zeros((n, STATES)), np.ones((n, STATES))
         entering = np.repeat(model.start[None], n, axis=0)
@@ -309,13 +310,15 @@ class Batch:
             inner = step < self.count[texts] - 1
             texts, row = texts[inner], row[inner]
             state = (entering[row][:, None, :] @ matrices[number[row]])[:, 0]
+        if not back:
+            return before, entering, after
         follows = np.empty((n, STATES))  # probabilities of a row and all after it, by the state that enters it
         follows[self.closers] = self.closings(model, emissions)
         for step in reversed(range(1, int(self.count.max()))):
             texts = np.nonzero(self.count > step)[0]
             last, row = self.place[self.first[texts] + step - 1], self.place[self.first[texts] + step]
-            back = follows[row] @ model.move.T
-            after[last] = back / back.max(axis=1, keepdims=True)
+            returned = follows[row] @ model.move.T
+            after[last] = returned / returned.max(axis=1, keepdims=True)
             if step > 1:  # the last row before this one is a middle row
                 follows[last] = (matrices[number[last]] @ after[last][:, :, None])[:, :, 0]
         return before, entering, after
@@ -341,7 +344,7 @@ class Batch:
     def likelihoods(self, model: Model) -> np.ndarray:
         """Log likelihood of every text, exact over its whole length."""
         emissions = self.emissions(model)
-        logs = self.forward(model, emissions, self.chain(model, emissions)[1])[2]
+        logs = self.forward(model, emissions, self.chain(model, emissions, back=False)[1])[2]
         return np.add.reduceat(logs[self.place], self.first) if len(self.first) else logs
 
     def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,7 +379,7 @@ def _batches(column: pa.Array) -> Iterator[list[np.ndarray]]:
     """Sequences of an Arrow column in groups of bounded size (a longer text is a group by itself)."""
     held, size = [], 0
     for value in column:
-        classes = np.frombuffer(value.as_py(), "<u2").astype(np.int64)
+        classes = np.frombuffer(value.as_py(), "<u2")
         if held and size + len(classes) > BATCH_CLASSES:
             yield held
             held, size = [], 0
@@ -387,21 +390,34 @@ def _batches(column: pa.Array) -> Iterator[list[np.ndarray]]:
 
 
 def round_counts(training: DataFrame, model: Broadcast) -> np.ndarray:
-    """Expected counts of one Baum-Welch round as one vector; partitions send one row each, added in the cluster."""
+    """Expected counts of one Baum-Welch round as one vector; partitions send one row per block of it, added in the cluster."""
     width = STATES + STATES * STATES + CLASSES * STATES
 
+    def rows_of(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+        values = [pa.array(list(blocks), pa.int32()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())]
+        return pa.RecordBatch.from_arrays(values, names=["block", "x"])
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, space = np.zeros(width), Workspace()
         for batch in batches:
             for texts in _batches(batch.column(0)):
                 total += np.concatenate([x.ravel() for x in Batch(texts, space).expected(model.value)])
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["i", "x"])
+        parts = {i // BLOCK: total[i : i + BLOCK] for i in range(0, width, BLOCK)}
+        yield rows_of({i: x for i, x in parts.items() if x.any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[block] = sums.get(block, 0.0) + np.frombuffer(x.as_py())
+        yield rows_of(sums)
 
-    added = training.select("classes").mapInArrow(collect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"))
+    form = "block int, x binary"
+    added = training.select("classes").mapInArrow(collect, form).repartition("block").mapInArrow(add, form)
     out = np.zeros(width)
-    for r in added.collect():  # CLASSES * STATES rows at most
-        out[r["i"]] = r["x"]
+    for r in added.collect():  # one row per block
+        x = np.frombuffer(r["x"])
+        out[r["block"] * BLOCK : r["block"] * BLOCK + len(x)] = x
     return out
 
 
