@@ -195,6 +195,57 @@ def test_language_model_with_rare_tokens_joined(spark, folders, monkeypatch):
     assert few == whole
 
 
+def test_language_model_scores_against_loops(spark, folders):
+    import numpy as np
+
+    from plumbline.llm import hmm
+
+    docs = [(d, (t or "").encode().lower().split()) for d, t in ((r[0], r[1]) for r in _rows("documents"))]
+    learnt = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2 for d, _ in docs]
+    counts = collections.Counter(w for (_, t), yes in zip(docs, learnt) if yes for w in t)
+    head = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[: hmm.HEAD])}
+
+    def tail(w):
+        return hmm.HEAD + zlib.crc32(w[-3:]) % hmm.TAIL
+
+    def share(w):
+        others = [x for x in counts if x not in head and tail(x) == tail(w)]
+        return 0.0 if w in head else math.log10((counts[w] + 1) / (sum(counts[x] for x in others) + len(others) + 1))
+
+    def forward(t):
+        states, total = [], 0.0
+        for n, c in enumerate(t):
+            state = (states[-1] @ move if n else start) * emit[c]
+            total += math.log10(state.sum())
+            states.append(state / state.sum())
+        return states, total
+
+    first = hmm.first_model()
+    start, move, emit = first.start, first.move, first.emit
+    texts = [[head.get(w, tail(w)) for w in t] + [hmm.END] for _, t in docs]
+    for _ in range(hmm.ROUNDS):
+        starts, moves, emits = np.full(start.shape, 0.1), np.full(move.shape, 0.1), np.full(emit.shape, 1e-3)
+        for t in [t for t, yes in zip(texts, learnt) if yes]:
+            states, back = forward(t)[0], np.ones(hmm.STATES)
+            for n in reversed(range(len(t))):
+                gamma = states[n] * back / (states[n] @ back)
+                emits[t[n]] += gamma
+                ahead = emit[t[n]] * back
+                if n:
+                    joint = states[n - 1][:, None] * move * ahead
+                    moves += joint / joint.sum()
+                    back = move @ ahead
+                    back /= back.sum()
+                else:
+                    starts += gamma
+        start, move, emit = starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0)
+    expected = sorted((str(d), forward(c)[1] + sum(map(share, t))) for (d, t), c in zip(docs, texts))
+    found = sorted((str(r["doc_id"]), r["score"]) for r in rows_of(spark, folders[0], "op5_hmm_scores"))
+    assert [d for d, _ in found] == [d for d, _ in expected]
+    assert np.allclose([x for _, x in found], [x for _, x in expected], rtol=1e-6)
+    assert max(map(len, texts)) > 2 * hmm.SEGMENT
+
+
 def test_every_training_round_takes_all_documents(spark):
     import numpy as np
 
