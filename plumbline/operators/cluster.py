@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,10 +26,13 @@ def scaled_vectors(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
     return materialize(vectors.select(*keep, "features"))
 
 
-def kmeans_sweep(vectors: DataFrame, per_cluster: int = 5, largest: int = 10) -> DataFrame:
+def kmeans_sweep(
+    vectors: DataFrame, per_cluster: int = 5, largest: int = 10, models: dict[int, KMeansModel] | None = None
+) -> DataFrame:
     """``(k, inertia, silhouette)`` for k = 2..min(largest, n // per_cluster).
 
-    The silhouette is the squared-Euclidean one, which needs two passes instead of all pairs.
+    The silhouette is the squared-Euclidean one, which needs two passes instead of all pairs. ``models``
+    receives the fitted models (some centres each), so that the chosen one need not be fitted again.
     """
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads them
     n = vectors.count()
@@ -37,6 +40,8 @@ def kmeans_sweep(vectors: DataFrame, per_cluster: int = 5, largest: int = 10) ->
     rows = []
     for k in range(2, min(largest, n // per_cluster) + 1):
         model = KMeans(k=k, seed=SEED, maxIter=MAX_ITERATIONS).fit(vectors)
+        if models is not None:
+            models[k] = model
         labelled = model.transform(vectors)
         occupied = sum(1 for size in model.summary.clusterSizes if size > 0)
         silhouette = evaluator.evaluate(labelled) if occupied > 1 else 0.0
@@ -62,9 +67,9 @@ def k_by_ratio(sweep: DataFrame, limit: float = 0.3) -> DataFrame:
     return rated.agg(F.coalesce(F.min(F.when(F.col("ratio") < limit, F.col("k"))), F.lit(2)).alias("k"))
 
 
-def kmeans_clusters(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Labelled rows, and ``(cluster, size, centre, inertia)`` of the final model."""
-    model = KMeans(k=k, seed=SEED, maxIter=MAX_ITERATIONS).fit(vectors)
+def kmeans_clusters(vectors: DataFrame, k: int, model: KMeansModel | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows, and ``(cluster, size, centre, inertia)`` of the final model, fitted here unless it is given."""
+    model = model or KMeans(k=k, seed=SEED, maxIter=MAX_ITERATIONS).fit(vectors)
     labelled = model.transform(vectors).withColumnRenamed("prediction", "cluster")
     centres = vectors.sparkSession.createDataFrame(
         [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>"

@@ -50,10 +50,11 @@ def _model_results(
     out["feature_importance"] = modeling.importance_table(df.sparkSession, compared.models, prepared.names)
     if comprehensive:
         vectors = cluster.scaled_vectors(df, features, key)
-        sweep = cluster.kmeans_sweep(vectors)
+        models = {}
+        sweep = cluster.kmeans_sweep(vectors, models=models)
         k = cluster.k_by_silhouette(sweep).first()["k"]
         out["cluster_sweep"] = sweep
-        out["clusters"] = cluster.kmeans_clusters(vectors, k)[1]
+        out["clusters"] = cluster.kmeans_clusters(vectors, k, models.get(k))[1]
         if len(features) > 2:
             out["components"] = cluster.principal_components(vectors)[1]
         if len(key) == 1:

@@ -412,8 +412,9 @@ def kmeans_sweep(spark, d):
 def kmeans_clusters(spark, d):
     """Size, centre and inertia for the k with the best silhouette."""
     vectors = cluster.scaled_vectors(table(spark, d, "part"), _PART_POINTS)
-    k = cluster.k_by_silhouette(cluster.kmeans_sweep(vectors)).first()["k"]
-    summary = cluster.kmeans_clusters(vectors, k)[1]
+    models = {}
+    k = cluster.k_by_silhouette(cluster.kmeans_sweep(vectors, models=models)).first()["k"]
+    summary = cluster.kmeans_clusters(vectors, k, models[k])[1]
     return rounded(summary.withColumn("centre", F.concat_ws(",", F.transform("centre", lambda v: F.round(v, 4).cast("string")))))
 
 

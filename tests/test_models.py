@@ -249,10 +249,14 @@ def test_kmeans_finds_separate_blobs(spark):
     points = np.concatenate([c + rng.normal(0, 0.3, (40, 2)) for c in centres])
     frame = spark.createDataFrame(pd.DataFrame(points, columns=["a", "b"]).assign(id=range(120)))
     vectors = cluster.scaled_vectors(frame, ["a", "b"], keep=["id"])
-    sweep = cluster.kmeans_sweep(vectors, largest=5)
+    models = {}
+    sweep = cluster.kmeans_sweep(vectors, largest=5, models=models)
     assert [r["k"] for r in sweep.orderBy("k").collect()] == [2, 3, 4, 5]
     assert cluster.k_by_silhouette(sweep).first()["k"] == 3
+    assert sorted(models) == [2, 3, 4, 5]
     labelled, summary = cluster.kmeans_clusters(vectors, 3)
+    kept = cluster.kmeans_clusters(vectors, 3, models[3])[1]
+    assert kept.orderBy("cluster").collect() == summary.orderBy("cluster").collect()
     found = labelled.toPandas().sort_values("id")
     groups = found["cluster"].to_numpy().reshape(3, 40)
     assert all(len(set(g)) == 1 for g in groups) and len(set(groups[:, 0])) == 3
