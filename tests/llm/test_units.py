@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -237,7 +238,7 @@ def test_chat_template_is_reversible():
 
 PAGES = [
     ("", ""),
-    ("<p>x", ""),
+    ("<p>x", "x"),
     ("<main><header><h1>T</h1></header><p>a &amp; b&nbsp;c <b>d</b>e</p><aside>no</aside><p class=ad>no<p>yes<form>q<input></form></main>", "T\na & b c de\nyes"),
     ("<nav><a href=/>Home</a></nav><script>if(a<b){}</script><article><h1>Hi</h1>to.<!-- x --></article><footer>no</footer>", "Hi\nto."),
     ("<style>", ""),
@@ -279,3 +280,49 @@ BODY = "Real text stands here. " * 8
 )
 def test_main_text_by_windows(html, text):
     assert main_text.main_text(html).split("\n") == [t.strip() for t in text]
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        # A page of a few words keeps them, and a name of furniture counts as the last telling part only.
+        ("<p>Short first.</p>", ["Short first."]),
+        ("<p>One.</p><p>Two.</p><div class=ad-box>no</div>", ["One.", "Two."]),
+        (f"<p>{BODY}<div class=related-work><p>a</div><section id=social-history><p>b</section><div class=related-posts>no</div>", [BODY, "a", "b"]),
+        (f"<p>{BODY}<p>a<div id=comment-list-2>no</div><div class='main-nav left'>no</div>", [BODY, "a"]),
+        # What stands between two marked parts is not in the mark.
+        (f"<main><article><p>{BODY}</article></main><p>no<main><p>{BODY}</main>", [BODY, BODY]),
+        # The windows choose: of a marked page too, only what hangs together with a surge.
+        (f"<article>Teaser.</article><p>1<p>2<p>3<p>4<article>{BODY}</article>", [BODY]),
+    ],
+)
+def test_main_text_of_short_and_compound_names(html, text):
+    assert main_text.main_text(html).split("\n") == [t.strip() for t in text]
+
+
+def test_surges_equal_plain_windows():
+    """Brute force over all windows: join what no weightless window parts, keep what holds a surge, trim it."""
+    rng = random.Random(3)
+    for _ in range(3000):
+        weights = [rng.choice([0, 0, 0, 1, 20, 50, 90, 200]) for _ in range(rng.randint(0, 25))]
+        least, window = rng.choice([0, 30, 86, 150.5]), rng.randint(1, 4)
+        dives = {i for j in range(len(weights) - window + 1) if not any(weights[j : j + window]) for i in range(j, j + window)}
+        expected, first = [], 0
+        for end in [*sorted(dives), len(weights)]:
+            stretch = [i for i in range(first, end) if weights[i]]
+            if stretch:
+                a, b = stretch[0], stretch[-1] + 1
+                if max(sum(weights[j:b][:window]) for j in range(a, b)) > least:
+                    expected.append((a, b))
+            first = end + 1
+        assert main_text.surges(weights, least, window) == expected
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ['<a "', '<a b="', "<a \"'", "<a ", "<div>x", "<div class=ad>x", "<b><p>x</i>", "<!", "</", "<script></script", "<div class=ad><article>", '<p title="a>b'],
+)
+def test_main_text_of_broken_markup_is_linear(piece):
+    start = time.perf_counter()
+    main_text.main_text(piece * 50_000)
+    assert time.perf_counter() - start < 20  # a second or two; the square of it would be hours
