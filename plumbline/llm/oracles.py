@@ -13,13 +13,14 @@ def _quoted(text: str) -> str:
 
 
 def _spans(rank: int, rule: secret_scan.Rule) -> str:
-    """Spans of one rule: gaps and matches alternate, so their lengths add up to places."""
+    """Spans of one rule: gaps and matches alternate, so their running lengths are the places."""
     pattern = _quoted(rule.pattern)
     group = f"regexp_extract_all(t, {pattern}, {rule.group})"
-    return f"""SELECT r, {rank} AS rank, {_quoted(rule.kind)} AS kind, s, s + length(m[i]) AS e FROM (
-      SELECT r, i, m, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, v
-      FROM (SELECT r, string_split_regex(t, {pattern}) AS g, regexp_extract_all(t, {pattern}) AS m, {group} AS v FROM d),
-        (SELECT unnest(range(1, 20000)) AS i) WHERE i <= len(m)) WHERE length(v[i]) >= {rule.least}"""
+    return f"""SELECT r, {rank} AS rank, {_quoted(rule.kind)} AS kind, e - n AS s, e FROM (
+      SELECT r, v, length(m) AS n, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS e FROM (
+        SELECT r, unnest(range(len(m))) AS i, unnest(g[1:len(m)]) AS g, unnest(m) AS m, unnest(v) AS v FROM (
+          SELECT r, string_split_regex(t, {pattern}) AS g, regexp_extract_all(t, {pattern}) AS m, {group} AS v FROM d)))
+      WHERE length(v) >= {rule.least}"""
 
 
 def secrets_sql() -> str:

@@ -48,13 +48,13 @@ BASE_RULES = (
     Rule("hex", "[0-9a-f]{24,}"),
 )
 ADDED_RULES = (
-    Rule("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", "[rs]k_live_[0-9A-Za-z]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_password", r"[a-z]{2,12}://[^/\s:@]{1,64}:[^/\s:@]{1,64}@"),
+    Rule("url_password", r"[a-z]{2,12}://[^/:@\x09-\x0D\x20]+:[^/:@\x09-\x0D\x20]+@"),
 )
 RULES = (*BASE_RULES, *ADDED_RULES)
 

@@ -6,11 +6,13 @@ import math
 import re
 import zlib
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import queries, quality_rules, secret_scan, stages
+from plumbline.llm import oracles, queries, quality_rules, secret_scan, stages
 
 pytest.importorskip("tokenizers")
 
@@ -105,6 +107,31 @@ def test_secret_spans_of_many_matches(spark):
     assert [(s["start"], s["end"]) for s in got] == [(a, b) for a, _, k, b in secret_spans(text) if k == "assign"]
 
 
+def test_secret_spans_have_no_length_cap(spark):
+    """Long passwords, user names and key labels, and the reference SQL on a text of 25,000 matches."""
+    user, password, label = "u" * 300, "é%" * 4000, "EC " * 500
+    texts = [
+        f"see https://{user}:{password}@host/x",
+        f"a -----BEGIN {label}PRIVATE KEY----- b",
+        "ftp://user: pass@host ftp://a:b@ ftp://a\x0b:b@",
+        "token=abcdefg " * 25_000,
+        "",
+        None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secret_scan.scan(docs).select("doc_id", secret_scan.written(F.col("spans")).alias("spans"))
+    got = {r["doc_id"]: r["spans"] for r in found.collect()}
+    assert got[0] == f"url_password:4:{len(texts[0]) - 6}"
+    assert got[1] == f"private_key:2:{len(texts[1]) - 2}"
+    assert got[2] == "url_password:22:32"
+    assert len(got[3].split(",")) == 25_000 and got[3].endswith(f"assign:{24_999 * 14}:{25_000 * 14 - 1}")
+    assert got[4] == got[5] == ""
+    with duckdb.connect() as db:
+        db.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+        sql = db.sql(oracles.ORACLES["op2_secret_scan"]).df()
+    assert dict(zip(sql["doc_id"], sql["spans"])) == got
+
+
 def test_decontamination(spark, folders):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = {i: i + 32 for i in range(65, 91)}
