@@ -3,7 +3,8 @@
 A found value is checked (Luhn digit, IBAN remainder, calendar, octets), read as a number whose digits
 have the radixes that its format allows, permuted by a Feistel network under a secret key, and written
 back in the same format and length. Equal values get equal pseudonyms in every document, different
-values different ones, and the holder of the key can go back (``restore``). Candidates that fail their check
+values different ones, and the holder of the key can go back (``restore``). Letters and digits of any script change
+within their script and case; the kinds with a check are found in ASCII digits. Candidates that fail their check
 are tried in shorter forms and as other kinds; what passes none stays as it is. Only where a pseudonym
 would let such a failed candidate pass, the value gets the next one of the permutation's cycle, so that
 it is found again on the way back; it is then not linked to its other places.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from datetime import date, timedelta
@@ -27,17 +29,18 @@ from pyspark.sql.functions import arrow_udf
 
 ROUNDS = 10
 KINDS = ("email", "iban", "ip", "date", "card", "ssn", "phone")
-FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
+# Days are permuted within their span, so that those of usual years stay in usual years.
+SPANS = ((date(1900, 1, 1), date(2099, 12, 31)), (date.min, date(1899, 12, 31)), (date(2100, 1, 1), date.max))
 
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 # More telling formats first: of two candidates that start together the first kind wins.
 _FORMATS = {
     "email": r"(?<![\w.+-])[\w.+-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": rf"{_EDGE}[A-Z]{{2}}\d\d(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
-    "ip": r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?[0-9A-Za-z])",
-    "date": rf"{_EDGE}(?:\d{{4}}(?P<ymd>[-/.])\d{{1,2}}(?P=ymd)\d{{1,2}}|\d{{1,2}}(?P<dmy>[-/.])\d{{1,2}}(?P=dmy)\d{{4}}){_END}",
-    "card": rf"{_EDGE}\d(?:[ -]?\d){{12,18}}{_END}",
-    "ssn": rf"{_EDGE}\d{{3}}-\d\d-\d{{4}}{_END}",
+    "iban": rf"{_EDGE}[A-Z]{{2}}[0-9][0-9](?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
+    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])",
+    "date": rf"{_EDGE}(?:[0-9]{{4}}(?P<ymd>[-/.])[0-9]{{1,2}}(?P=ymd)[0-9]{{1,2}}|[0-9]{{1,2}}(?P<dmy>[-/.])[0-9]{{1,2}}(?P=dmy)[0-9]{{4}}){_END}",
+    "card": rf"{_EDGE}[0-9](?:[ -]?[0-9]){{12,18}}{_END}",
+    "ssn": rf"{_EDGE}[0-9]{{3}}-[0-9][0-9]-[0-9]{{4}}{_END}",
     "phone": rf"(?<![0-9A-Za-z+])(?:\+?\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}{_END}"
     rf"|(?<![0-9A-Za-z+])\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,4}}{_END}"
     rf"|{_EDGE}\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_END}",
@@ -58,10 +61,13 @@ IBAN_LENGTHS = {
     }.items()
     for country in countries.split()
 }
-_MAYBE = re.compile(r"[0-9@]")
+_MAYBE = re.compile(r"[\d@]")
 
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
 _PLACE = {c: (letters, i) for letters in _ALPHABETS for i, c in enumerate(letters)}
+# Characters of one kind in the same row of code points are an alphabet too: a letter keeps its script and case.
+ROW = 128
+_KINDS_OF_SIGNS = frozenset(("Lu", "Ll", "Lt", "Lm", "Lo", "Nd"))
 
 
 def feistel(key: bytes, tweak: str, digits: list[int], radixes: list[int], back: bool = False) -> list[int]:
@@ -93,13 +99,30 @@ def _digits(value: int, radixes: list[int]) -> list[int]:
     return out[::-1]
 
 
+@lru_cache(maxsize=4096)
+def _row(row: int, kind: str) -> str:
+    known = (chr(c) for c in range(row * ROW, (row + 1) * ROW))
+    return "".join(c for c in known if c not in _PLACE and unicodedata.category(c) == kind)
+
+
+def _place(c: str) -> tuple[str, int] | None:
+    """The alphabet of a character and its place there; None for what stays as it is."""
+    if c in _PLACE:
+        return _PLACE[c]
+    kind = unicodedata.category(c)
+    if c.isascii() or kind not in _KINDS_OF_SIGNS:
+        return None
+    letters = _row(ord(c) // ROW, kind)
+    return letters, letters.index(c)
+
+
 def _signs(key: bytes, kind: str, text: str, back: bool) -> str:
     """Every letter and digit changes within its alphabet; other signs stay."""
-    at = [i for i, c in enumerate(text) if c in _PLACE]
-    new = feistel(key, kind, [_PLACE[text[i]][1] for i in at], [len(_PLACE[text[i]][0]) for i in at], back)
+    places = [(i, *place) for i, c in enumerate(text) if (place := _place(c))]
+    new = feistel(key, kind, [n for _, _, n in places], [len(letters) for _, letters, _ in places], back)
     out = list(text)
-    for i, d in zip(at, new):
-        out[i] = _PLACE[text[i]][0][d]
+    for (i, letters, _), d in zip(places, new):
+        out[i] = letters[d]
     return "".join(out)
 
 
@@ -158,9 +181,10 @@ def _read_date(text: str) -> tuple[str, date] | None:
 
 def _date(key: bytes, text: str, back: bool) -> str | None:
     found = _read_date(text)
-    if found is None or not FIRST_DAY <= found[1] <= LAST_DAY:
+    if found is None:
         return None
     order, widths = found[0], [len(p) for p in re.split("[-/.]", text)]
+    place, (first, last) = next((i, span) for i, span in enumerate(SPANS) if span[0] <= found[1] <= span[1])
     sign = next(c for c in text if not c.isdigit())
 
     def write(day: date) -> str:
@@ -169,13 +193,14 @@ def _date(key: bytes, text: str, back: bool) -> str | None:
 
     if write(found[1]) != text:
         return None
-    days = (LAST_DAY - FIRST_DAY).days + 1
+    days = (last - first).days + 1
     side = int(days**0.5) + 1
-    value = (found[1] - FIRST_DAY).days
+    value = (found[1] - first).days
+    tweak = f"date{order}{widths}{place or ''}"
     while True:  # numbers beyond the calendar, or of another form when written, are walked over
-        value = _number(feistel(key, f"date{order}{widths}", list(divmod(value, side)), [side, side], back), [side, side])
+        value = _number(feistel(key, tweak, list(divmod(value, side)), [side, side], back), [side, side])
         if value < days:
-            day = FIRST_DAY + timedelta(value)
+            day = first + timedelta(value)
             new = write(day)
             if len(new) == len(text) and _read_date(new) == (order, day):
                 return new

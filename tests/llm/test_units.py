@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import unicodedata
 
 import numpy as np
 import pytest
@@ -170,6 +171,10 @@ def test_field_marginals_and_gradient():
         ("2024-02-29", "date"), ("1.2.2020", "date"), ("12/31/1999", "date"), ("4111-1111-1111-1111", "card"),
         ("GB82 WEST 1234 5698 7654 32", "iban"), ("a.b+c@x-y.co.uk", "email"), ("192.168.0.1", "ip"),
         ("078-05-1120", "ssn"), ("+1 (394) 555-4006", "phone"), ("415-555-2671", "phone"),
+        # Years beyond the usual ones, and letters and digits of other scripts.
+        ("1815-12-10", "date"), ("31.12.2150", "date"), ("9999-12-31", "date"), ("0001-01-01", "date"),
+        ("иван@example.com", "email"), ("ÀÉ@example.com", "email"), ("李明.ΑΣ@example.com", "email"),
+        ("(٥٥٥) ١٢٣ ٤٥٦٧", "phone"), ("+44 ५५५-१२३-४५६७", "phone"),
     ],
 )
 def test_pseudonyms_keep_format_link_and_return(text, kind):
@@ -206,6 +211,21 @@ def test_values_inside_of_failed_candidates(text, value, kind):
         assert pii.replace_text(new, key, back=True)[0] == text
 
 
+def test_letters_keep_script_and_case():
+    name = "Иван.Ÿé_李ª٣"
+    for n in range(50):
+        new = pii.replace_text(f"{name}@ab.com", b"key %d" % n)[0].split("@")[0]
+        assert [unicodedata.category(c) for c in new] == [unicodedata.category(c) for c in name]
+        assert [ord(c) // 128 for c in new] == [ord(c) // 128 for c in name] and new[:4] != name[:4]
+
+
+def test_days_stay_in_their_span():
+    for text in ("1899-12-31", "1900-01-01", "2099-12-31", "2100-01-01", "0476-09-04"):
+        for n in range(50):
+            year = int(pii.replace_text(text, b"key %d" % n)[0][:4])
+            assert (year < 1900, year > 2099) == (text < "1900", text > "2100")
+
+
 def test_permutation_is_one_to_one():
     seen = {tuple(pii.feistel(b"k", "t", [a, b, c], [7, 3, 5])) for a in range(7) for b in range(3) for c in range(5)}
     assert len(seen) == 105
