@@ -37,8 +37,3 @@ def words_of(text: Column) -> Column:
     """Maximal runs of non-blank characters, in order; an empty array for a text without any."""
     trimmed = F.btrim(text, F.lit(BLANKS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
-
-
-def keep_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the named columns, so that extra columns can clash with nothing an operator adds."""
-    return df.select(*[F.col(name) for name in names])

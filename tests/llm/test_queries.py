@@ -400,6 +400,30 @@ def test_pipeline_stage_by_stage(spark, folders):
     assert "4111-1111" not in last[10]["text"] and all(r["n_tokens"] == len(r["token_ids"]) for r in last.values())
 
 
+def test_stages_on_nulls_repeats_and_long_texts(spark, folders):
+    long = " ".join(f"word{zlib.crc32(b'%d' % i) % 100_000}" for i in range(60_000)) + " a.b@example.com"
+    rows = [(1, None), (2, None), (3, ""), (4, ""), (5, long), (5, long), (6, long + " more"), (None, "a lonely text of seven words here"), (7, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("r")).withColumn("key", F.lit(None).cast("long")).withColumn("n_tokens", F.lit(0))
+
+    def kept(stage):
+        got = stage(spark, docs, folders[0])
+        assert got.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+
+    assert kept(stages.quality_rules) == sorted([(5, long), (5, long), (6, long + " more")], key=repr)
+    assert kept(stages.near_duplicates) == sorted([(1, None), (5, long), (7, "one"), rows[7]], key=repr)
+    assert kept(stages.decontamination) == sorted(rows, key=repr)
+    spark.conf.set(stages.KEY_SETTING, "another key")
+    try:
+        other = dict(kept(stages.pseudonyms))
+    finally:
+        spark.conf.unset(stages.KEY_SETTING)
+    changed = dict(kept(stages.pseudonyms))
+    assert changed[1] is None and changed[3] == "" and changed[5][:-15] == long[:-15] and changed[5] != long != other[5] != changed[5]
+    last = {(r["doc_id"], r["text"]): r for r in stages.tokens(spark, docs, folders[0]).collect()}
+    assert last[1, None]["n_tokens"] == 0 and last[3, ""]["decoded"] == "" and last[5, long]["n_tokens"] >= 60_000
+
+
 @pytest.mark.parametrize("tile", [256, 2])
 def test_pipeline_stage_finds_ordinary_near_copies(spark, folders, monkeypatch, tile):
     import random
