@@ -466,3 +466,31 @@ def test_similarity_of_all_pairs_by_products():
     found = near_copies.similar_matrix(sets[:25], sets[25:])
     assert found.any() and [[bool(x) for x in row] for row in found] == [[near_copies.similar(a, b) for b in sets[25:]] for a in sets[:25]]
     assert near_copies.similar_matrix([], []).shape == (0, 0)
+
+
+@pytest.mark.parametrize("kind", ["drawn", "with_zero", "in_a_row", "multiples"])
+def test_minima_agree_as_often_as_sets_are_similar(kind):
+    """Also where the hashes have an order or a fixed point that a mere product would keep."""
+    import numpy as np
+
+    from plumbline.llm import near_copies
+
+    rng = np.random.default_rng(3)
+    agree = []
+    for number in range(20):
+        if kind == "in_a_row":
+            pool = np.arange(900, dtype=np.uint64) + np.uint64(1000 * number + 1)
+        elif kind == "multiples":
+            pool = np.arange(900, dtype=np.uint64) * np.uint64(1 << 53) + np.uint64(number << 40)
+        else:
+            pool = rng.integers(1, 2**64, 900, np.uint64)
+        first, second = pool[:600], pool[300:]
+        if kind == "with_zero":
+            first, second = np.append(first[:300], np.uint64(0)), np.append(second[300:], np.uint64(0))
+        agree.append(np.mean(near_copies.signature(first) == near_copies.signature(second)))
+    expected = 1 / 601 if kind == "with_zero" else 1 / 3
+    assert abs(np.mean(agree) - expected) < 0.03
+    # Keys of bands are equal where all of their minima are, and empty sets are alike.
+    same = near_copies.band_keys(pool)
+    assert (same == near_copies.band_keys(pool[::-1].copy())).all() and len(set(same.tolist())) == near_copies.BANDS
+    assert (near_copies.band_keys(pool[:0]) == near_copies.band_keys(pool[:0])).all()
