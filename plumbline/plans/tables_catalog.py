@@ -76,21 +76,38 @@ _WORKBOOK_PARTS = {
 }
 
 
+def _sheet_cell(ref: str, v) -> str:
+    if isinstance(v, pd.Timestamp):
+        serial = (v - pd.Timestamp("1899-12-30")) / pd.Timedelta(days=1)
+        return f'<c r="{ref}" s="1"><v>{serial!r}</v></c>'
+    if isinstance(v, str):
+        return f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    if v is not None and v == v:
+        return f'<c r="{ref}"><v>{v!r}</v></c>'.replace("np.float64(", "").replace(")<", "<")
+    return ""
+
+
+def _sheet_column(letter: str, values: pd.Series) -> list[str]:
+    """Cells of a column below the header, from row 2 on; columns of one plain type are written without a look at each value."""
+    if values.dtype.kind == "M" and not getattr(values.dtype, "tz", None):
+        day = 86_400_000_000_000
+        epoch = pd.Timestamp("1899-12-30").as_unit("ns").value
+        stamps = values.astype("datetime64[ns]").astype("int64").tolist()
+        known = values.notna().tolist()
+        return [f'<c r="{letter}{i}" s="1"><v>{(v - epoch) / day!r}</v></c>' if k else "" for i, (v, k) in enumerate(zip(stamps, known), 2)]
+    if values.dtype.kind in "iu":
+        return [f'<c r="{letter}{i}"><v>{v}</v></c>' for i, v in enumerate(values.tolist(), 2)]
+    if values.dtype.kind == "f":
+        return [f'<c r="{letter}{i}"><v>{v!r}</v></c>' if v == v else "" for i, v in enumerate(values.tolist(), 2)]
+    return [_sheet_cell(f"{letter}{i}", v) for i, v in enumerate(values, 2)]
+
+
 def workbook_bytes(rows: pd.DataFrame) -> bytes:
     """A small workbook; datetime columns become date-styled serial numbers."""
-    lines = []
-    for values in [list(rows.columns), *rows.itertuples(index=False, name=None)]:
-        cells = []
-        for i, v in enumerate(values):
-            ref = f"{chr(65 + i)}{len(lines) + 1}"
-            if isinstance(v, pd.Timestamp):
-                serial = (v - pd.Timestamp("1899-12-30")) / pd.Timedelta(days=1)
-                cells.append(f'<c r="{ref}" s="1"><v>{serial!r}</v></c>')
-            elif isinstance(v, str):
-                cells.append(f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>')
-            elif v is not None and v == v:
-                cells.append(f'<c r="{ref}"><v>{v!r}</v></c>'.replace("np.float64(", "").replace(")<", "<"))
-        lines.append(f"<row>{''.join(cells)}</row>")
+    letters = [chr(65 + i) for i in range(len(rows.columns))]
+    header = [_sheet_cell(f"{letter}1", name) for letter, name in zip(letters, rows.columns)]
+    columns = [_sheet_column(letter, rows.iloc[:, i]) for i, letter in enumerate(letters)]
+    lines = [f"<row>{''.join(cells)}</row>" for cells in (header, *zip(*columns))]
     sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:

@@ -1,5 +1,6 @@
 import io
 import json
+import math
 import os
 import zipfile
 from datetime import datetime
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import associate, clean, describe, quality, schema
 from plumbline.plans.tables_catalog import workbook_bytes
+from plumbline.sources import workbooks
 from plumbline.sources.readers import read_json, read_table
 from plumbline.sources.workbooks import workbook_rows
 from plumbline.streaming.watch import poll_folder, watch_folder
@@ -158,6 +160,34 @@ def test_workbooks(spark, tmp_path):
     assert row["t"] == "a<b" and row["when"] == datetime(2024, 3, 1, 12, 30)
 
 
+def test_workbooks_are_parsed_once(spark, tmp_path):
+    """The types of the columns need all rows, but not a second look into the workbooks."""
+    days = pd.to_datetime(["2024-02-29", None, "1999-12-31 23:59:59.5"], format="ISO8601")
+    pdf = pd.DataFrame({"n": [1, 2, 3], "x": [0.5, None, -1e-7], "s": ["5-LOW", "a<&b", None], "d": days, "o": ["1", " 2.5e-3 ", "-Infinity"]})
+    opened = spark.sparkContext.accumulator(0)
+    files = spark.createDataFrame([("b.xlsx", bytearray(workbook_bytes(pdf)))], "path string, content binary")
+
+    def count(batches):
+        for batch in batches:
+            opened.add(batch.num_rows)
+            yield batch
+
+    rows = workbooks.parse_workbooks(files.mapInArrow(count, files.schema))
+    assert [f.dataType.simpleString() for f in rows.schema] == ["timestamp", "bigint", "double", "string", "double"] and rows.columns == list("dnosx")
+    found = rows.orderBy("n").collect()
+    assert [r["x"] for r in found] == [0.5, None, -1e-7] and [r["s"] for r in found] == ["5-LOW", "a<&b", None]
+    assert [r["o"] for r in found] == [1.0, 0.0025, -math.inf] and [str(r["d"]) for r in found] == ["2024-02-29 00:00:00", "None", "1999-12-31 23:59:59.500000"]
+    assert opened.value == 1
+
+
+def test_texts_that_cast_to_double_pass_the_first_look(spark):
+    texts = ["1", "-1.5", ".5", "1.", "1e5", "1E-5", "1.5e+7d", "2f", " 3 ", "NaN", "nan", "Infinity", "-inf", "+Infinity", "0x1.8p-3", "\t4\n"]
+    df = spark.createDataFrame([(t,) for t in [*texts, "5-LOW", "1998-02-06 00:00:00", "a b", ""]], "t string")
+    kept = df.select(F.col("t").try_cast("double").isNotNull().alias("casts"), F.col("t").rlike(workbooks._MAY_BE_NUMBER).alias("looks")).collect()
+    assert sum(r["casts"] for r in kept) >= 12 and all(r["looks"] for r in kept if r["casts"])
+    assert not any(r["looks"] for r in kept[-4:])
+
+
 def test_workbook_shared_strings_and_flags():
     book = workbook_bytes(pd.DataFrame({"a": [1]}))
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
