@@ -11,6 +11,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.functions.parts import spread
 from plumbline.functions.quantiles import clean_double
 from plumbline.functions.scratch import materialize
 from plumbline.operators.clean import impute_mean, standardize
@@ -23,7 +24,7 @@ def scaled_vectors(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
     """Mean-imputed, standardised feature vectors; written once because several fits read them."""
     filled = standardize(impute_mean(df, columns), columns, "_std")
     vectors = VectorAssembler(inputCols=[f"{c}_std" for c in columns], outputCol="features").transform(filled)
-    return materialize(vectors.select(*keep, "features"))
+    return materialize(spread(vectors.select(*keep, "features")))
 
 
 def kmeans_sweep(
