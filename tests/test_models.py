@@ -8,7 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from plumbline.operators import cluster, density, metrics, modeling
+from plumbline.functions import parts
+from plumbline.operators import boosting, cluster, density, metrics, modeling
 
 
 def test_target_choice():
@@ -278,3 +279,37 @@ def test_principal_components_match_the_decomposition(spark):
     got = projected.toPandas().sort_values("id")
     for i in range(2):
         np.testing.assert_allclose(np.abs(got[f"pc{i + 1}"]), np.abs(scaled @ v[i]), atol=1e-8)
+
+
+def test_part_count_is_bounded_both_ways():
+    assert [parts.part_count(n, 12) for n in (0, 1, 20_000, 20_001, 120_000, 1_200_000, 3_000_000)] == [1, 1, 1, 2, 6, 12, 12]
+    assert [parts.part_count(n, 12) for n in (3_000_001, 7_200_000, 36_000_000)] == [24, 36, 144]
+
+
+@pytest.mark.parametrize("work", ["compare", "two_methods", "folds", "k_means", "boosting"])
+def test_rows_of_one_partition_are_dealt_out_before_models_pass_over_them(spark, monkeypatch, work):
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def record(df):
+        seen.append([r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()])
+        raise Stop
+
+    for module in (modeling, boosting, cluster):
+        monkeypatch.setattr(module, "materialize", record)
+    table = spark.range(0, 100_000, 1, 1).select("id", (F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    prepared = modeling.prepare(table, "y", ["x", "y"], keep=["id"])
+    with pytest.raises(Stop):
+        if work == "compare":
+            modeling.compare(prepared, ["id"], "regression", ["linear"])
+        elif work == "two_methods":
+            modeling.two_method_importance(prepared, "regression")
+        elif work == "folds":
+            modeling.cross_validation(prepared, None, ["id"], "regression")
+        elif work == "k_means":
+            cluster.scaled_vectors(table, ["x", "y"])
+        else:
+            boosting.Boosting(rounds=1).fit(prepared.rows)
+    assert sum(seen[0]) == 100_000 and len(seen[0]) == 5 and max(seen[0]) < 25_000
