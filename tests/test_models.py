@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import parts
 from plumbline.operators import boosting, cluster, density, metrics, modeling
+from plumbline.plans import models_catalog
 
 
 def test_target_choice():
@@ -313,3 +314,9 @@ def test_rows_of_one_partition_are_dealt_out_before_models_pass_over_them(spark,
         else:
             boosting.Boosting(rounds=1).fit(prepared.rows)
     assert sum(seen[0]) == 100_000 and len(seen[0]) == 5 and max(seen[0]) < 25_000
+
+
+def test_text_features_are_taken_once(spark):
+    """Preparing passes over the rows several times, which must not pass over the texts again."""
+    rows = models_catalog._quality_prepared(spark, "/root/testdata/sf0.001").rows
+    assert rows.count() > 0 and "regexp" not in rows._jdf.queryExecution().toString().lower()
