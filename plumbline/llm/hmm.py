@@ -19,13 +19,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -41,41 +40,57 @@ CLASSES = END + 1
 SHIPPED = 100_000
 SEGMENT = 1024
 SCALED = 8
-BATCH_CLASSES = 1 << 19
+BATCH_CLASSES = 1 << 20  # a call per column costs as much as the sums over some hundred rows
+SUMMED = 1 << 16
+ADD = np.ones((STATES, STATES))  # times this, every value of a line becomes the line's sum
 ROUNDS = 14
 BLOCK = 1024  # expected counts in a row of the sums over partitions
 FLUSH_TOKENS = 200_000
 SEED = 7
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    """Words between blanks, A-Z lower-cased."""
-    return text.lower().split() if text else []
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words between blanks, A-Z lower-cased: the different ones, per word its number among them, and the words of each text."""
+    whole = pc.fill_null(texts.cast(pa.large_binary()), b"").take(pa.array(np.arange(len(texts))))  # ascii_lower fails in the midst of a buffer
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole.view(pa.large_string())))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = np.nonzero(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))[0]  # before and after outer blanks
+    if len(empty):
+        words = words.filter(pc.not_equal(pc.binary_length(words), 0))
+        sizes -= np.bincount(np.searchsorted(np.cumsum(sizes), empty, side="right"), minlength=len(sizes))
+    coded = words.dictionary_encode()
+    return coded.dictionary.view(pa.large_binary()).cast(pa.binary()), coded.indices.to_numpy(), sizes
 
 
 def tail_class(token: bytes) -> int:
     return HEAD + zlib.crc32(token[-3:]) % TAIL
 
 
+def tail_classes(tokens: pa.Array) -> np.ndarray:
+    """The tail class of every token; equal endings are looked at once."""
+    endings = pc.binary_slice(tokens, -3).dictionary_encode()
+    return np.array([tail_class(x) for x in endings.dictionary.to_pylist()], np.int64)[endings.indices.to_numpy()]
+
+
 def token_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """``(token, n)`` over all rows. Tasks add up before the shuffle and hold a bounded table meanwhile."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "n"]
-            )
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(tokens_of(text.as_py()))
-                if len(held) > FLUSH_TOKENS:
-                    yield out()
-                    held.clear()
+            tokens, numbers, _ = tokens_of(batch.column(0))
+            times = pa.array(np.bincount(numbers, minlength=len(tokens)), pa.int64())
+            held.append(pa.table({"token": tokens, "n": times}))
+            if sum(map(len, held)) > FLUSH_TOKENS:
+                held = [added()]
+                if len(held[0]) > FLUSH_TOKENS:
+                    yield from held.pop().to_batches()
         if held:
-            yield out()
+            yield from added().to_batches()
 
     partial = texts.select(F.col(column).cast("binary").alias("text")).mapInArrow(count, "token binary, n long")
     return partial.groupBy("token").agg(F.sum("n").alias("n"))
@@ -153,7 +168,7 @@ def sequences(text: Column, shipped: Broadcast) -> Column:
     @arrow_udf(SEQUENCE)
     def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v: Vocabulary = shipped.value
-        number_of = {token: i for i, token in enumerate(v.counts)}.get
+        numbered = pa.array(list(v.counts), pa.binary())
         # By number; the last place is that of all rare tokens.
         classes = np.array([v.classes.get(t, -1) for t in v.counts] + [-1])
         tails = np.array([tail_class(t) for t in v.counts] + [0])
@@ -165,30 +180,32 @@ def sequences(text: Column, shipped: Broadcast) -> Column:
         base[-1] = shares[-1] = 0.0
         end_base, end_known = v.base(v.ends), int(v.ends > 0)
         for batch in batches:
-            columns: list[list] = [[] for _ in range(5)]
-            rare_tokens, rare_numbers, rare_ends = [], [], [0]
-            for value in batch:
-                words = tokens_of(value.as_py())
-                found = np.fromiter(map(number_of, words, repeat(-1)), np.int64, len(words))
-                sequence = np.append(classes[found], np.array([END], "<u2"))
-                unknown = np.nonzero(found < 0)[0].tolist()
-                rare = Counter([words[i] for i in unknown])
-                if unknown:
-                    sequence[unknown] = [tail_class(words[i]) for i in unknown]
-                columns[0].append(sequence.tobytes())
-                columns[1].append(len(words) + 1)
-                columns[2].append(len(words) - len(unknown) + end_known)
-                columns[3].append(float(base[found].sum()) + end_base)
-                columns[4].append(float(shares[found].sum()))
-                rare_tokens.extend(rare)
-                rare_numbers.extend(rare.values())
-                rare_ends.append(len(rare_tokens))
-            entries = pa.StructArray.from_arrays(
-                [pa.array(rare_tokens, pa.binary()), pa.array(rare_numbers, pa.int32())], names=["token", "n"]
+            tokens, numbers, sizes = tokens_of(batch)
+            found = pc.fill_null(pc.index_in(tokens, numbered), -1).to_numpy(zero_copy_only=False)
+            class_of, unknown = classes[found], found < 0
+            class_of[unknown] = tail_classes(tokens.filter(pa.array(unknown)))
+            row, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes + 1)
+            sequence = np.full(len(numbers) + len(sizes), END, "<u2")
+            sequence[np.arange(len(numbers)) + row] = class_of[numbers]
+            rare = np.nonzero(unknown[numbers])[0]
+            # Text and token in one number; equal ones of a text are counted.
+            pairs, times = np.unique(row[rare] * len(tokens) + numbers[rare], return_counts=True)
+            rare_row, rare_token = np.divmod(pairs, max(1, len(tokens)))
+            entries = pa.StructArray.from_arrays([tokens.take(pa.array(rare_token)), pa.array(times, pa.int32())], names=["token", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_row, np.arange(len(sizes) + 1)), pa.int32()), entries)
+            offsets = np.append(0, 2 * ends)
+            if offsets[-1] >= 1 << 31:
+                raise ValueError("a batch of texts has too many tokens for one Arrow column")
+            binary = pa.BinaryArray.from_buffers(
+                pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(sequence)]
             )
-            lists = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), entries)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            plain = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            plain = [
+                binary,
+                pa.array(sizes + 1, pa.int64()),
+                pa.array(sizes - np.bincount(row[rare], minlength=len(sizes)) + end_known, pa.int64()),
+                pa.array(np.bincount(row, weights=base[found][numbers], minlength=len(sizes)) + end_base, pa.float64()),
+                pa.array(np.bincount(row, weights=shares[found][numbers], minlength=len(sizes)), pa.float64()),
+            ]
             yield pa.StructArray.from_arrays([*plain, lists], names=SEQUENCE.fieldNames())
 
     return number(text.cast("binary"))
@@ -223,8 +240,9 @@ class Workspace:
 class Batch:
     """Class sequences of some texts, cut into rows of at most ``SEGMENT`` classes that run side by side.
 
-    Rows stand by falling length, so that those that reach a column are always the first ones. Arrays hold
-    the columns one after the other, and in a column one line of state values for each of its rows.
+    Rows stand by falling length, so that those that reach a column are always the first ones, and among the
+    longest the ``heads``, which other rows of their texts follow, stand first: ``middles`` first, then openers.
+    Arrays hold the columns one after the other, and in a column one line of state values for each of its rows.
     Vectors are scaled in every ``SCALED``-th column only, and forward and backward vectors by the same
     numbers, so that their products are probabilities as they are.
     """
@@ -237,70 +255,60 @@ class Batch:
         text = np.repeat(np.arange(len(texts)), self.count)
         within = np.arange(len(text)) - self.first[text]
         lengths = np.minimum(SEGMENT, sizes[text] - within * SEGMENT)
-        order = np.argsort(-lengths, kind="stable")
+        kind = np.where(within == self.count[text] - 1, 2, within == 0)
+        self.middles, self.heads = int((kind == 0).sum()), int((kind < 2).sum())
+        order = np.lexsort((kind, -lengths))
         self.place = np.empty(len(order), np.int64)  # of each row in the text order
         self.place[order] = np.arange(len(order))
         longest = int(lengths.max(initial=0))
-        self.reach = len(order) - np.cumsum(np.bincount(lengths, minlength=longest + 1))[:longest]
-        self.at = np.cumsum([0, *self.reach])  # where each column begins
-        self.end = self.at[lengths[order] - 1] + np.arange(len(order))  # the last place of each row
-        column = np.arange(sizes.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.classes = self.space.lines("classes", len(column), 1, np.int64)[:, 0]
-        self.classes[self.at[column] + np.repeat(self.place, lengths)] = np.concatenate(texts) if texts else []
+        self.reach = (len(order) - np.cumsum(np.bincount(lengths, minlength=longest + 1))[:longest]).tolist()
+        at = np.cumsum([0, *self.reach])  # where each column begins
+        self.at = at.tolist()
+        self.end = at[lengths[order] - 1] + np.arange(len(order))  # the last place of each row
+        self.classes = self.space.lines("classes", self.at[-1], 1, np.uint16)[:, 0]
+        if texts:
+            target = np.concatenate([at[:n] for n in lengths.tolist()])
+            target += np.repeat(self.place, lengths)
+            self.classes[target] = np.concatenate(texts)
         self.opening = np.zeros(len(order), bool)  # rows that begin a text
         self.opening[self.place[self.first]] = True
-        # Rows of texts of more than one. All but the last ones have the full length.
-        self.openers = self.place[self.first[self.count > 1]]
-        self.middles = self.place[(within > 0) & (within < self.count[text] - 1)]
-        self.closers = np.sort(self.place[self.first + self.count - 1][self.count > 1])
 
     def emissions(self, model: Model) -> np.ndarray:
         out = self.space.lines("emissions", len(self.classes))
         return model.emit.take(self.classes, axis=0, mode="clip", out=out)
 
     def ends(self, model: Model, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled vectors at the end of the first rows of longer texts, and of their middle rows the matrices
-        from the vector that enters them to that at their end."""
-        size = len(self.openers)
-        row = np.concatenate([self.openers, np.repeat(self.middles, STATES)])
-        state = np.concatenate([np.repeat(model.start[None], size, axis=0), np.tile(np.eye(STATES), (len(self.middles), 1))])
-        moved = np.empty_like(state)
-        matrices = state[size:].reshape(-1, STATES * STATES)
+        """Scaled vectors at the end of the openers, and of the middle rows the matrices from the vector
+        that enters them to that at their end."""
+        middles, openers = self.middles, self.heads - self.middles
+
+        def parts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x = np.empty((middles * STATES + openers, STATES))
+            return x, x[: middles * STATES].reshape(STATES, middles, STATES), x[middles * STATES :]
+
+        now, other = parts(), parts()
+        now[1][:], now[2][:] = np.eye(STATES)[:, None], model.start
         for k in range(SEGMENT):
-            here = emissions.take(self.at[k] + row, axis=0, mode="clip")
-            np.multiply(np.matmul(state, model.move, out=moved) if k else state, here, out=state)
-            if k % SCALED == SCALED - 1:
-                state[:size] /= state[:size].max(axis=1, keepdims=True)
-                matrices /= matrices.max(axis=1, keepdims=True)
-        return state[:size], matrices.reshape(-1, STATES, STATES)
-
-    def closings(self, model: Model, emissions: np.ndarray) -> np.ndarray:
-        """Per last row of a longer text the scaled probabilities of the row, by the state of its first class."""
-        reach = np.searchsorted(self.closers, self.reach).tolist()
-        back, turned = np.ones((len(self.closers), STATES)), np.ascontiguousarray(model.move.T)
-        for k in reversed(range(len(reach))):
-            m = reach[k]
-            if m == 0:
-                continue
-            back[:m] *= emissions.take(self.at[k] + self.closers[:m], axis=0, mode="clip")
-            if k % SCALED == SCALED - 1:
-                back[:m] /= back[:m].max(axis=1, keepdims=True)
             if k:
-                back[:m] = back[:m] @ turned
-        return back
+                np.dot(now[0], model.move, out=other[0])
+                now, other = other, now
+            _, matrices, vectors = now
+            here = emissions[self.at[k] : self.at[k] + self.heads]
+            matrices *= here[:middles]
+            vectors *= here[middles:]
+            if k % SCALED == SCALED - 1:
+                matrices /= matrices.sum(axis=0) @ ADD
+                vectors /= vectors @ ADD
+        return now[2], now[1].transpose(1, 0, 2).copy()
 
-    def chain(self, model: Model, emissions: np.ndarray, back: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per row the vector at the end of the row before it, the vector that enters it, and with ``back`` what follows it."""
+    def chain(self, model: Model, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per row the vector at the end of the row before it and the vector that enters it, and the matrices of the middle rows."""
         n = len(self.place)
-        before, after = np.zeros((n, STATES)), np.ones((n, STATES))
-        entering = np.repeat(model.start[None], n, axis=0)
-        if not len(self.openers):
-            return before, entering, after
-        opened, matrices = self.ends(model, emissions)
-        number = np.empty(n, np.int64)  # of each middle row among them
-        number[self.middles] = np.arange(len(self.middles))
+        before, entering = np.zeros((n, STATES)), np.repeat(model.start[None], n, axis=0)
+        if not self.heads:
+            return before, entering, np.empty((0, STATES, STATES))
+        state, matrices = self.ends(model, emissions)
         texts = np.nonzero(self.count > 1)[0]
-        state = opened
         for step in range(1, int(self.count.max())):
             goes_on = self.count[texts] > step
             texts, state = texts[goes_on], state[goes_on]
@@ -309,84 +317,109 @@ class Batch:
             entering[row] = before[row] @ model.move
             inner = step < self.count[texts] - 1
             texts, row = texts[inner], row[inner]
-            state = (entering[row][:, None, :] @ matrices[number[row]])[:, 0]
-        if not back:
-            return before, entering, after
-        follows = np.empty((n, STATES))  # probabilities of a row and all after it, by the state that enters it
-        follows[self.closers] = self.closings(model, emissions)
+            state = (entering[row][:, None, :] @ matrices[row])[:, 0]
+        return before, entering, matrices
+
+    def following(self, model: Model, ahead: np.ndarray, matrices: np.ndarray) -> np.ndarray:
+        """Per head the scaled probability of what follows it, by its last state; ``ahead`` tells that of last rows."""
+        follows, after = np.empty((len(self.place), STATES)), np.empty((self.heads, STATES))
+        follows[self.heads :] = ahead[self.heads : len(self.place)]
         for step in reversed(range(1, int(self.count.max()))):
             texts = np.nonzero(self.count > step)[0]
             last, row = self.place[self.first[texts] + step - 1], self.place[self.first[texts] + step]
             returned = follows[row] @ model.move.T
             after[last] = returned / returned.max(axis=1, keepdims=True)
             if step > 1:  # the last row before this one is a middle row
-                follows[last] = (matrices[number[last]] @ after[last][:, :, None])[:, :, 0]
-        return before, entering, after
+                follows[last] = (matrices[last] @ after[last][:, :, None])[:, :, 0]
+        return after
 
     def forward(self, model: Model, emissions: np.ndarray, entering: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
         """Scaled forward vectors of all places, the scales of scaled columns, and the log scale of each row."""
         states, scales, logs = self.space.lines("states", len(self.classes)), {}, np.zeros(len(self.place))
-        move, ones = model.move, np.ones(STATES)
-        for k, m in enumerate(self.reach.tolist()):
-            here = states[self.at[k] : self.at[k] + m]
+        last = 0
+        for k, m in enumerate(self.reach):
+            at = self.at[k]
+            here = states[at : at + m]
             if k:
-                np.matmul(states[self.at[k - 1] : self.at[k - 1] + m], move, out=here)
-                here *= emissions[self.at[k] : self.at[k] + m]
+                np.dot(states[last : last + m], model.move, out=here)
+                here *= emissions[at : at + m]
             else:
                 np.multiply(entering, emissions[:m], out=here)
             if k % SCALED == SCALED - 1:
-                size = here @ ones
-                scales[k] = (1 / size)[:, None]
-                here *= scales[k]
-                logs[:m] += np.log(size)
+                scales[k] = here @ ADD
+                here /= scales[k]
+                logs[:m] += np.log(scales[k][:, 0])
+            last = at
         return states, scales, logs + np.log(states[self.end].sum(axis=1))
 
+    def backward(self, model: Model, emissions: np.ndarray, scales: dict[int, np.ndarray], back: np.ndarray, low: int, high: int):
+        """Rows from ``low`` to ``high``: each place's emissions times what follows it, where the emissions were.
+
+        ``back`` has what follows the rows and gets what follows their first places.
+        """
+        turned = np.ascontiguousarray(model.move.T)
+        for k in reversed(range(len(self.reach))):
+            m = min(self.reach[k], high)
+            if m <= low:
+                continue
+            ahead, after = emissions[self.at[k] + low : self.at[k] + m], back[low:m]
+            ahead *= after
+            if k in scales:
+                ahead /= scales[k][low:m]
+            if k:
+                np.dot(ahead, turned, out=after)
+
     def likelihoods(self, model: Model) -> np.ndarray:
         """Log likelihood of every text, exact over its whole length."""
         emissions = self.emissions(model)
-        logs = self.forward(model, emissions, self.chain(model, emissions, back=False)[1])[2]
+        logs = self.forward(model, emissions, self.chain(model, emissions)[1])[2]
         return np.add.reduceat(logs[self.place], self.first) if len(self.first) else logs
 
     def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and class emissions of one pass forward and back."""
-        emissions = self.emissions(model)
-        before, entering, back = self.chain(model, emissions)
-        states, scales, _ = self.forward(model, emissions, entering)
-        back /= (states[self.end] * back).sum(axis=1, keepdims=True)
-        moves, starts = np.zeros((STATES, STATES)), np.zeros(STATES)
-        turned = np.ascontiguousarray(model.move.T)
-        for k, m in reversed(list(enumerate(self.reach.tolist()))):
-            here = slice(self.at[k], self.at[k] + m)
-            ahead = emissions[here]
-            ahead *= back[:m]
-            states[here] *= back[:m]  # what the state vectors held here is used up by now
-            if k in scales:
-                ahead *= scales[k]
-            if k:
-                moves += states[self.at[k - 1] : self.at[k - 1] + m].T @ ahead
-                np.matmul(ahead, turned, out=back[:m])
-            else:
-                starts += states[here][self.opening].sum(axis=0)
-                moves += before.T @ ahead  # 0 for the rows that begin a text
-        weights, emits = self.space.lines("weights", len(self.classes), 1)[:, 0], []
-        for state in range(STATES):
-            weights[:] = states[:, state]
-            emits.append(np.bincount(self.classes, weights=weights, minlength=CLASSES))
-        return starts, moves * model.move, np.stack(emits, axis=1)
-
-
-def _batches(column: pa.Array) -> Iterator[list[np.ndarray]]:
-    """Sequences of an Arrow column in groups of bounded size (a longer text is a group by itself)."""
-    held, size = [], 0
-    for value in column:
-        classes = np.frombuffer(value.as_py(), "<u2")
-        if held and size + len(classes) > BATCH_CLASSES:
-            yield held
-            held, size = [], 0
-        held.append(classes)
-        size += len(classes)
-    if held:
-        yield held
+        ahead, n = self.emissions(model), len(self.place)
+        before, entering, matrices = self.chain(model, ahead)
+        states, scales, _ = self.forward(model, ahead, entering)
+        # Last rows come first: what they tell goes back over the matrices to the heads.
+        back = 1 / (states[self.end] @ ADD)
+        self.backward(model, ahead, scales, back, self.heads, n)
+        if self.heads:
+            after = self.following(model, ahead, matrices)
+            back[: self.heads] = after / ((states[self.end[: self.heads]] * after) @ ADD)
+            self.backward(model, ahead, scales, back, 0, self.heads)
+        starts = (states[:n] * back)[self.opening].sum(axis=0)
+        moves, some = before.T @ ahead[:n], np.empty((STATES, STATES))  # before is 0 for the rows that begin a text
+        for k, m in enumerate(self.reach[1:], 1):
+            last, at = self.at[k - 1], self.at[k]
+            moves += np.dot(states[last : last + m].T, ahead[at : at + m], out=some)
+        for k, size in scales.items():
+            ahead[self.at[k] : self.at[k] + len(size)] *= size
+        # State probabilities times the emission, which is the same for all places of a class.
+        emits = np.zeros((STATES, CLASSES))
+        for i in range(0, len(self.classes), SUMMED):
+            here = slice(i, i + SUMMED)
+            ahead[here] *= states[here]
+            classes, weights = self.classes[here].astype(np.int64), ahead[here].T.copy()
+            for state in range(STATES):
+                emits[state] += np.bincount(classes, weights=weights[state], minlength=CLASSES)
+        return starts, moves * model.move, emits.T / model.emit
+
+
+def _batches(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Sequences of an Arrow column by falling length in groups of bounded and about equal size, with their
+    places in the column (a longer text is a group by itself)."""
+    texts = [np.frombuffer(value.as_py(), "<u2") for value in column]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    order, whole = np.argsort(-sizes, kind="stable"), int(sizes.sum())
+    share = whole / max(1, -(-whole // BATCH_CLASSES))
+    begin, size = 0, 0
+    for i, n in enumerate(sizes[order].tolist()):
+        if i > begin and (size >= share or size + n > BATCH_CLASSES):
+            yield order[begin:i], [texts[j] for j in order[begin:i]]
+            begin, size = i, 0
+        size += n
+    if begin < len(order):
+        yield order[begin:], [texts[j] for j in order[begin:]]
 
 
 def round_counts(training: DataFrame, model: Broadcast) -> np.ndarray:
@@ -400,7 +433,7 @@ def round_counts(training: DataFrame, model: Broadcast) -> np.ndarray:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, space = np.zeros(width), Workspace()
         for batch in batches:
-            for texts in _batches(batch.column(0)):
+            for _, texts in _batches(batch.column(0)):
                 total += np.concatenate([x.ravel() for x in Batch(texts, space).expected(model.value)])
         parts = {i // BLOCK: total[i : i + BLOCK] for i in range(0, width, BLOCK)}
         yield rows_of({i: x for i, x in parts.items() if x.any()})
@@ -447,8 +480,10 @@ def likelihood(classes: Column, model: Broadcast) -> Column:
     def forward(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         space = Workspace()
         for batch in batches:
-            parts = [Batch(texts, space).likelihoods(model.value) for texts in _batches(batch)]
-            yield pa.array(np.concatenate(parts) / math.log(10) if parts else [], pa.float64())
+            logs = np.empty(len(batch))
+            for places, texts in _batches(batch):
+                logs[places] = Batch(texts, space).likelihoods(model.value)
+            yield pa.array(logs / math.log(10), pa.float64())
 
     return forward(classes)
 

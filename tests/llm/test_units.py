@@ -7,6 +7,7 @@ import time
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import bpe, chat, crf_quality, decontaminate, hmm, main_text, pii, secret_scan, simhash
@@ -146,6 +147,29 @@ def test_hidden_markov_recursions_against_loops(monkeypatch, segment):
         assert np.allclose(found, expected)
 
 
+def test_language_model_runs_texts_of_like_length_together():
+    rng = np.random.default_rng(5)
+    sizes = np.where(rng.random(4_000) < 0.1, 3_000, rng.integers(1, 300, 4_000))
+    column = pa.array([rng.integers(0, hmm.CLASSES, n).astype("<u2").tobytes() for n in sizes], pa.binary())
+    groups = list(hmm._batches(column))
+    assert sorted(i for places, _ in groups for i in places.tolist()) == list(range(4_000))
+    assert all(t.tobytes() == column[i].as_py() for places, texts in groups for i, t in zip(places.tolist(), texts))
+    assert all(sum(map(len, texts)) <= hmm.BATCH_CLASSES for _, texts in groups)
+    # A column costs some calls, however few rows it has: only the groups with long texts may have many columns.
+    assert sum(len(hmm.Batch(texts).reach) for _, texts in groups) <= 2 * hmm.SEGMENT
+
+
+def test_language_model_tokens_of_whole_batches_against_loops():
+    every = [bytes([a, b, c]) for a in range(256) for b in (0, 28, 32, 65, 91, 0xA0) for c in (9, 13, 31, 90, 0xC3)]
+    texts = [None, b"", b" ", b"A bb\x0bA  a\n", *every, None, " É É\u00a0É İ ".encode()]
+    for column in (pa.array(texts, pa.binary()), pa.array(texts, pa.binary())[7:], pa.array(texts, pa.large_binary()), pa.array([], pa.binary())):
+        tokens, numbers, sizes = hmm.tokens_of(column)
+        words = np.split(numbers, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        assert [[tokens[i].as_py() for i in w.tolist()] for w in words] == [(t or b"").lower().split() for t in column.to_pylist()]
+        assert len(set(tokens.to_pylist())) == len(tokens)
+    assert hmm.tail_classes(pa.array([b"a", b"abcd", b"xbcd"], pa.binary())).tolist() == [hmm.tail_class(t) for t in (b"a", b"bcd", b"bcd")]
+
+
 def test_field_marginals_and_gradient():
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 1, (9, crf_quality.WIDTH)).astype(np.float32)
